@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, mixing, sharding, simhash, toxicity
+from marginalia.llm import bpe, exact_dedup, mixing, sharding, simhash, token_output, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,28 @@ FROM h WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs).select("doc_id", "_ids"))
+    return coded.select(
+        "doc_id",
+        F.size("_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("_decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(_read(spark, sf_dir, "pages"))
+    return records.select(
+        "page_id",
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select(
@@ -90,6 +112,10 @@ FROM c
 """
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_files(_read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -98,7 +124,10 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_warc": op6_warc,
     "op8_mixing": op8_mixing,
+    "op9_token_output": op9_token_output,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 SQL = {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
