@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from marginalia.llm.common import new_path
+from marginalia.llm.common import new_path, packed
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL has neither the learnt lexicon nor the merges.
 ORACLE_SQL = None
 
@@ -17,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the lexicon learns from labelled rows of the input documents."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     lexicon = toxicity.fit(docs, labels)
-    return toxicity.with_score(docs, lexicon).filter("_toxicity < 0.5").drop("_toxicity")
+    return toxicity.with_score(packed(docs, text="text"), lexicon).filter("_toxicity < 0.5").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +31,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents in the target mixture, in a global random order."""
-    return mixing.mix(docs).drop("_copy", "_position")
+    return mixing.mix(docs).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each copy, and whether they decode to its text."""
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.decode(bpe.encode(packed(docs, text="text")))
     return coded.select(
-        "doc_id",
-        "lang",
-        "source",
+        "row.doc_id",
+        "row.lang",
+        "row.source",
         F.col("_ids").alias("token_ids"),
         F.size("_ids").cast("long").alias("n_tokens"),
         (F.col("_decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"),

@@ -44,6 +44,12 @@ def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def packed(docs: DataFrame, **columns) -> DataFrame:
+    """All columns of a table in the struct `row`, beside columns under names of our own: no names can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(whole, *[(F.col(f"`{v}`") if isinstance(v, str) else v).alias(k) for k, v in columns.items()])
+
+
 def prefix_sums(counts: DataFrame, key: str, n: str, out: str) -> DataFrame:
     """Add `out`, the sum of `n` over all smaller keys (key: integer, distinct, not negative).
 

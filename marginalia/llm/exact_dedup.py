@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize
+from marginalia.llm.common import materialize, packed
 
 LEAVES = 256
 FAN_IN = 4
@@ -79,8 +79,8 @@ def dedup_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", leave
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    kept = dedup_groups(docs, key, text).filter("kept").select(F.col(key).alias("_kept_key"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumn("_sha", F.sha2(normalized(text), 256))
-    matched = marked.join(kept, marked[key].eqNullSafe(kept["_kept_key"]) & (marked["_sha"] == kept["_kept_sha"]), "left_semi")
-    twin = Window.partitionBy(key, "_sha").orderBy(F.xxhash64(*docs.columns))
-    return matched.withColumn("_twin", F.row_number().over(twin)).filter("_twin = 1").select(*docs.columns)
+    kept = dedup_groups(docs, key, text).filter("kept").select(F.col(key).alias("kept_key"), F.col("text_sha256").alias("kept_sha"))
+    marked = packed(docs, key=key, sha=F.sha2(normalized(text), 256))
+    matched = marked.join(kept, F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    twin = Window.partitionBy("key", "sha").orderBy(F.xxhash64("row"))
+    return matched.withColumn("twin", F.row_number().over(twin)).filter("twin = 1").select("row.*")

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import prefix_sums
+from marginalia.llm.common import packed, prefix_sums
 
 SEED = "mix-1"
 #: Target shares; sources that are not named share REST together.
@@ -55,32 +55,30 @@ def _label(weights: dict[str, float], source: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, key: str = "doc_id", source: str = "source", seed: str = SEED, total: int | None = None) -> DataFrame:
-    """Copies of rows in the target mixture, with `_copy` (from 1) and `_position` (global order, gapless from 0).
+    """Copies of rows in the target mixture: row (all input columns), copy (from 1), position (global order, gapless from 0).
 
     A null source counts among the rest; a source of weight 0 yields nothing. Rows that share a
     key draw the same number of copies. An empty table stays empty.
     """
     rates = repetition_rates(docs, weights, rest, source, total)
-    if not rates:
-        return docs.limit(0).withColumn("_copy", F.lit(1)).withColumn("_position", F.lit(0).cast("long"))
-    draw, copies = uniform(F.lit(seed), F.col(key)), F.lit(0)
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    drawn = packed(docs, label=_label(weights, source), name=name, draw=uniform(F.lit(seed), F.col(key)))
+    copies = F.lit(0)
     for label, rate in sorted(rates.items()):
         cdf = F.array(*[F.lit(x) for x in poisson_cdf(rate)])
-        copies = F.when(F.col("_label") == label, F.size(F.filter(cdf, lambda x: x <= F.col("_draw")))).otherwise(copies)
-    counted = docs.withColumn("_label", _label(weights, source)).withColumn("_draw", draw).withColumn("_copies", copies)
+        copies = F.when(F.col("label") == label, F.size(F.filter(cdf, lambda x: x <= F.col("draw")))).otherwise(copies)
     copied = (
-        counted.filter("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("null")), "_copy")))
-        .withColumn("_bucket", F.conv(F.substring("_order", 1, 4), 16, 10).cast("long"))
-        .drop("_label", "_draw", "_copies")
+        drawn.withColumn("copies", copies)
+        .filter("copies > 0")
+        .select("row", "name", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "name", "copy")))
+        .withColumn("bucket", F.conv(F.substring("order", 1, 4), 16, 10).cast("long"))
     )
-    sizes = copied.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    bases = prefix_sums(sizes, "_bucket", "_n", "_base").drop("_n")
-    inside = Window.partitionBy("_bucket").orderBy("_order")
+    sizes = copied.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    bases = prefix_sums(sizes, "bucket", "n", "base").drop("n")
+    inside = Window.partitionBy("bucket").orderBy("order")
     return (
-        copied.withColumn("_rank", F.row_number().over(inside))
-        .join(F.broadcast(bases), "_bucket")  # BUCKETS rows at most
-        .withColumn("_position", (F.col("_base") + F.col("_rank") - 1).cast("long"))
-        .drop("_bucket", "_base", "_rank", "_order")
+        copied.withColumn("rank", F.row_number().over(inside))
+        .join(F.broadcast(bases), "bucket")  # BUCKETS rows at most
+        .select("row", "copy", (F.col("base") + F.col("rank") - 1).cast("long").alias("position"))
     )

@@ -19,12 +19,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_read(spark, sf_dir, "documents"))
     return placed.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        "row.doc_id",
+        "size",
+        F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32"),
         F.lit("rows").alias("law"),
-        F.col("_shard").alias("shard"),
-        F.col("_slot").alias("slot"),
+        "shard",
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
@@ -87,11 +87,11 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select(
-        "doc_id",
-        "source",
-        F.col("_copy").alias("copy_no"),
-        F.col("_position").alias("position"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("text_bytes"),
+        "row.doc_id",
+        "row.source",
+        F.col("copy").alias("copy_no"),
+        "position",
+        F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("text_bytes"),
     )
 
 

@@ -14,54 +14,56 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, prefix_sums
+from marginalia.llm.common import materialize, packed, prefix_sums
 
 SHARDS = 8
 SEED = 20240607
 BUCKET_BYTES = 16 << 20
+#: One number a bucket is broadcast up to so many buckets; beyond them the bases are joined by shuffle.
+BROADCAST_BUCKETS = 1 << 16
 
 
 def shuffle_records(docs: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All rows and columns in a seeded random order: adds `_size` and `_position` (gapless from 0).
+    """Every record as (row, size, position): row holds all input columns, position is gapless from 0.
 
     Nulls, empty texts, ties and repeated rows are ordinary records. Columns must be sortable
     (no maps). An empty table stays empty.
     """
-    sized = docs.withColumn("_size", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"))
-    total = sized.agg(F.sum("_size")).first()[0] or 0
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    sized = packed(docs, size=size)
+    total = sized.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    scattered = sized.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), *docs.columns), F.lit(buckets)))
+    scattered = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(buckets)))
     gathered = (
-        scattered.repartition(buckets, "_bucket")
-        .groupBy("_bucket")
-        .agg(F.array_sort(F.collect_list(F.struct(*docs.columns, "_size"))).alias("_records"))
-        .sortWithinPartitions("_bucket")
-    )
-    permuted = gathered.select("_bucket", F.posexplode(F.shuffle("_records", F.lit(seed))).alias("_rank", "_record"))
-    written = materialize(permuted.select("_bucket", "_rank", "_record.*"), "shard-buckets")
-    bases = prefix_sums(written.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")), "_bucket", "_n", "_base")
-    return (
-        written.join(bases.drop("_n"), "_bucket")
-        .withColumn("_position", F.col("_base") + F.col("_rank"))
-        .drop("_bucket", "_base", "_rank")
+        scattered.repartition(buckets, "bucket")
+        .groupBy("bucket")
+        .agg(F.array_sort(F.collect_list(F.struct("row", "size"))).alias("records"))
+        .sortWithinPartitions("bucket")
     )
+    permuted = gathered.select("bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("rank", "record"))
+    written = materialize(permuted.select("bucket", "rank", "record.row", "record.size"), "shard-buckets")
+    bases = prefix_sums(written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket", "n", "base").drop("n")
+    if buckets <= BROADCAST_BUCKETS:
+        bases = F.broadcast(bases)
+    return written.join(bases, "bucket").select("row", "size", (F.col("base") + F.col("rank")).alias("position"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Every row with `_shard` (0 to shards - 1) and `_slot` (gapless from 0 in its shard)."""
+    """Every record as (row, size, shard from 0 to shards - 1, slot gapless from 0 in its shard)."""
     placed = shuffle_records(docs, text, seed, bucket_bytes)
-    return (
-        placed.withColumn("_shard", (F.col("_position") % shards).cast("int"))
-        .withColumn("_slot", F.floor(F.col("_position") / shards).cast("long"))
-        .drop("_position")
+    return placed.select(
+        "row",
+        "size",
+        (F.col("position") % shards).cast("int").alias("shard"),
+        F.floor(F.col("position") / shards).cast("long").alias("slot"),
     )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """Write a folder a shard, rows in slot order."""
     (
-        sharded.repartition("_shard", F.floor(F.col("_slot") / 100_000))
-        .sortWithinPartitions("_shard", "_slot")
-        .write.partitionBy("_shard")
+        sharded.repartition("shard", F.floor(F.col("slot") / 100_000))
+        .sortWithinPartitions("shard", "slot")
+        .write.partitionBy("shard")
         .parquet(path)
     )

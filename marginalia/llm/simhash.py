@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import bound_batches, materialize
+from marginalia.llm.common import bound_batches, materialize, packed
 from marginalia.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of `docs` whose key is the smallest of their component; of rows that share that key, one."""
     grouped = near_duplicates(docs, key, text, words, max_bits)
-    stays = grouped.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept_key")).distinct()
-    kept = docs.join(stays, docs[key].eqNullSafe(stays["_kept_key"]), "left_semi")
-    twin = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_twin", F.row_number().over(twin)).filter("_twin = 1").select(*docs.columns)
+    stays = grouped.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
+    kept = packed(docs, key=key).join(stays, F.col("key").eqNullSafe(F.col("kept_key")), "left_semi")
+    twin = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    return kept.withColumn("twin", F.row_number().over(twin)).filter("twin = 1").select("row.*")
