@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import text_queries
+from marginalia.plans import retrieval_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, retrieval_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["tokenize_tf"](spark, sf_dir)
+    return queries()["rrf_fusion"](spark, sf_dir)
 
 
 def queries() -> dict:
