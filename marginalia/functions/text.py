@@ -26,18 +26,21 @@ def count_of(pattern: str, text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case words whole and split at inner - . /, then 2-, 3- and 4-grams of Han runs (a run of one letter stays)."""
     text = F.coalesce(text, F.lit(""))
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({LOWER_WORD})"), 1)
-    whole_and_parts = F.transform(
-        words, lambda w: F.when(w.rlike("[-./]"), F.concat(F.array(w), F.filter(F.split(w, "[-./]+"), lambda p: p != ""))).otherwise(F.array(w))
+    lowered = F.lower(text)
+    words = F.regexp_extract_all(lowered, F.lit(LOWER_WORD), 0)
+    whole_and_parts = F.flatten(
+        F.transform(words, lambda w: F.when(w.rlike("[-./]"), F.concat(F.array(w), F.filter(F.split(w, "[-./]+"), lambda p: p != ""))).otherwise(F.array(w)))
     )
 
     def grams(run: Column, n: int) -> Column:
         places = F.when(F.length(run) >= n, F.sequence(F.lit(1), F.length(run) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda k: F.substring(run, k, F.lit(n)))
 
-    runs = F.regexp_extract_all(text, F.lit(f"({HAN}+)"), 1)
-    han = F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.concat(grams(r, 2), grams(r, 3), grams(r, 4))))
-    return F.concat(F.flatten(whole_and_parts), F.flatten(han))
+    runs = F.regexp_extract_all(text, F.lit(f"{HAN}+"), 0)
+    han = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.concat(grams(r, 2), grams(r, 3), grams(r, 4)))))
+    # Most texts have neither compounds nor Han letters; theirs is the plain list of words.
+    latin = F.when(lowered.rlike("[a-z0-9_][-./][a-z0-9_]"), whole_and_parts).otherwise(words)
+    return F.when(text.rlike(HAN), F.concat(latin, han)).otherwise(latin)
 
 
 def estimated_tokens(text: Column) -> Column:

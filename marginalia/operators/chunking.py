@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from marginalia.functions import text
 
 TARGET_TOKENS, OVERLAP_TOKENS = 600, 60
 FRONT_MATTER = "front"
-BOUNDS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+BOUNDS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("first", "last", "section")]))
 
 
 def title_level(title: Column) -> Column:
@@ -47,7 +49,7 @@ def section_spans(paragraphs: DataFrame) -> DataFrame:
     )
 
 
-def pack(sizes: list[int], sections: list[str], target: int, overlap: int, keep_always: bool = False) -> list[tuple[int, int]]:
+def pack(sizes: list[int], sections: list[int], target: int, overlap: int, keep_always: bool = False) -> list[tuple[int, int]]:
     """(first, last) of each chunk of paragraphs.
 
     A chunk closes before a new section, before it would pass the target, and after a paragraph
@@ -75,45 +77,48 @@ def pack(sizes: list[int], sections: list[str], target: int, overlap: int, keep_
     return chunks
 
 
-def chunk_bounds(sizes: Column, sections: Column, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, keep_always: bool = False) -> Column:
-    """Chunk bounds of one document's paragraphs: each closing depends on the ones before, so it is a fold over the row."""
+def chunk_bounds(sizes: Column, titles: Column, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, keep_always: bool = False) -> Column:
+    """First and last paragraph and section of each chunk of a document.
+
+    Each closing depends on the ones before, so it is a fold over the row.
+    """
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "section")]))
+
+    def of(sizes: list[int] | None, titles: list[bool]) -> list[dict]:
+        sections = list(accumulate(int(t) for t in titles or ()))
+        return [{"first": a, "last": b, "section": sections[a]} for a, b in pack(sizes or [], sections, target, overlap, keep_always)]
 
     @F.arrow_udf(BOUNDS)
-    def bounds(sizes: pa.Array, sections: pa.Array) -> pa.Array:
-        rows = [[{"first": a, "last": b} for a, b in pack(s, k, target, overlap, keep_always)] if s else [] for s, k in zip(sizes.to_pylist(), sections.to_pylist())]
-        return pa.array(rows, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+    def bounds(sizes: pa.Array, titles: pa.Array) -> pa.Array:
+        return pa.array([of(s, t) for s, t in zip(sizes.to_pylist(), titles.to_pylist())], kind)
 
-    return bounds(sizes, sections)
+    return bounds(sizes, titles)
 
 
 def chunks(docs: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, keep_always: bool = False) -> DataFrame:
     """(doc_id, units, titles, pages) arrays a document to chunk rows.
 
     units: paragraphs; titles: whether each is one; pages: page of each. A document never leaves
-    its row, so nothing is shuffled.
+    its row, so nothing is shuffled, and only the numbers pass through Python.
     """
-    sections = F.transform(
-        F.sequence(F.lit(1), F.size("titles")), lambda k: F.aggregate(F.slice("titles", F.lit(1), k), F.lit(0), lambda s, t: s + t.cast("int"))
-    )
-    prepared = docs.filter(F.size("units") > 0).withColumn("sections", sections).withColumn("sizes", F.transform("units", text.estimated_tokens))
-    bounded = prepared.withColumn("bounds", chunk_bounds(F.col("sizes"), F.transform("sections", lambda s: s.cast("string")), target, overlap, keep_always))
-    exploded = bounded.select("doc_id", "units", "pages", "sections", F.posexplode("bounds").alias("ix", "b"))
-    body = F.slice("units", F.col("b.first") + 1, F.col("b.last") - F.col("b.first") + 1)
-    page = F.slice("pages", F.col("b.first") + 1, F.col("b.last") - F.col("b.first") + 1)
-    section = F.element_at("sections", F.col("b.first") + 1)
-    rows = exploded.select(
-        "doc_id",
-        (F.col("ix") + 1).alias("chunk_index"),
-        F.array_min(page).alias("page_start"),
-        F.array_max(page).alias("page_end"),
-        F.when(section == 0, FRONT_MATTER).otherwise(F.format_string("s%04d", section)).alias("section_key"),
-        F.col("b.first").alias("first_ix"),
-        F.col("b.last").alias("last_ix"),
-        text.strip(F.array_join(body, "\n\n")).alias("text"),
-    )
-    return rows.withColumn("chunk_id", F.format_string("%s_p%04d_%05d", F.col("doc_id").cast("string"), "page_start", "chunk_index")).withColumn(
-        "token_estimate", text.estimated_tokens(F.col("text"))
-    )
+    prepared = docs.filter(F.size("units") > 0).withColumn("sizes", F.transform("units", text.estimated_tokens))
+    bounded = prepared.withColumn("bounds", chunk_bounds(F.col("sizes"), F.col("titles"), target, overlap, keep_always))
+
+    def chunk(b: Column, k: Column) -> Column:
+        part = lambda c: F.slice(F.col(c), b["first"] + 1, b["last"] - b["first"] + 1)
+        return F.struct(
+            (k + 1).alias("chunk_index"),
+            F.array_min(part("pages")).alias("page_start"),
+            F.array_max(part("pages")).alias("page_end"),
+            F.when(b["section"] == 0, FRONT_MATTER).otherwise(F.format_string("s%04d", b["section"])).alias("section_key"),
+            b["first"].alias("first_ix"),
+            b["last"].alias("last_ix"),
+            F.array_join(part("units"), "\n\n").alias("text"),
+        )
+
+    rows = bounded.select("doc_id", F.inline(F.transform("bounds", chunk)))
+    named = rows.withColumn("chunk_id", F.format_string("%s_p%04d_%05d", F.col("doc_id").cast("string"), "page_start", "chunk_index"))
+    return named.withColumn("token_estimate", text.estimated_tokens(F.col("text")))
 
 
 def citation_anchor(title: Column, start: Column, end: Column, author: Column | None = None, year: Column | None = None) -> Column:

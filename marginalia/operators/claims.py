@@ -31,15 +31,14 @@ def words(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def claim_tokens(claim: Column) -> Column:
+def claim_tokens(tokens: Column) -> Column:
     """Distinct tokens of four letters or more that are no stop words."""
-    return F.array_except(F.array_distinct(F.filter(text.tokens(claim), lambda t: F.length(t) >= 4)), words(STOP_WORDS))
+    return F.array_except(F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 4)), words(STOP_WORDS))
 
 
-def support_groups(body: Column) -> Column:
-    """Synonym groups that a text names."""
-    tokens, lowered = text.tokens(body), F.lower(body)
-    flags = []
+def support_groups(body: Column, tokens: Column) -> Column:
+    """Synonym groups that a text with these tokens names."""
+    lowered, flags = F.lower(body), []
     for name, variants in GROUPS.items():
         found = F.lit(False)
         for v in variants:
@@ -48,11 +47,11 @@ def support_groups(body: Column) -> Column:
     return F.array_compact(F.array(*flags))
 
 
-def supported(claim: Column, body: Column) -> Column:
-    """A shared token, or two shared synonym groups; a claim without tokens is supported."""
-    own = claim_tokens(claim)
-    shared = F.arrays_overlap(own, text.tokens(body)) | (F.size(F.array_intersect(support_groups(claim), support_groups(body))) >= 2)
-    return F.when(F.size(own) == 0, True).when(F.size(text.tokens(body)) == 0, False).otherwise(F.coalesce(shared, F.lit(False)))
+def supported(claim: Column, claim_all: Column, body: Column, body_all: Column) -> Column:
+    """A shared token, or two shared synonym groups; a claim without tokens is supported. *_all: tokens of either text."""
+    own = claim_tokens(claim_all)
+    groups = F.size(F.array_intersect(support_groups(claim, claim_all), support_groups(body, body_all))) >= 2
+    return F.when(F.size(own) == 0, True).when(F.size(body_all) == 0, False).when(F.arrays_overlap(own, body_all), True).otherwise(groups)
 
 
 def significant(body: Column) -> Column:
@@ -68,17 +67,16 @@ def missing_items(claim: Column, body: Column) -> Column:
     return F.array_sort(F.filter(own, lambda x: ~F.contains(compact, x)))
 
 
-def direction_conflict(claim: Column, body: Column) -> Column:
+def direction_conflict(tokens: Column, body: Column) -> Column:
     """positive or negative where the claim goes up or down and clauses with two of its words go the other way only; else null."""
-    tokens = text.tokens(claim)
     up, down = F.arrays_overlap(tokens, words(UP)), F.arrays_overlap(tokens, words(DOWN))
-    anchors = F.array_except(claim_tokens(claim), words(UP + DOWN))
+    anchors = F.array_except(claim_tokens(tokens), words(UP + DOWN))
     clauses = F.transform(F.split(body, r"(?i)[.;,，。；]|(?:\bbut\b)"), text.tokens)
     close = F.filter(clauses, lambda c: F.size(F.array_intersect(c, anchors)) >= 2)
     goes_up = F.exists(close, lambda c: F.arrays_overlap(c, words(UP)))
     goes_down = F.exists(close, lambda c: F.arrays_overlap(c, words(DOWN)))
     agreed = (up & goes_up) | (down & goes_down)
-    return F.when(agreed, None).when(up & goes_down, "positive").when(down & goes_up, "negative")
+    return F.when(~up & ~down, None).when(agreed, None).when(up & goes_down, "positive").when(down & goes_up, "negative")
 
 
 def quantity_conflicts(claim: Column, body: Column) -> Column:
@@ -100,22 +98,23 @@ def visible_refs(answer: Column) -> Column:
 def support_gate(claims: DataFrame, visible: DataFrame, strict: bool = True) -> DataFrame:
     """Each claim (answer_id, claim_ix, claim, chunk_id) with its reasons against it, and whether its answer is blocked."""
     joined = claims.join(visible.select("answer_id", "chunk_id", F.col("text").alias("body")), ["answer_id", "chunk_id"], "left")
-    claim, body = F.col("claim"), F.col("body")
+    joined = joined.withColumn("claim_all", text.tokens(F.col("claim"))).withColumn("body_all", text.tokens(F.col("body")))
+    claim, body, claim_all, body_all = (F.col(c) for c in ("claim", "body", "claim_all", "body_all"))
     seen = body.isNotNull()
     reasons = [
         F.when(F.col("chunk_id").isNull(), "missing chunk"),
         F.when(F.col("chunk_id").isNotNull() & ~seen, "chunk not visible"),
-        F.when(seen & ~supported(claim, body), "no lexical support"),
+        F.when(seen & ~supported(claim, claim_all, body, body_all), "no lexical support"),
     ]
     if strict:
         reasons += [
-            F.when(seen & direction_conflict(claim, body).isNotNull(), "direction conflict"),
+            F.when(seen & direction_conflict(claim_all, body).isNotNull(), "direction conflict"),
             F.when(seen & (F.size(quantity_conflicts(claim, body)) > 0), "quantity conflict"),
             F.when(seen & (F.size(missing_items(claim, body)) > 0), "missing items"),
         ]
     judged = joined.withColumn("reasons", F.array_compact(F.array(*reasons)))
     blocked = F.max((F.size("reasons") > 0).cast("int")).over(Window.partitionBy("answer_id")) == 1
-    return judged.withColumn("blocked", blocked).drop("body")
+    return judged.withColumn("blocked", blocked).drop("body", "claim_all", "body_all")
 
 
 def rank_sentences(sentences: DataFrame, queries: DataFrame, limit: int = 4) -> DataFrame:

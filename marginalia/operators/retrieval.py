@@ -73,17 +73,12 @@ def top(scored: DataFrame, k: int, *keys: Column) -> DataFrame:
 
 def features(rows: DataFrame, key: str, body: str) -> DataFrame:
     """(key, term, value): token counts, and a half for the first and last four letters of long ASCII tokens."""
-    long_ascii = lambda t: (F.length(t) >= 5) & ~t.rlike("[^\\x00-\\x7F]")
-    tokens = text.tokens(F.col(body))
-    whole = F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("value")))
-    parts = F.flatten(
-        F.transform(
-            F.filter(tokens, long_ascii),
-            lambda t: F.array(F.struct(F.substring(t, 1, 4).alias("term"), F.lit(0.5).alias("value")), F.struct(F.right(t, F.lit(4)).alias("term"), F.lit(0.5).alias("value"))),
-        )
-    )
-    exploded = rows.select(key, F.inline(F.concat(whole, parts)))
-    return exploded.groupBy(key, "term").agg(F.sum("value").alias("value"))
+    counted = rows.select(key, F.explode(text.tokens(F.col(body))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    long_ascii = (F.length("token") >= 5) & ~F.col("token").rlike("[^\\x00-\\x7F]")
+    whole = F.struct(F.col("token").alias("term"), F.col("n").alias("value"))
+    part = lambda c: F.struct(c.alias("term"), (F.col("n") * 0.5).alias("value"))
+    spread = F.when(long_ascii, F.array(whole, part(F.substring("token", 1, 4)), part(F.right(F.col("token"), F.lit(4))))).otherwise(F.array(whole))
+    return counted.select(key, F.inline(spread)).groupBy(key, "term").agg(F.sum("value").alias("value"))
 
 
 def token_cosine(chunks: DataFrame, queries: DataFrame, k: int = 50, body: str = "body") -> DataFrame:
