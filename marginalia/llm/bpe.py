@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.common import bound_batches
+from marginalia.llm.pieces import parts_of, plainly_spaced
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Words that a worker remembers at most; then it starts afresh.
-REMEMBERED = 250_000
+#: Words, and parts of texts, that a worker remembers before it starts afresh.
+REMEMBERED, REMEMBERED_PARTS = 800_000, 400_000
 #: Words in one recursive query.
 WORDS_A_QUERY = 20_000
 #: Ids in one decoding query.
@@ -84,7 +85,9 @@ class Codec:
     def __init__(self, name: str = RANKS):
         self.ranks = read_ranks(name)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.words: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
+        # Ids as little-endian 32-bit integers.
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         cuts = [
@@ -167,13 +170,18 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
-        split = [self.pattern.findall(t) if t else [] for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        self.learn({w for words in split for w in words if w not in self.words})
-        known = self.words
-        for words in split:
-            yield np.frombuffer(b"".join([known[w] for w in words]), dtype="<i4")
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts.clear()
+        split, words, parts = self.pattern.findall, self.words, self.parts
+        cut = [[] if not t else parts_of(t) if plainly_spaced(t) else split(t) for t in texts]
+        fresh = {part: split(part) for part in {p for some in cut for p in some if p not in parts}}
+        self.learn({w for some in fresh.values() for w in some if w not in words})
+        for part, some in fresh.items():
+            parts[part] = b"".join([words[w] for w in some])
+        for some in cut:
+            yield np.frombuffer(b"".join([parts[p] for p in some]), dtype="<i4")
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes that each list of ids stands for."""
@@ -209,7 +217,8 @@ def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, out: str = "
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *found]))
 
-    return docs.withColumn(out, ids(F.col(text)))
+    # Marked as not deterministic, or a query of both ids and decoded bytes would encode twice.
+    return docs.withColumn(out, ids.asNondeterministic()(F.col(text)))
 
 
 def decode(encoded: DataFrame, ids: str = "_ids", ranks: str = RANKS, out: str = "_decoded") -> DataFrame:

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import sys
 import uuid
 import zlib
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marginalia.llm.common import bound_batches, materialize, new_path, prefix_sums
+from marginalia.llm.pieces import parts_of, plainly_spaced
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -38,15 +38,6 @@ REMEMBERED = 300_000
 #: Ids that are read from a mapped file at a time.
 READ_IDS = 1 << 20
 
-#: White space other than blanks and line feeds, and the mark that cuts texts.
-_OTHER_SPACE = re.compile("[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-
-
-def plainly_spaced(text: str) -> bool:
-    """Whether all white space is single blanks or line feeds between other characters."""
-    runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-    return not (runs or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text))
-
 
 class Memory(dict):
     """A dictionary of two generations: when the young one is full it becomes the old one."""
@@ -111,8 +102,7 @@ class PieceEncoder:
             return self._ids(self.library.encode(text, add_special_tokens=False).ids)
         if not plainly_spaced(text):
             return self._part(text)
-        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return b"".join(map(self.parts.__getitem__, parts))
+        return b"".join(map(self.parts.__getitem__, parts_of(text)))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
