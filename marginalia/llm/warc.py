@@ -5,7 +5,7 @@ with the largest identifier is a `response`, the others are `revisit` records th
 carry no payload; payloads under `min_bytes` are all responses. Files are written by Spark's text
 writer, whose line separator is the blank lines that end a WARC record.
 
-Reading. A magic string may stand inside a payload, so a scan cannot tell records by it. Tasks scan
+Reading, plain or compressed; offsets are those of the plain bytes. A magic string may stand inside a payload, so a scan cannot tell records by it. Tasks scan
 slices of the files and emit every place where the magic stands as a candidate, with the offset
 that its headers give for the next record. Pointer jumping then doubles, round by round, how far
 the chain from offset 0 of each file is known to reach; only candidates on it are records.
@@ -14,6 +14,7 @@ the chain from offset 0 of each file is known to reach; only candidates on it ar
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -38,7 +39,7 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(F.concat(*parts), _HEX, _BASE32)
 
 
-def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
+def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """key, url, body, payload_bytes, payload_digest, record_type, refers_to of each page.
 
     A null payload is empty, a null url is left out. Rows with a null key are not archived. Of
@@ -52,21 +53,23 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
         F.octet_length(body).cast("long").alias("payload_bytes"),
         base32_sha1(body).alias("payload_digest"),
     )
-    keyed = sized.drop("body", "url").distinct()
     # Only payloads that occur twice take part in the join: one row each, after partial sums.
+    slim = sized.select("page_id", "payload_digest", "payload_bytes")
     shared = (
-        sized.groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_n") > 1) & (F.col("payload_bytes") >= min_bytes))
-        .drop("_n")
+        slim.groupBy("payload_digest", "payload_bytes")
+        .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter((F.col("n") > 1) & (F.col("payload_bytes") >= min_bytes))
+        .drop("n")
     )
     shared = materialize(shared, "warc-shared")
-    repeats = keyed.join(shared, ["payload_digest", "payload_bytes"]).filter("page_id <> _first").select("page_id", "payload_digest", "_first")
-    return (
-        sized.join(repeats, ["page_id", "payload_digest"], "left")
-        .withColumn("record_type", F.when(F.col("_first").isNull(), "response").otherwise("revisit"))
-        .withColumnRenamed("_first", "refers_to")
-    )
+    repeats = slim.join(shared, ["payload_digest", "payload_bytes"]).filter("page_id <> first").select("page_id", "payload_digest", "first").distinct()
+    firsts = repeats.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("payload_digest", "first"))).alias("firsts"))
+    # Bodies are shuffled once: the join's partitions are the archive's files.
+    total = pages.agg(F.sum(F.octet_length(html).cast("long"))).first()[0] or 0
+    files = max(1, -(-total // file_bytes))
+    joined = sized.repartition(files, "page_id").join(firsts.repartition(files, "page_id"), "page_id", "left")
+    refers_to = F.try_element_at("firsts", F.col("payload_digest"))
+    return joined.withColumn("refers_to", refers_to).withColumn("record_type", F.when(refers_to.isNull(), "response").otherwise("revisit")).drop("firsts")
 
 
 def _record(names: dict[str, Column], body: Column) -> Column:
@@ -74,8 +77,8 @@ def _record(names: dict[str, Column], body: Column) -> Column:
     return F.concat(F.lit(MAGIC), *lines, F.lit("\r\n"), body)
 
 
-def write_archive(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Write planned records; each file is a chain of records from offset 0."""
+def write_archive(records: DataFrame, path: str) -> None:
+    """Write planned records, a gzip file a partition; each file is a chain of records from offset 0."""
     revisit = F.col("record_type") == "revisit"
     stored = F.when(revisit, F.lit("")).otherwise(F.col("body"))
     one_line = F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20")
@@ -94,10 +97,7 @@ def write_archive(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -
         },
         stored,
     )
-    total = records.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
-    spread = records.repartition(int(files), F.xxhash64("page_id", "payload_digest"))
-    spread.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 _FIELD = re.compile(rb"([A-Za-z0-9-]+): ?([^\r\n]*)\r\n")
@@ -125,6 +125,7 @@ def _candidates(with_payload: bool):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data, rows, at = content.as_py(), [], -1
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 while (at := data.find(magic, at + 1)) >= 0:
                     head = _headers(data, at)
                     if head is None:
