@@ -157,3 +157,13 @@ def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cache = docs.filter("doc_id % 3 = 0").select(F.sha2("text", 256).alias("text_hash"), F.lit("local").alias("provider"), F.lit("m").alias("model"), F.lit("1").alias("version"))
     return retrieval.embedding_misses(docs, cache, "local", "m", "1").select("text_hash")
+
+
+@query()
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain for four questions over all documents."""
+    from marginalia.plans.answer import answers
+
+    wording = ("token for the license and the password", "compare the and of", "standard license of the", "")
+    asked = spark.range(len(wording)).select(F.col("id").alias("query_id"), F.array(*[F.lit(w) for w in wording])[F.col("id").cast("int")].alias("query"))
+    return answers(asked, chunks_of(spark, sf_dir))
