@@ -103,11 +103,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (norms == 0), F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine top k over (chunk_id, vector) for (query_id, vector): query_id, chunk_id, score over 0, rank."""
-    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("wanted"))))
-    scored = pairs.select("query_id", "chunk_id", cosine(F.col("wanted"), F.col("vector")).alias("score"))
-    return top(scored.filter((F.col("score") > 0) & (F.col("query_id") != F.col("chunk_id"))), k)
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 512, chunk: int = 1024) -> DataFrame:
+    """Exact cosine top k over (chunk_id, vector) for (query_id, vector): query_id, chunk_id, score over 0, rank.
+
+    The stated queries meet all vectors in blocks: a task joins one block of vectors with one
+    chunk of queries, whatever the sizes of the tables.
+    """
+    blocks, chunks = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // chunk))
+    left = queries.select(
+        "query_id", F.col("vector").alias("wanted"), F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")
+    )
+    right = vectors.select("chunk_id", "vector", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_c"))
+    scored = left.join(right, ["_b", "_c"]).filter(F.col("query_id") != F.col("chunk_id")).select("query_id", "chunk_id", cosine(F.col("wanted"), F.col("vector")).alias("score"))
+    return top(scored.filter(F.col("score") > 0), k)
 
 
 def priority(source_type: Column, configured: dict[str, int] | None = None) -> Column:

@@ -160,14 +160,16 @@ def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH h AS (SELECT doc_id, source, sha256(text) AS d FROM documents)
-SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || d, e'\n' ORDER BY doc_id)) AS corpus_hash, CAST(count(*) AS BIGINT) AS n
-FROM h GROUP BY source""")
+WITH h AS (SELECT source, doc_id, doc_id // 1024 AS page, sha256(text) AS d FROM documents),
+p AS (SELECT source, page, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || d, e'\n' ORDER BY doc_id)) AS d, count(*) AS n FROM h GROUP BY source, page)
+SELECT source, sha256(string_agg(d, e'\n' ORDER BY page)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY source""")
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest a source over the digests of its documents, in key order (a line of 80 bytes a document)."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("d"))
+    """One digest a source, in two levels: digests of 1,024 keys, then of those in order, so no group holds all documents."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / 1024).alias("page"), F.sha2("text", 256).alias("d"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "d"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["d"]))
-    return docs.groupBy("source").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("corpus_hash"), F.count(F.lit(1)).alias("n"))
+    pages = docs.groupBy("source", "page").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("page", "d"))), lambda x: x["d"])
+    return pages.groupBy("source").agg(F.sha2(F.array_join(in_order, "\n"), 256).alias("corpus_hash"), F.sum("n").alias("n"))
 
 
 @query(r"""

@@ -207,7 +207,7 @@ def test_stream_gives_what_the_batch_gives(spark, sf):
 
 def test_layout_rules(spark):
     kinds = [one(spark, v, lambda c: layout.block_kind(c, F.lit(1))) for v in ("表 1 数据", "Figure 2: x", "F = m a", "3.1 Rotor balance", "plain text here", " ", "第3章 转子")]
-    assert kinds == ["table", "figure", "formula", "body", "body", "unknown", "title"] or kinds[3] in ("title", "body")
+    assert kinds == ["table", "figure", "formula", "title", "body", "unknown", "title"]
     boxes = spark.createDataFrame([(1, [[float(x), float(y), x + 3.0, y + 3.0] for x in range(100, 180, 8) for y in range(100, 180, 8)])], "page_id long, boxes array<array<double>>")
     got = layout.clusters(boxes, 595.0, 842.0).collect()
     assert len(got) == 1 and got[0].n_boxes == 100 and got[0].bbox == [100.0, 100.0, 175.0, 175.0]
@@ -257,7 +257,7 @@ def test_stores(spark):
     assert one(spark, "abc", sinks.uuid5) == str(uuid.uuid5(uuid.NAMESPACE_URL, "abc"))
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     fresh = sinks.with_surrogate(spark.createDataFrame([("b",), ("c",)], "name string"), old, "name").collect()
-    assert {r.name: r.id for r in fresh}["b"] == 2 and all(r.id > 2 for r in fresh if r.name == "c")
+    assert {r.name: r.id for r in fresh}["b"] == 2 and {r.name: r.id for r in fresh}["c"] > 2
     with pytest.raises(Exception, match="more than one document"):
         sinks.guarded(spark.createDataFrame([("a",), ("b",)], "doc string"), "doc").collect()
 
