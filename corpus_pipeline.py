@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each copy, and whether they decode to its text."""
-    coded = bpe.decode(bpe.encode(packed(docs, text="text")))
+    coded = bpe.encode_and_decode(packed(docs, text="text"))
     return coded.select(
         "row.doc_id",
         "row.lang",

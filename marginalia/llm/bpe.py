@@ -32,13 +32,15 @@ from marginalia.llm.pieces import parts_of, plainly_spaced
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words, and parts of texts, that a worker remembers before it starts afresh.
-REMEMBERED, REMEMBERED_PARTS = 800_000, 400_000
+REMEMBERED, REMEMBERED_PARTS = 500_000, 200_000
 #: Words in one recursive query.
-WORDS_A_QUERY = 20_000
+WORDS_A_QUERY = 10_000
 #: Ids in one decoding query.
-IDS_A_QUERY = 200_000
+IDS_A_QUERY = 100_000
 LONG_PIECE = 256
-DUCKDB_MEMORY = "160MB"
+#: Rows of an Arrow batch.
+BATCH_ROWS = 256
+DUCKDB_MEMORY = "128MB"
 
 ENCODE = """
 WITH RECURSIVE state AS (
@@ -207,32 +209,53 @@ def codec(name: str = RANKS) -> Codec:
     return _CODECS[name]
 
 
+IDS, BYTES = pa.list_(pa.int32()), pa.binary()
+
+
+def _id_lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *found]))
+
+
 def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS, out: str = "_ids") -> DataFrame:
     """Adds the token ids of each whole text; null and empty texts have none."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, BATCH_ROWS)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
-        found = list(codec(ranks).encode(texts.to_pylist()))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *found]))
+        return _id_lists(list(codec(ranks).encode(texts.to_pylist())))
+
+    return docs.withColumn(out, ids(F.col(text)))
 
-    # Marked as not deterministic, or a query of both ids and decoded bytes would encode twice.
-    return docs.withColumn(out, ids.asNondeterministic()(F.col(text)))
+
+def _decoded(lists: pa.Array, known: Codec) -> pa.Array:
+    parts = [np.asarray(x.values, dtype=np.int32) if x.is_valid else np.zeros(0, np.int32) for x in lists]
+    if any(len(x) and (x.min() < 0 or x.max() >= len(known.ranks)) for x in parts):
+        raise ValueError("an id is not in the vocabulary")
+    return pa.array([b if x.is_valid else None for b, x in zip(known.decode(parts), lists)], BYTES)
 
 
 def decode(encoded: DataFrame, ids: str = "_ids", ranks: str = RANKS, out: str = "_decoded") -> DataFrame:
     """Adds the bytes that the ids stand for; null for null ids. Ids outside the vocabulary are an error."""
-    bound_batches(encoded.sparkSession)
+    bound_batches(encoded.sparkSession, BATCH_ROWS)
 
     @F.arrow_udf(T.BinaryType())
     def decoded(lists: pa.Array) -> pa.Array:
-        parts = [np.asarray(x.values, dtype=np.int32) if x.is_valid else np.zeros(0, np.int32) for x in lists]
-        known = codec(ranks)
-        top = len(known.ranks)
-        if any(len(x) and (x.min() < 0 or x.max() >= top) for x in parts):
-            raise ValueError("an id is not in the vocabulary")
-        raw = known.decode(parts)
-        return pa.array([b if x.is_valid else None for b, x in zip(raw, lists)], pa.binary())
+        return _decoded(lists, codec(ranks))
 
     return encoded.withColumn(out, decoded(F.col(ids)))
+
+
+def encode_and_decode(docs: DataFrame, text: str = "text", ranks: str = RANKS, ids: str = "_ids", decoded: str = "_decoded") -> DataFrame:
+    """Adds the ids of each text and the bytes that they decode to, in one visit of one worker."""
+    bound_batches(docs.sparkSession, BATCH_ROWS)
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+
+    @F.arrow_udf(kind)
+    def both(texts: pa.Array) -> pa.Array:
+        lists = _id_lists(list(codec(ranks).encode(texts.to_pylist())))
+        return pa.StructArray.from_arrays([lists, _decoded(lists, codec(ranks))], names=["ids", "decoded"])
+
+    # Not to be evaluated again for each field that a query takes.
+    coded = docs.withColumn(ids, both.asNondeterministic()(F.col(text)))
+    return coded.withColumn(decoded, F.col(ids)["decoded"]).withColumn(ids, F.col(ids)["ids"])

@@ -60,7 +60,7 @@ FROM h WINDOW g AS (PARTITION BY text_sha256)
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs).select("doc_id", "_ids"))
+    coded = bpe.encode_and_decode(docs)
     return coded.select(
         "doc_id",
         F.size("_ids").cast("long").alias("n_tokens"),

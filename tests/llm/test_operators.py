@@ -249,7 +249,9 @@ def test_bpe_matches_the_library_and_round_trips(spark, odd, reference_encoding)
     for r in got:
         assert r._ids == reference_encoding.encode_ordinary(r.text or "")
         assert bytes(r._decoded) == (r.text or "").encode()
-    assert bpe.decode(bpe.encode(empty_docs(spark))).count() == 0
+    both = {r.text: r for r in bpe.encode_and_decode(odd).select("text", "_ids", "_decoded").collect()}
+    assert all(both[r.text]._ids == r._ids and both[r.text]._decoded == r._decoded for r in got)
+    assert bpe.decode(bpe.encode(empty_docs(spark))).count() == 0 and bpe.encode_and_decode(empty_docs(spark)).count() == 0
 
 
 def test_long_pieces_take_the_same_merges(reference_encoding):
@@ -387,6 +389,36 @@ def test_cuts_keep_characters_whole_and_survive_insertions():
     assert substring_dedup.cuts(b"") == []
 
 
+# Pipeline
+
+
+def test_stages_keep_columns_and_their_decisions(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k, t, "en", "src0", len(t or ""), "x", 1) for k, t in enumerate(TEXTS)] + [(50, "you idiot moron", "en", "src1", 15, "x", 1)]
+    rows += [(100 + k, f"plain text number {k} w{k % 9} idiot v{k % 11} moron" if k % 2 else f"plain text number {k} about rivers", "en", "src1", 30, "x", 1) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, bucket int")
+    labels = spark.createDataFrame([(100 + k, k % 2) for k in range(160)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now, kept = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        if name != "byte-level bpe":
+            assert sorted(now.columns) == sorted(docs.columns), name
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        kept.append({r.doc_id for r in now.select("doc_id").collect()})
+    assert kept[0] >= set(range(9)) and 50 not in kept[0] and not kept[0] & {101 + 2 * k for k in range(80)}
+    assert 1 not in kept[1] and 0 in kept[1] and 8 not in kept[1] and 7 in kept[1]
+    assert kept[2] <= kept[1] and 0 in kept[2] and 2 not in kept[2]
+    assert kept[3] <= kept[2] and kept[4] == kept[3]
+    assert now.filter("not round_trip").count() == 0
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, str(tmp_path)) if nothing.columns == docs.columns else nothing
+    assert nothing.count() == 0
+
+
 # Registered queries with SQL
 
 
