@@ -74,11 +74,14 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST
         .withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "name", "copy")))
         .withColumn("bucket", F.conv(F.substring("order", 1, 4), 16, 10).cast("long"))
     )
+    # Dealt here and sorted at the end, not by the window alone: a caller may drop the position, but not the order.
+    shuffled = copied.repartition("bucket")
     sizes = copied.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     bases = prefix_sums(sizes, "bucket", "n", "base").drop("n")
     inside = Window.partitionBy("bucket").orderBy("order")
     return (
-        copied.withColumn("rank", F.row_number().over(inside))
+        shuffled.withColumn("rank", F.row_number().over(inside))
         .join(F.broadcast(bases), "bucket")  # BUCKETS rows at most
+        .sortWithinPartitions("bucket", "order")
         .select("row", "copy", (F.col("base") + F.col("rank") - 1).cast("long").alias("position"))
     )

@@ -219,6 +219,8 @@ def test_mixture_meets_its_weights_and_order(spark):
     assert abs(share["a"] - 0.5) < 0.02 and abs(share["b"] - 0.3) < 0.02 and abs(len(mixed) - 20_000) < 600
     assert sorted(mixed.position) == list(range(len(mixed)))
     assert abs(np.corrcoef(mixed.position, mixed.doc_id)[0, 1]) < 0.05
+    order = [r.doc_id for r in mixing.mix(docs, {"a": 0.5, "b": 0.3}, rest=0.2).select("row.doc_id").collect()]
+    assert abs(np.corrcoef(range(len(order)), order)[0, 1]) < 0.05  # also where nobody asks for the position
     per_doc = mixed.groupby("doc_id").copy.agg(["max", "count"])
     assert (per_doc["max"] == per_doc["count"]).all()
 
