@@ -25,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked the one with the smallest doc_id."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 

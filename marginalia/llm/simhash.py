@@ -9,6 +9,10 @@ keys (near_i, own_j) and the right keys (own_i, near_j); left and right keys of
 fingerprints meet, and the join keeps the pairs whose bits really differ by three at most.
 Fingerprints are made distinct first, so copies add nothing to the join, and components are found
 over distinct fingerprints.
+
+Texts with a Jaccard similarity of 0.8 differ in about nine bits, and a pigeonhole over 64 bits
+that wide has keys too short to tell texts apart. `keep_one` therefore takes candidates from
+min-hash bands as well as from links, and verifies each by the exact similarity of the texts.
 """
 
 from __future__ import annotations
@@ -32,6 +36,15 @@ SEGMENTS = (22, 21, 21)
 GENERATOR = 0b110001110101
 #: Shingles hashed at a time; bounds the memory a very long text takes.
 BLOCK = 200_000
+#: What makes near copies for keep_one: shingles of so many words with a Jaccard similarity of so much.
+COPY_WORDS = 5
+SIMILARITY = 0.8
+#: A band is the minima of BAND_ROWS hash functions; two texts at 0.8 share one of them with 1 - (1 - 0.8^5)^20 = 0.9996.
+BANDS, BAND_ROWS = 20, 5
+#: Members of a band's group that all meet each other.
+SMALL_GROUP = 16
+#: Shingles that all hash functions take at a time.
+MINIMA_BLOCK = 4_096
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -156,10 +169,110 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` whose key is the smallest of their component; of rows that share that key, one."""
-    grouped = near_duplicates(docs, key, text, words, max_bits)
-    stays = grouped.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key")).distinct()
-    kept = packed(docs, key=key).join(stays, F.col("key").eqNullSafe(F.col("kept_key")), "left_semi")
-    twin = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+def _minima(minima: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The minima so far with a block of shingle hashes taken in."""
+    odd, shift = _FUNCTIONS
+    low = (block ^ (block >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(low), MINIMA_BLOCK):
+        minima = np.minimum(minima, (low[None, at : at + MINIMA_BLOCK] * odd + shift).min(axis=1))
+    return minima
+
+
+_FUNCTIONS = (
+    np.random.default_rng(SEED).integers(0, 1 << 31, (BANDS * BAND_ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1),
+    np.random.default_rng(SEED + 1).integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), dtype=np.uint32),
+)
+
+
+def sketch(text: str | None, words: int = COPY_WORDS) -> tuple[int, list[int]]:
+    """The fingerprint of a text and a hash of each of its bands, as signed integers."""
+    ones, n, minima = np.zeros(64, dtype=np.int64), 0, np.full(BANDS * BAND_ROWS, (1 << 32) - 1, dtype=np.uint32)
+    for block in shingle_hashes(text, words):
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(block)
+        minima = _minima(minima, block.astype(np.uint64))
+    bands = [xxhash.xxh64_intdigest(minima[at : at + BAND_ROWS].tobytes(), at) for at in range(0, len(minima), BAND_ROWS)]
+    print_ = np.packbits(2 * ones > n).view(">u8").astype(np.uint64) if n else np.zeros(1, np.uint64)
+    return int(print_.view(np.int64)[0]), np.array(bands, dtype=np.uint64).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of shingle hashes; 1 for two texts without words."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _shingle_set(text: str | None, words: int) -> np.ndarray:
+    blocks = [np.unique(b.astype(np.uint64)) for b in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def _candidates(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes: of equal bands, or of equal or linked fingerprints.
+
+    In a band's group of up to SMALL_GROUP members all meet each other; in a larger one each meets
+    two, the first and the last by a hash that differs from band to band, so a group of any size
+    gives pairs in proportion to its members, and members that are not similar to those two meet
+    others in the next band.
+    """
+    banded = marks.select("node", F.posexplode("bands").alias("at", "band"))
+    place = F.struct(F.xxhash64("node", "at").alias("by"), F.col("node"))
+    groups = banded.groupBy("at", "band").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    large = groups.filter(F.col("n") > SMALL_GROUP).select("at", "band", F.explode(F.array("first.node", "last.node")).alias("b"))
+    alike = banded.join(large, ["at", "band"]).select(F.col("node").alias("a"), "b")
+    small = groups.filter(F.col("n") <= SMALL_GROUP).select("at", "band")
+    few = materialize(banded.join(small, ["at", "band"]), "copies-bands")
+    met = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["at", "band"]).filter("a < b").select("a", "b")
+    named = materialize(marks.groupBy("fp").agg(F.min("node").alias("name")), "copies-prints")
+    same = marks.join(named, "fp").select(F.col("node").alias("a"), F.col("name").alias("b"))
+    pairs = links(named).withColumnsRenamed({"a": "fa", "b": "fb"})
+    linked = pairs.join(named.select(F.col("fp").alias("fa"), F.col("name").alias("a")), "fa").join(named.select(F.col("fp").alias("fb"), F.col("name").alias("b")), "fb")
+    every = alike.union(met).union(same).union(linked.select("a", "b")).filter("a <> b")
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_copies(nodes: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the texts (node, text; a node has one text) that have a near copy; component is the smallest node reachable."""
+    bound_batches(nodes.sparkSession)
+
+    def marked(batches):
+        for batch in batches:
+            found = [sketch(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))], names=["node", "fp", "bands"]
+            )
+
+    @F.arrow_udf(T.BooleanType())
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, held = [], {}
+        for pair in zip(left.to_pylist(), right.to_pylist()):
+            sets = [held[t] if t in held else _shingle_set(t, words) for t in pair]
+            held = dict(zip(pair, sets))
+            out.append(jaccard(*sets) >= similarity)
+        return pa.array(out, pa.bool_())
+
+    marks = materialize(nodes.mapInArrow(marked, "node string, fp long, bands array<long>").dropDuplicates(["node"]), "copies-marks")
+    pairs = materialize(_candidates(marks), "copies-pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = materialize(nodes.join(asked, "node", "left_semi").dropDuplicates(["node"]), "copies-texts")
+    left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
+    true = pairs.join(left, "a").join(right, "b").filter(similar("text_a", "text_b")).select("a", "b")
+    return components(true, "a", "b")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Of each component of near copies the row with the smallest key; a null key comes after all others.
+
+    Near copies are texts whose sets of shingles have the given Jaccard similarity or more. A row
+    is its key and its text, so rows that share a key, or have none, stay where their texts differ.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    node = F.substring(F.sha2(body, 256), 1, 32)
+    rows = materialize(docs.select(F.col(key).alias("key"), node.alias("node")), "copies-keys")
+    nodes = docs.select(node.alias("node"), body.alias("text"))
+    placed = rows.join(near_copies(nodes, words, similarity), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = F.min(F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("node"))).alias("least")
+    stays = placed.groupBy("component").agg(least).select(F.col("least.key").alias("kept_key"), F.col("least.node").alias("kept_node"))
+    kept = packed(docs, key=key, node=node).join(stays, F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("node") == F.col("kept_node")), "left_semi")
+    twin = Window.partitionBy("key", "node").orderBy(F.xxhash64("row"))
     return kept.withColumn("twin", F.row_number().over(twin)).filter("twin = 1").select("row.*")

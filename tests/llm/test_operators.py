@@ -175,6 +175,34 @@ def test_keep_one_handles_odd_rows(spark, odd):
     assert 0 in ids and 1 not in ids and 2 not in ids and ids.count(7) <= 1
 
 
+def slow_jaccard(a, b):
+    a, b = ({tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_drops_copies_beyond_three_bits(spark):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(40)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)]
+    for k, words in enumerate(base):
+        changed = list(words)
+        for at in range(20, 300, 56 if k % 2 else 28):
+            changed[at] = "changed"
+        rows.append((100 + k, " ".join(changed)))
+    near = {100 + k for k in range(40) if slow_jaccard(rows[k][1], rows[40 + k][1]) >= 0.8}
+    far = [(simhash.simhash(rows[k][1]) ^ simhash.simhash(rows[40 + k][1])).bit_count() > 3 for k in range(40) if 100 + k in near]
+    assert len(near) == 20 and any(far)
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k for k, _ in rows} - near
+
+
+def test_keep_one_keeps_unique_texts_without_a_key_of_their_own(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(30)) for name in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (4, texts[3]), (4, texts[3])]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, texts[0]), (0, texts[1]), (5, texts[2]), (4, texts[3])])
+
+
 # Toxicity
 
 
