@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
+from marginalia.streaming.folds import ordered_fold
 
 
 def repeats(body: str, held: list[str]) -> bool:
@@ -29,31 +29,28 @@ def select_evidence(candidates: DataFrame, max_chunks: int = 12, token_budget: i
     """query_id, chunk_id, pick (from 1), tokens of the candidates (query_id, chunk_id, text, tokens, rank) that are taken.
 
     In rank order: repeats are passed over, a chunk that would pass the budget is passed over too,
-    and the selection ends at max_chunks. Each choice depends on the ones before; a query has a
-    few dozen ranked candidates, which are one row.
+    and the selection ends at max_chunks. Each choice depends on the ones before, so a query's
+    candidates stream past a fold that holds the bodies taken, max_chunks at most. Of candidates with equal
+    texts and tokens only the first can be taken, so the others are removed before.
     """
-    lists = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "tokens", "text"))).alias("found"))
+    place = F.struct("rank", "chunk_id", "text")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    first = candidates.groupBy("query_id", sha.alias("_sha"), "tokens").agg(F.min(place).alias("_first")).select("query_id", "tokens", "_first.*")
     kind = candidates.schema["query_id"].dataType.simpleString()
     id_type = candidates.schema["chunk_id"].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for name, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held, used = [], 0
-                for c in found:
-                    body = re.sub(r"\W+", "", (c["text"] or "").casefold())
-                    if len(held) >= max_chunks:
-                        break
-                    if repeats(body, held) or used + c["tokens"] > token_budget:
-                        continue
-                    held.append(body)
-                    used += c["tokens"]
-                    rows.append((name, c["chunk_id"], len(held), c["tokens"]))
-            types = (batch.schema.field(0).type, batch.schema.field(1).type.value_type.field("chunk_id").type, pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["query_id", "chunk_id", "pick", "tokens"])
-
-    return lists.mapInArrow(run, f"query_id {kind}, chunk_id {id_type}, pick int, tokens int")
+    def step(state, row):
+        held, used = state or ([], 0)
+        pick = None
+        if len(held) < max_chunks:
+            body = re.sub(r"\W+", "", (row[2] or "").casefold())
+            if body and used + row[3] <= token_budget and not repeats(body, held):
+                held, used = [*held, body], used + row[3]
+                pick = len(held)
+        return (held, used), (row[0], row[1], pick, row[3])
+
+    taken = ordered_fold(first, "query_id", ["rank", "chunk_id"], ["query_id", "chunk_id", "text", "tokens"], step, f"query_id {kind}, chunk_id {id_type}, pick int, tokens int")
+    return taken.filter("pick IS NOT NULL")
 
 
 def continuous_neighbors(chunks: DataFrame, window: int = 1) -> DataFrame:

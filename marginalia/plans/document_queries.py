@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
@@ -133,9 +133,9 @@ def neighbor_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy evidence selection a source: ranked by length, near-duplicates out, within a token budget."""
     docs = table(spark, sf_dir, "documents")
-    ranked = Window.partitionBy("source").orderBy(F.length("text").desc(), "doc_id")
-    seeds = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), "text", text.evidence_tokens(F.col("text")).alias("tokens"), F.row_number().over(ranked).alias("rank"))
-    return evidence.select_evidence(seeds.filter("rank <= 60"), max_chunks=12, token_budget=60_000)
+    rank = -F.coalesce(F.length("text"), F.lit(0))
+    seeds = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), "text", text.evidence_tokens(F.col("text")).alias("tokens"), rank.alias("rank"))
+    return evidence.select_evidence(seeds, max_chunks=12, token_budget=60_000)
 
 
 @query(f"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import question, redact, text
 from marginalia.operators import chunking, claims, evaluation, evidence, layout, retrieval
+from marginalia.plans import document_queries
 from marginalia.sources import files, sinks
 from marginalia.streaming import folds
 
@@ -131,6 +132,14 @@ def test_evidence_selection(spark):
     assert [(r.chunk_id, r.pick) for r in got] == [("a", 1), ("d", 2), ("f", 3)]
 
 
+def test_evidence_budget_looks_past_many_copies(spark, tmp_path):
+    long = " ".join(f"rotor{k}" for k in range(60))
+    rows = [(k, long, "s") for k in range(80)] + [(100 + k, f"{name} " * 12, "s") for k, name in enumerate(["north", "south", "east"])] + [(200, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = document_queries.evidence_budget(spark, str(tmp_path)).orderBy("pick").collect()
+    assert [(r.query_id, r.chunk_id, r.pick) for r in got] == [("s", 0, 1), ("s", 100, 2), ("s", 101, 3), ("s", 102, 4)]
+
+
 def test_claim_checks(spark):
     rows = [
         ("a", 1, "Damping is 5 Hz at Q", "c1", "The damping is 7Hz."),
