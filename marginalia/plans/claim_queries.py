@@ -53,9 +53,20 @@ DATA_FAMILIES = {"license": ("license", "licence", "copyright"), "secret": ("tok
     + ") AS more FROM c) SELECT doc_id, CASE WHEN t = '' THEN '' ELSE t || CASE WHEN len(more) > 0 THEN ' ' || array_to_string(more, ' ') ELSE '' END END AS expanded FROM e"
 )
 def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with the aliases of the families they name."""
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") < 2000)
-    return docs.select("doc_id", question.expanded(F.col("text"), DATA_FAMILIES, {}).alias("expanded"))
+    """Texts with the aliases of the families they name, of the rows that its SQL takes; alias_expand_all takes all."""
+    short = F.col("text_length") < 2000
+    return _alias_expanded(spark, sf_dir).filter(short).select("doc_id", "expanded")
+
+
+@query()
+def alias_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all documents with the aliases of the families they name; a null text is an empty one."""
+    return _alias_expanded(spark, sf_dir).select("doc_id", "expanded")
+
+
+def _alias_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.length("text").alias("text_length"), question.expanded(F.col("text"), DATA_FAMILIES, {}).alias("expanded"))
 
 
 def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import question, redact, text
 from marginalia.operators import chunking, claims, evaluation, evidence, layout, retrieval
-from marginalia.plans import document_queries
+from marginalia.plans import claim_queries, document_queries
 from marginalia.sources import files, sinks
 from marginalia.streaming import folds
 
@@ -140,6 +140,18 @@ def test_evidence_budget_looks_past_many_copies(spark, tmp_path):
     assert [(r.query_id, r.chunk_id, r.pick) for r in got] == [("s", 0, 1), ("s", 100, 2), ("s", 101, 3), ("s", 102, 4)]
 
 
+def test_alias_expand_all_takes_every_document(spark, tmp_path):
+    texts = [None, "", "  a \n plain  text", "a licence", "my password " + "x " * 1500, "y" * 2500 + " mail", "z" * 1999]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, t in enumerate(texts):
+        squeezed = " ".join((t or "").split())
+        more = [a for aliases in claim_queries.DATA_FAMILIES.values() if any(x in squeezed.lower() for x in aliases) for a in aliases]
+        want[k] = " ".join([squeezed, *more])
+    assert {r.doc_id: r.expanded for r in claim_queries.alias_expand_all(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id for r in claim_queries.alias_expand(spark, str(tmp_path)).collect()} == {1, 2, 3, 6}
+
+
 def test_claim_checks(spark):
     rows = [
         ("a", 1, "Damping is 5 Hz at Q", "c1", "The damping is 7Hz."),
