@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Keys of one block of a prefix sum; only one row a block meets in the second level.
 PREFIX_BLOCK = 4096
 #: Rows of an Arrow batch that carries whole texts.
 TEXT_BATCH_ROWS = 512
+#: Bytes of texts that a Python function holds as objects at a time, about.
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +51,27 @@ def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def text_slices(batches: Iterable[pa.Array], size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Arrow batches (Spark bounds their bytes) in slices of about `size` bytes, a row at least, in order."""
+    for batch in batches:
+        length = pc.list_value_length(batch) if pa.types.is_list(batch.type) else pc.binary_length(batch)
+        at, taken = 0, np.cumsum(np.asarray(pc.fill_null(length, 0), dtype=np.int64) + 1)
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(taken, (taken[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def sliced_udf(function: Callable[[pa.Array], pa.Array], kind: T.DataType):
+    """An Arrow function of one column, called with slices of bounded bytes; no session setting is touched."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in text_slices(batches):
+            yield function(some)
+
+    return F.arrow_udf(run, kind)
+
+
 def packed(docs: DataFrame, **columns) -> DataFrame:
     """All columns of a table in the struct `row`, beside columns under names of our own: no names can clash."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

@@ -62,10 +62,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_and_decode(docs)
     return coded.select(
-        "doc_id",
-        F.size("_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("_decoded", 256).alias("decoded_sha256"),
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
