@@ -23,11 +23,6 @@ def plainly_spaced(text: str) -> bool:
     return not (runs or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text))
 
 
-def parts_of(text: str) -> list[str]:
-    """The parts of a plainly spaced text; blanks stand at the start of parts."""
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-
 def parts_array(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The parts of plainly spaced texts in a row, and how many each text has. Blanks stand at the start of parts."""
     size = np.asarray(pc.binary_length(texts), dtype=np.int64)
