@@ -5,10 +5,12 @@ with the largest identifier is a `response`, the others are `revisit` records th
 carry no payload; payloads under `min_bytes` are all responses. Files are written by Spark's text
 writer, whose line separator is the blank lines that end a WARC record.
 
-Reading, plain or compressed; offsets are those of the plain bytes. A magic string may stand inside a payload, so a scan cannot tell records by it. Tasks scan
-slices of the files and emit every place where the magic stands as a candidate, with the offset
-that its headers give for the next record. Pointer jumping then doubles, round by round, how far
-the chain from offset 0 of each file is known to reach; only candidates on it are records.
+Reading, plain or compressed; offsets are those of the plain bytes. A magic string may stand inside
+a payload, so a scan cannot tell records by it. Tasks scan the files, one whole file at a time (the
+writer keeps them small), and emit every place where the magic stands as a candidate, with the
+offset that its headers give for the next record. Pointer jumping then doubles, round by round, how
+far the chain from offset 0 of each file is known to reach; only candidates on it are records, and
+the chain must reach the end of the file.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import materialize, new_path
@@ -40,36 +42,47 @@ def base32_sha1(text: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """key, url, body, payload_bytes, payload_digest, record_type, refers_to of each page.
+    """page_id, url, body, payload_bytes, payload_digest, record_type, refers_to of each page.
 
-    A null payload is empty, a null url is left out. Rows with a null key are not archived. Of
-    rows that share key and payload one is the response; the others revisit it.
+    A null payload is empty, a null url is left out, a null key is the smallest. Of rows that share
+    the largest key of a payload, one is the response; the others revisit it.
     """
     body = F.coalesce(F.col(html), F.lit(""))
-    sized = pages.filter(F.col(key).isNotNull()).select(
+    sized = pages.select(
         F.col(key).alias("page_id"),
+        F.coalesce(F.col(key), F.lit(0)).alias("id"),
+        F.col(key).isNull().alias("nameless"),
         F.col(url).alias("url"),
         body.alias("body"),
         F.octet_length(body).cast("long").alias("payload_bytes"),
         base32_sha1(body).alias("payload_digest"),
     )
     # Only payloads that occur twice take part in the join: one row each, after partial sums.
-    slim = sized.select("page_id", "payload_digest", "payload_bytes")
+    slim = sized.select("page_id", "id", "nameless", "payload_digest", "payload_bytes")
     shared = (
         slim.groupBy("payload_digest", "payload_bytes")
         .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .filter((F.col("n") > 1) & (F.col("payload_bytes") >= min_bytes))
-        .drop("n")
+        .select("payload_digest", "payload_bytes", "first", F.lit(True).alias("shared"))
     )
     shared = materialize(shared, "warc-shared")
-    repeats = slim.join(shared, ["payload_digest", "payload_bytes"]).filter("page_id <> first").select("page_id", "payload_digest", "first").distinct()
-    firsts = repeats.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("payload_digest", "first"))).alias("firsts"))
+    row = ["id", "nameless", "payload_digest", "payload_bytes"]
+    firsts = slim.join(shared, ["payload_digest", "payload_bytes"]).select(*row, "first", "shared").distinct()
     # Bodies are shuffled once: the join's partitions are the archive's files.
     total = pages.agg(F.sum(F.octet_length(html).cast("long"))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    joined = sized.repartition(files, "page_id").join(firsts.repartition(files, "page_id"), "page_id", "left")
-    refers_to = F.try_element_at("firsts", F.col("payload_digest"))
-    return joined.withColumn("refers_to", refers_to).withColumn("record_type", F.when(refers_to.isNull(), "response").otherwise("revisit")).drop("firsts")
+    joined = sized.repartition(files, *row).join(firsts.repartition(files, *row), row, "left")
+    twin = F.row_number().over(Window.partitionBy(*row).orderBy("payload_bytes"))
+    stored = F.col("shared").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("twin") == 1))
+    return joined.withColumn("twin", twin).select(
+        "page_id",
+        "url",
+        "body",
+        "payload_bytes",
+        "payload_digest",
+        F.when(stored, "response").otherwise("revisit").alias("record_type"),
+        F.when(~stored, F.col("first")).alias("refers_to"),
+    )
 
 
 def _record(names: dict[str, Column], body: Column) -> Column:
@@ -85,7 +98,7 @@ def write_archive(records: DataFrame, path: str) -> None:
     text = _record(
         {
             "WARC-Type": F.col("record_type"),
-            "WARC-Record-ID": F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">")),
+            "WARC-Record-ID": F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">")),
             "WARC-Target-URI": one_line,
             "WARC-Date": F.lit("1970-01-01T00:00:00Z"),
             "WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("payload_digest")),
@@ -100,6 +113,8 @@ def write_archive(records: DataFrame, path: str) -> None:
     records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+#: Type of the row that stands for the end of a file.
+END = "end"
 _FIELD = re.compile(rb"([A-Za-z0-9-]+): ?([^\r\n]*)\r\n")
 _HEAD_END = b"\r\n\r\n"
 
@@ -120,6 +135,8 @@ def _number(value: bytes | None) -> int | None:
 
 
 def _candidates(with_payload: bool):
+    """Rows of RECORD for each place of the magic in a file, and one of the type END at the file's end."""
+
     def scan(batches):
         magic = MAGIC.encode()
         for batch in batches:
@@ -142,6 +159,7 @@ def _candidates(with_payload: bool):
                     elif kind == "revisit":
                         size = _number(fields.get(b"x-payload-bytes"))
                     rows.append((path, at, end + 4 if whole else None, _number(fields.get(b"warc-record-id")), kind, size, digest, _number(fields.get(b"warc-refers-to")), payload if with_payload else None))
+                rows.append((path, len(data), None, None, END, None, None, None, None))
                 types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
                 names = [f.split()[0] for f in RECORD.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
@@ -174,21 +192,23 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
     """The verified records of all archive files under a path: page_id, type, payload_bytes, digest, refers_to.
 
     With payload, responses carry their bytes. A record whose payload does not match its digest
-    has a null digest.
+    has a null digest. A file whose chain does not reach its end is an error.
     """
-    # One file is one row and one Arrow batch.
-    setting, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(setting, "1")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = materialize(files.mapInArrow(_candidates(with_payload), RECORD), "warc-candidates")
-    spark.conf.set(setting, before)
     chain = reachable(found.select("file", "start", "next"))
-    return found.join(chain, ["file", "start"], "left_semi")
+    broken = found.filter(F.col("type") == END).join(chain, ["file", "start"], "left_anti").select("file").first()
+    if broken:
+        raise ValueError(f"the chain of records breaks in {broken[0]}")
+    return found.filter(F.col("type") != END).join(chain, ["file", "start"], "left_semi")
 
 
 def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Write pages into a fresh folder of the shared store and read the records back."""
+    """Write pages into a fresh folder of the shared store and read the records back, as many as pages."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archive(plan_records(pages, key, url, html, min_bytes), path)
-    return read_archive(spark, path)
+    records, written = read_archive(spark, path), pages.count()
+    if (found := records.count()) != written:
+        raise ValueError(f"{written} pages were written and {found} records read")
+    return records
