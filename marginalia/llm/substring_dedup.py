@@ -2,8 +2,8 @@
 
 A text is cut where the gear hash of the last WINDOW bytes ends in zeros under a mask, so an
 insertion moves the cuts near it only and the chunks after it keep their bytes. Chunks are
-deduplicated by a 128-bit digest: the first occurrence in the order (key, offset) stays, later
-ones in other rows are repeats. Repeats that touch are one span; spans of MIN_SPAN bytes or more
+deduplicated by a 128-bit digest and their size: the first occurrence in the order (key, offset)
+stays, later ones are repeats. Repeats that touch are one span; spans of MIN_SPAN bytes or more
 are reported. With chunks of about 30 bytes a passage of 50 words holds several whole ones.
 """
 
@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import bound_batches
+from marginalia.llm.common import materialize, packed, text_slices
 
 MIN_CHUNK, MAX_CHUNK = 16, 256
 #: Bits 20 to 23 of the hash: a place depends on 24 bytes, and one in 16 is a cut.
 MASK = np.uint32(0xF << 20)
 WINDOW = 24
 MIN_SPAN = 128
-CHUNK = "doc long, start int, size int, high long, low long"
+CHUNK = "doc long, row long, start int, size int, high long, low long"
 
 
 def gear_table() -> np.ndarray:
@@ -67,7 +67,8 @@ def cuts(raw: bytes) -> list[int]:
 
 def _chunk_rows(batches):
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        texts = (t for some in text_slices([batch.column(2)]) for t in some)
+        for key, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             ends = cuts(raw)
             if not ends:
@@ -79,12 +80,13 @@ def _chunk_rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(first), key, dtype=np.int64)),
+                    pa.array(np.full(len(first), row, dtype=np.int64)),
                     pa.array(first),
                     pa.array(np.array(ends, dtype=np.int32) - first),
                     pa.array(np.ascontiguousarray(pair[:, 0])),
                     pa.array(np.ascontiguousarray(pair[:, 1])),
                 ],
-                names=["doc", "start", "size", "high", "low"],
+                names=["doc", "row", "start", "size", "high", "low"],
             )
 
 
@@ -102,64 +104,77 @@ def _joined_batches(batches):
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a chunk: doc, start and size in UTF-8 bytes, 128-bit digest as two longs.
+    """One row a chunk: doc, row (a hash of the text), start and size in UTF-8 bytes, 128-bit digest as two longs.
 
     Rows with a null key, null and empty texts have no chunks.
     """
-    bound_batches(docs.sparkSession)
-    some = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text))
+    some = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.xxhash64(text), F.col(text))
     return some.mapInArrow(_joined_batches, CHUNK)
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
-    """Spans that repeat text of a row with a smaller key: key, start, size (bytes), chunks, first_doc_id, occurrences.
+def _repeats(every: DataFrame) -> DataFrame:
+    """The chunks that are not the first of their digest and size, with the first place and the number of places.
 
+    First the digests that occur twice are found by half a digest, combined before the shuffle; what
+    shares them is a small part of all chunks, and the rest is done on that part. Both joins bring a
+    table of one row a digest to the chunks, so that adaptive execution can split a frequent digest.
+    """
+    twice = materialize(every.groupBy("high").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("high"), "chunks-twice")
+    shared = materialize(every.join(twice, "high", "left_semi"), "chunks-shared")
+    place = F.struct("doc", "row", "start")
+    firsts = shared.groupBy("high", "low", "size").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
+    firsts = materialize(firsts, "chunks-firsts")
+    return shared.join(firsts, ["high", "low", "size"]).filter(place > F.col("first"))
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN, inside: bool = True) -> DataFrame:
+    """Spans that repeat earlier text: key, text_hash, start, size (bytes), chunks, first_doc_id, occurrences.
+
+    Earlier is the order of key, hash of the text, and place in the text. A row is its key and its
+    text: rows that share both count as one (none repeats the other, and their span is given once),
+    rows that share the key alone are apart. `inside` asks for repeats of the row's own text too.
     first_doc_id is the smallest key that holds the first occurrence of a chunk of the span;
-    occurrences is the largest count of any of its chunks. Repeats inside one row are left alone.
+    occurrences is the largest count of any of its chunks in the table.
     """
-    every = chunks(docs, key, text)
-    shared = (
-        every.groupBy("high", "low")
-        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("occurrences"))
-        .filter("first < last")
-        .select("high", "low", "first", "occurrences")
-    )
-    repeats = every.join(shared, ["high", "low"]).filter("doc > first")
-    in_order = Window.partitionBy("doc").orderBy("start")
-    opens = F.coalesce((F.lag(F.col("start") + F.col("size")).over(in_order) < F.col("start")).cast("int"), F.lit(1))
+    repeats = _repeats(materialize(chunks(docs, key, text), "chunks"))
+    if not inside:
+        repeats = repeats.filter((F.col("doc") != F.col("first.doc")) | (F.col("row") != F.col("first.row")))
+    in_order = Window.partitionBy("doc", "row").orderBy("start")
+    ended = F.lag(F.col("start") + F.col("size")).over(in_order)
     spans = (
-        repeats.select("doc", "start", "size", "first", "occurrences")
-        .withColumn("_opens", opens)
+        repeats.select("doc", "row", "start", "size", F.col("first.doc").alias("first"), "occurrences")
+        .withColumn("_opens", F.coalesce((ended < F.col("start")).cast("int"), F.lit(1)))
+        .withColumn("_again", F.coalesce(F.lag("start").over(in_order) == F.col("start"), F.lit(False)))
         .withColumn("_span", F.sum("_opens").over(in_order))
-        .groupBy("doc", "_span")
+        .groupBy("doc", "row", "_span")
         .agg(
             F.min("start").alias("start"),
             F.max(F.col("start") + F.col("size")).alias("_end"),
-            F.count(F.lit(1)).alias("chunks"),
+            F.count_if(~F.col("_again")).alias("chunks"),
             F.min("first").alias("first_doc_id"),
             F.max("occurrences").alias("occurrences"),
         )
     )
     sized = spans.withColumn("size", F.col("_end") - F.col("start")).filter(F.col("size") >= min_span)
-    return sized.select(F.col("doc").alias(key), "start", "size", "chunks", "first_doc_id", "occurrences")
+    return sized.select(F.col("doc").alias(key), F.col("row").alias("text_hash"), "start", "size", "chunks", "first_doc_id", "occurrences")
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN, out: str = "_text") -> DataFrame:
-    """All rows, with `out`: the text without its repeated spans (null stays null)."""
-    bound_batches(docs.sparkSession)
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
+    """row (all columns), cleaned: the text without its repeated spans (null stays null)."""
     spans = repeated_spans(docs, key, text, min_span)
-    by_doc = spans.groupBy(F.col(key).alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("_spans"))
+    by_row = spans.groupBy(F.col(key).alias("doc"), "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("spans"))
 
     @F.arrow_udf(T.StringType())
     def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
         cleaned = []
-        for value, gone in zip(texts, spans.to_pylist()):
+        for value, gone in zip(texts, spans):
             raw, at, kept = value.as_buffer().to_pybytes() if value.is_valid else b"", 0, []
-            for span in gone or ():
+            for span in gone.as_py() or ():
                 kept.append(raw[at : span["start"]])
                 at = span["start"] + span["size"]
             cleaned.append(b"".join([*kept, raw[at:]]).decode() if value.is_valid else None)
         return pa.array(cleaned, pa.string())
 
-    joined = docs.join(by_doc, F.col(key) == F.col("_doc"), "left")
-    return joined.withColumn(out, cut_out(F.col(text), F.col("_spans"))).drop("_doc", "_spans")
+    marked = packed(docs, own_key=F.col(key).cast("long"), own_hash=F.xxhash64(text), text=text)
+    joined = marked.join(by_row, (F.col("own_key") == F.col("doc")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    return joined.select("row", cut_out("text", "spans").alias("cleaned"))
