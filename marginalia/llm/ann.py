@@ -4,8 +4,13 @@ The tree is fitted on a bounded sample; every vector is then dealt to the leaf t
 nearest centroids reaches. A query walks the tree with a priority queue of nodes ordered by the
 distance to their centroids and visits the leaves it takes from the queue. How many it visits is
 calibrated: on sampled queries with known neighbours, visits widen until the target recall is
-reached. Leaves are split into blocks of bounded size and queries into chunks, so one task sees
-one block of vectors and one chunk of queries; each task keeps its nearest per query.
+reached; a query whose leaves hold too few vectors goes on until they hold enough. Leaves are dealt
+to groups of about BLOCK vectors, and a leaf of more is split into blocks, so one task sees one
+block of vectors and the queries that visit its leaves, CHUNK of them at most; vectors are copied
+only where more queries than that visit one block. Each task keeps its nearest per query.
+
+The tree has as many leaves as its sample allows, so beyond some 10 million vectors leaves grow with
+the table, and the sample has to grow with it (a parameter) to keep the work in proportion.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.llm.common import materialize, sliced_udf
+
 #: Vectors that the tree is fitted on at most; the sample is brought to the driver.
 SAMPLE = 20_000
 BRANCHES = 8
@@ -32,8 +39,8 @@ TARGET_RECALL = 0.97
 #: Visits beyond the calibrated number, as a factor.
 MARGIN = 1.15
 #: Vectors of a block and queries of a chunk, about.
-BLOCK, CHUNK = 8192, 4096
-#: Groups that leaves are dealt to; each gives one list of nearest a query.
+BLOCK, CHUNK = 8192, 32768
+#: Groups that leaves are dealt to at least; each gives one list of nearest a query.
 GROUPS = 24
 
 
@@ -57,13 +64,14 @@ class Tree:
             moving = moving[self.count[at[moving]] > 0]
         return at
 
-    def best_bins(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first `visits` leaves that the priority queue yields."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < visits:
+    def best_bins(self, query: np.ndarray, visits: int, enough: int = 0, held: dict[int, int] | None = None) -> list[int]:
+        """The first `visits` leaves that the priority queue yields, and more until they hold `enough` vectors."""
+        queue, found, seen = [(0.0, 0)], [], 0
+        while queue and (len(found) < visits or seen < enough):
             _, node = heapq.heappop(queue)
             if not self.count[node]:
                 found.append(node)
+                seen += (held or {}).get(node, 0)
                 continue
             a, n = int(self.first[node]), int(self.count[node])
             away = ((self.centroids[a : a + n] - query) ** 2).sum(axis=1)
@@ -141,6 +149,7 @@ def _nearest(k: int):
             ids, leaves = np.asarray(vectors["vec_id"]), np.asarray(vectors["leaf"])
             points, wanted = _matrix(vectors["vector"]), _matrix(queries["vector"])
             names, visits = queries["query_id"].to_pylist(), queries["visits"].to_pylist()
+            repeated = len(np.unique(ids)) < len(ids)
             rows_of = {leaf: np.flatnonzero(leaves == leaf) for leaf in np.unique(leaves).tolist()}
             for name, query, seen in zip(names, wanted, visits):
                 mine = [rows_of[x] for x in seen if x in rows_of]
@@ -151,6 +160,10 @@ def _nearest(k: int):
                 if not len(rows):
                     continue
                 away = np.sqrt(((points[rows] - query) ** 2).sum(axis=1))
+                if repeated:
+                    order = np.lexsort((away, ids[rows]))
+                    order = order[np.concatenate([[True], np.diff(ids[rows[order]]) != 0])]
+                    rows, away = rows[order], away[order]
                 if len(rows) > k:
                     keep = np.flatnonzero(away <= np.partition(away, k - 1)[k - 1])
                     rows, away = rows[keep], away[keep]
@@ -163,54 +176,74 @@ def _nearest(k: int):
     return search
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", target: float = TARGET_RECALL) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", target: float = TARGET_RECALL, sample_size: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance in double precision); ties to the smaller vec_id.
 
-    Queries are the usable rows for which `is_query` holds; candidates are all usable rows but the
-    query's own key. Null, empty and zero vectors, vectors with null or non-finite components, rows
-    with a null key and vectors of another length than most of the sample take no part.
+    Queries are the usable rows for which `is_query` holds; candidates are all usable rows but those
+    of the query's own key. Null, empty and zero vectors, vectors with null or non-finite components
+    and rows with a null key take no part. Shorter vectors count as if zeros followed. Rows that
+    share a key are one candidate, at its nearest vector, and one query, with its smallest vector.
+    Each query has k results, or all candidates if there are fewer.
     """
     spark = vectors.sparkSession
     doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
     every = vectors.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("vec_id"), doubles.alias("vector"), is_query.alias("_query"))
-    sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()["vector"]
+    width = every.agg(F.max(F.size("vector"))).first()[0]
     result = "query_id long, rank int, vec_id long, score double"
-    if not len(sample):
+    if not width:
         return spark.createDataFrame([], result)
-    sizes = np.asarray(sample.combine_chunks().value_lengths())
-    width = int(np.bincount(sizes).argmax())
-    points = _matrix(sample.combine_chunks().filter(pa.array(sizes == width)))
+    every = every.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vector"))))
+    sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_size).select("vector").toArrow()["vector"]
+    points = _matrix(sample)
     tree = fit_tree(points)
     visits = calibrate(tree, points, k, target)
-
-    @F.arrow_udf(T.LongType())
-    def leaf_of(column: pa.Array) -> pa.Array:
-        return pa.array(tree.leaves(_matrix(column)))
-
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def bins_of(column: pa.Array) -> pa.Array:
-        return pa.array([tree.best_bins(q, visits) for q in _matrix(column)], pa.list_(pa.int64()))
-
-    placed = every.filter(F.size("vector") == width).withColumn("leaf", leaf_of("vector")).withColumn("_group", F.col("leaf") % GROUPS)
-    # A count a leaf group and one of queries: as many numbers as GROUPS, whatever the table.
-    sizes = {r["_group"]: r for r in placed.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), F.count_if("_query").alias("q")).collect()}
-    n_chunks = max(1, math.ceil(sum(r["q"] for r in sizes.values()) / CHUNK))
-    blocks = F.element_at(F.create_map(*[F.lit(x) for g, r in sizes.items() for x in (g, max(1, math.ceil(r["n"] / BLOCK)))]), F.col("_group"))
+    leaf_of = sliced_udf(lambda column: pa.array(tree.leaves(_matrix(column))), T.LongType())
+    placed = materialize(every.withColumn("leaf", leaf_of("vector")), "ann-placed")
+    # Two numbers a leaf, as many as the tree has; keys that repeat in a leaf count once.
+    counts = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("keys")).collect()
+    held = {r["leaf"]: r["keys"] for r in counts}
+    # So many other keys make k results certain: a key may lie in several leaves.
+    enough = k + 1 + sum(held.values()) - placed.agg(F.count_distinct("vec_id")).first()[0]
+    groups = min(len(counts), max(GROUPS, math.ceil(sum(r["n"] for r in counts) / BLOCK)))
+    group_of = {leaf: g % groups for g, leaf in enumerate(sorted(held))}
+    sizes = [0] * groups
+    for r in counts:
+        sizes[group_of[r["leaf"]]] += r["n"]
+    blocks = F.element_at(F.lit([max(1, math.ceil(n / BLOCK)) for n in sizes]), F.col("_group") + 1)
+
+    def visited(column: pa.Array) -> pa.Array:
+        """For each query a list of its groups with the leaves to visit in each."""
+        out = []
+        for query in _matrix(column):
+            by_group: dict[int, list[int]] = {}
+            for leaf in tree.best_bins(query, visits, enough, held):
+                if leaf in group_of:
+                    by_group.setdefault(group_of[leaf], []).append(leaf)
+            out.append([{"_group": g, "visits": leaves} for g, leaves in by_group.items()])
+        return pa.array(out, pa.list_(pa.struct([("_group", pa.int32()), ("visits", pa.list_(pa.int64()))])))
+
+    bins = sliced_udf(visited, T.ArrayType(T.StructType([T.StructField("_group", T.IntegerType()), T.StructField("visits", T.ArrayType(T.LongType()))])))
+    queries = placed.filter("_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
+    asked = materialize(queries.withColumn("_bins", bins("vector")).select("query_id", "vector", F.inline("_bins")), "ann-queries")
+    # One number a group: how often its blocks are asked.
+    chunks = {r["_group"]: math.ceil(r["n"] / CHUNK) for r in asked.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_chunks = F.element_at(F.lit([chunks.get(g, 0) for g in range(groups)]), F.col("_group") + 1)
+    group = F.element_at(F.create_map(*[F.lit(x) for pair in group_of.items() for x in pair]), F.col("leaf"))
     right = (
-        placed.withColumn("_block", F.pmod(F.xxhash64("vec_id"), blocks).cast("long"))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+        placed.withColumn("_group", group)
+        .withColumn("_block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+        .withColumn("_chunk", F.explode(F.slice(F.sequence(F.lit(0), n_chunks), F.lit(1), n_chunks)))
         .select("_group", "_block", "_chunk", "vec_id", "leaf", "vector")
     )
-    asked = placed.filter("_query").select(F.col("vec_id").alias("query_id"), "vector").withColumn("_bins", bins_of("vector"))
     left = (
-        asked.withColumn("_group", F.explode(F.array(*[F.lit(g).cast("long") for g in sorted(sizes)])))
-        .withColumn("visits", F.filter("_bins", lambda x: x % GROUPS == F.col("_group")))
-        .filter(F.size("visits") > 0)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
-        .withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int"))
+        asked.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("_chunk", F.pmod(F.xxhash64("query_id"), n_chunks).cast("int"))
         .select("_group", "_block", "_chunk", "query_id", "vector", "visits")
     )
     keys = ["_group", "_block", "_chunk"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
+    by_query = found.repartition("query_id")
+    once = Window.partitionBy("query_id", "vec_id").orderBy("score")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    distinct = by_query.withColumn("_at", F.row_number().over(once)).filter("_at = 1")
+    return distinct.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
