@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 #: Keys of one block of a prefix sum; only one row a block meets in the second level.
 PREFIX_BLOCK = 4096
-#: Rows of an Arrow batch that carries whole texts.
-TEXT_BATCH_ROWS = 512
 #: Bytes of texts that a Python function holds as objects at a time, about.
 SLICE_BYTES = 4 << 20
 
@@ -43,14 +41,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough for workers that hold whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def text_slices(batches: Iterable[pa.Array], size: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Arrow batches (Spark bounds their bytes) in slices of about `size` bytes, a row at least, in order."""
     for batch in batches:

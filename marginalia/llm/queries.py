@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(_read(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_spans(_read(spark, sf_dir, "documents"), inside=False).drop("text_hash")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +34,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
     scored = toxicity.with_score(docs.select("doc_id", "text"), lexicon)
     return scored.select(
-        "doc_id",
-        toxicity.held_out("doc_id").alias("held_out"),
-        F.col("_toxicity").alias("score"),
-        F.when(F.col("_toxicity") >= 0.5, 1).otherwise(0).alias("predicted"),
+        "row.doc_id",
+        toxicity.held_out("row.doc_id").alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import bound_batches, materialize, packed
+from marginalia.llm.common import materialize, packed, sliced_udf, text_slices
 from marginalia.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -104,15 +104,13 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n).view(">u8")[0]) if n else 0
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, out: str = "_fingerprint") -> DataFrame:
-    """Adds the fingerprint as a signed 64-bit integer."""
-    bound_batches(docs.sparkSession)
+def with_fingerprint(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """row (all columns), fingerprint as a signed 64-bit integer."""
 
-    @F.arrow_udf(T.LongType())
-    def fingerprint(texts: pa.Array) -> pa.Array:
+    def prints(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([simhash(t, words) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))
 
-    return docs.withColumn(out, fingerprint(F.col(text)))
+    return packed(docs, text=text).select("row", sliced_udf(prints, T.LongType())("text").alias("fingerprint"))
 
 
 def _keys(batches):
@@ -157,7 +155,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Null, empty and blank texts have the fingerprint zero and are linked like any other. Rows
     with a null key belong to components but never name one unless no other row does.
     """
-    prints = materialize(with_fingerprint(docs.select(key, text), text, words, "fp").select(key, "fp"), "simhash")
+    prints = materialize(with_fingerprint(docs.select(key, text), text, words).select(F.col("row").getField(key).alias(key), F.col("fingerprint").alias("fp")), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
     grouped = components(links(distinct, max_bits), "a", "b").withColumnRenamed("node", "fp")
     placed = distinct.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -233,11 +231,10 @@ def _candidates(marks: DataFrame) -> DataFrame:
 
 def near_copies(nodes: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the texts (node, text; a node has one text) that have a near copy; component is the smallest node reachable."""
-    bound_batches(nodes.sparkSession)
 
     def marked(batches):
         for batch in batches:
-            found = [sketch(t, words) for t in batch.column(1).to_pylist()]
+            found = [sketch(t, words) for some in text_slices([batch.column(1)]) for t in some.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))], names=["node", "fp", "bands"]
             )
@@ -245,7 +242,8 @@ def near_copies(nodes: DataFrame, words: int = COPY_WORDS, similarity: float = S
     @F.arrow_udf(T.BooleanType())
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out, held = [], {}
-        for pair in zip(left.to_pylist(), right.to_pylist()):
+        for a, b in zip(left, right):
+            pair = (a.as_py(), b.as_py())
             sets = [held[t] if t in held else _shingle_set(t, words) for t in pair]
             held = dict(zip(pair, sets))
             out.append(jaccard(*sets) >= similarity)

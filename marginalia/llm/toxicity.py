@@ -23,12 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import bound_batches
+from marginalia.llm.common import materialize, packed, sliced_udf, text_slices
 
 #: Labelled rows that training reads at most, of either class.
 MAX_ROWS_A_CLASS = 20_000
-#: Terms of a lexicon at most; those of the largest weights stay.
-MAX_TERMS = 4_000
 MIN_WEIGHT = 3.5
 MIN_CONTEXTS = 3
 #: Words added to a text's length, so that very short texts do not dominate.
@@ -139,7 +137,8 @@ def _word_rows(batches):
     """(word, toxic, context bit) for the distinct words of each text, summed over a batch."""
     for batch in batches:
         sums: dict[str, list[int]] = {}
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        texts = (t for some in text_slices([batch.column(0)]) for t in some.to_pylist())
+        for text, toxic in zip(texts, batch.column(1).to_pylist()):
             words = fold(text or "").split()
             before: dict[str, int] = {}
             for left, word in zip([""] + words, words):
@@ -165,9 +164,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learn the lexicon and the threshold. Without toxic rows the lexicon is empty and all scores are 0."""
-    bound_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, key, text, label)
+    """Learn the lexicon and the threshold. Without toxic rows the lexicon is empty and all scores are 0.
+
+    The lexicon has every word that meets the limits in the training rows; their bounds are its bound.
+    """
+    # Bounded, and read three times.
+    rows = materialize(training_rows(docs, labels, key, text, label), "toxicity-rows")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(1):
         return Lexicon({}, exceptions)
@@ -181,15 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         sums.withColumn("weight", weight)
         .filter((F.col("weight") >= MIN_WEIGHT) & (F.bit_count("contexts") >= MIN_CONTEXTS))
         .orderBy(F.desc("weight"), "word")
-        .limit(MAX_TERMS)
         .collect()
     )
     lexicon = Lexicon({r["word"]: r["weight"] for r in best}, exceptions)
 
-    @F.arrow_udf(T.DoubleType())
-    def strength(texts: pa.Array) -> pa.Array:
-        return pa.array([lexicon.strength(t) for t in texts.to_pylist()], pa.float64())
-
+    strength = sliced_udf(lambda texts: pa.array([lexicon.strength(t) for t in texts.to_pylist()], pa.float64()), T.DoubleType())
     seen = rows.select("toxic", strength("text").alias("x")).collect()  # two numbers of each training row
     return Lexicon(lexicon.weights, exceptions, _threshold([r["x"] for r in seen], [r["toxic"] for r in seen]))
 
@@ -206,12 +204,7 @@ def _threshold(strengths: list[float], toxic: list[int]) -> float:
     return float((x[k - 1] + x[k]) / 2)
 
 
-def with_score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "_toxicity") -> DataFrame:
-    """Adds the score in [0, 1). Null, empty and wordless texts score 0; whole texts are read."""
-    bound_batches(docs.sparkSession)
-
-    @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array([lexicon.score(t) for t in texts.to_pylist()], pa.float64())
-
-    return docs.withColumn(out, score(F.col(text)))
+def with_score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """row (all columns), score in [0, 1). Null, empty and wordless texts score 0; whole texts are read, repeated rows each."""
+    score = sliced_udf(lambda texts: pa.array([lexicon.score(t) for t in texts.to_pylist()], pa.float64()), T.DoubleType())
+    return packed(docs, text=text).select("row", score("text").alias("score"))
