@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, and on nulls, empty and long texts, ties and empty tables."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -63,6 +65,22 @@ def test_shard_order_is_random_and_repeatable(spark, sf):
     assert first == again and sorted(first) != first and len(set(first)) == 200
 
 
+def test_op2_obeys_its_contract(spark, sf):
+    texts = {r.doc_id: (r.text or "").encode() for r in sample(spark, sf).collect()}
+    got = queries.op2_sharding(spark, sf).toPandas()
+    assert sorted(got.doc_id) == sorted(texts) and set(got.law) == {"rows"} and got.grown_shard.isna().all()
+    assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id]) and r["size"] == len(texts[r.doc_id]) + 1 for _, r in got.iterrows())
+    assert set(got.shard) == set(range(8)) and got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 1
+    assert all(sorted(mine.slot) == list(range(len(mine))) for _, mine in got.groupby("shard"))
+
+
+def test_equal_records_part_and_empty_tables_stay_empty(spark):
+    same = spark.range(4000).select(F.lit(1).alias("doc_id"), F.lit("the same record " * 20).alias("text"))
+    got = sharding.shard(same, bucket_bytes=50_000)
+    assert got.count() == 4000 and got.groupBy("shard").count().filter("count = 500").count() == 8
+    assert sharding.shard(empty_docs(spark)).count() == 0
+
+
 def test_written_shards_are_in_slot_order(spark, sf, tmp_path):
     sharding.write_shards(sharding.shard(sample(spark, sf)), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
@@ -104,6 +122,20 @@ def test_exact_groups_match_brute_force(spark, odd):
     assert stays.count() == len(want) and stays.columns == odd.columns
 
 
+def test_rounds_sort_and_merge_runs(spark, odd):
+    keyed = odd.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), (F.col("doc_id") % 16).cast("int").alias("_run"), F.col("doc_id").alias("_keep"))
+    keyed = keyed.filter("_run is not null").dropDuplicates(["_run", "text_sha256"])
+    runs = keyed.withColumn("_n", F.lit(1).cast("long")).withColumn("_proof", F.struct(F.lit(1).alias("_len"), F.lit(1).alias("_check")))
+    merged = exact_dedup.merge_runs(runs, leaves=16, fan_in=4)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("RepartitionByExpression") == 2 and plan.count("two texts share a digest") >= 2
+    want = {r.text_sha256: (r.keep, r.n) for r in runs.groupBy("text_sha256").agg(F.min("_keep").alias("keep"), F.count("*").alias("n")).collect()}
+    assert {r.text_sha256: (r._keep, r._n) for r in merged.collect()} == want
+    damaged = runs.withColumn("_proof", F.struct(F.col("_run").alias("_len"), F.lit(1).alias("_check"))).withColumn("text_sha256", F.lit("00" * 32))
+    with pytest.raises(Exception, match="share a digest"):
+        exact_dedup.merge_runs(damaged, leaves=16, fan_in=4).select("_n", "_keep").collect()
+
+
 # SimHash
 
 
@@ -233,7 +265,8 @@ def test_toxicity_without_labels_or_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(odd, none).weights == {}
     scored = toxicity.with_score(odd, toxicity.Lexicon({"one": 4.0})).collect()
-    assert len(scored) == len(TEXTS) + 2 and scored[0]._toxicity == 0.0
+    assert len(scored) == len(TEXTS) + 2 and scored[0].score == 0.0
+    assert scored[0].row.asDict().keys() == set(odd.columns)
     assert toxicity.with_score(empty_docs(spark), toxicity.Lexicon({})).count() == 0
 
 
@@ -275,20 +308,51 @@ def reference_encoding():
 
 
 def test_bpe_matches_the_library_and_round_trips(spark, odd, reference_encoding):
-    got = bpe.decode(bpe.encode(odd)).select("text", "_ids", "_decoded").collect()
+    odd = odd.withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1))
+    got = bpe.decode(bpe.encode(odd).withColumn("decoded", F.lit(2))).select("row.row.text", "row.ids", "decoded").collect()
+    assert len(got) == odd.count()
     for r in got:
-        assert r._ids == reference_encoding.encode_ordinary(r.text or "")
-        assert bytes(r._decoded) == (r.text or "").encode()
-    both = {r.text: r for r in bpe.encode_and_decode(odd).select("text", "_ids", "_decoded").collect()}
-    assert all(both[r.text]._ids == r._ids and both[r.text]._decoded == r._decoded for r in got)
+        assert r.ids == reference_encoding.encode_ordinary(r.text or "")
+        assert bytes(r.decoded) == (r.text or "").encode()
+    both = {r.text: r for r in bpe.encode_and_decode(odd).select("row.text", "ids", "decoded").collect()}
+    assert all(both[r.text].ids == r.ids and both[r.text].decoded == r.decoded for r in got)
     assert bpe.decode(bpe.encode(empty_docs(spark))).count() == 0 and bpe.encode_and_decode(empty_docs(spark)).count() == 0
 
 
-def test_long_pieces_take_the_same_merges(reference_encoding):
-    random.seed(1)
+def encoded(codec, texts):
+    return codec.encode(pa.array(texts, pa.string())).to_pylist()
+
+
+def test_encoding_of_odd_spacing_matches_the_library(reference_encoding):
+    random.seed(6)
+    alphabets = ["ab é'\n,1. \t", "abcdefghij ", "ab \n", "é日本😀 a 'sx", "abc 's'll\n12.,!"]
+    texts = [None, "", " ", "\n", "a\n", "\na", " a", "a ", "a\nb", "a\n\nb", "a \nb"]
+    texts += ["".join(random.choice(random.choice(alphabets)) for _ in range(random.randrange(60))) for _ in range(3000)]
     codec = bpe.Codec()
-    pieces = ["".join(random.choice("etaoin srhldcu"[:12].replace(" ", "")) for _ in range(n)) for n in (257, 1000, 5000)]
-    assert [x.tolist() for x in codec.encode(pieces)] == [reference_encoding.encode_ordinary(p) for p in pieces]
+    want = [reference_encoding.encode_ordinary(t or "") for t in texts]
+    assert encoded(codec, texts) == want and encoded(codec, texts) == want  # and once more, from memory
+    lists = pa.array([*want, None], pa.list_(pa.int32()))
+    assert codec.decode(lists).to_pylist() == [(t or "").encode() for t in texts] + [None]
+    assert codec.decode(lists.slice(20, 50)).to_pylist() == codec.decode(lists).to_pylist()[20:70]
+    with pytest.raises(ValueError):
+        codec.decode(pa.array([[1, 60_000]], pa.list_(pa.int32())))
+
+
+def test_long_words_take_the_same_merges(reference_encoding):
+    random.seed(1)
+    words = ["".join(random.choice("etaoinsrhl") for _ in range(n)) for n in (257, 600, 1500)]
+    words += ["日本語テキスト" * 60, "a" * 4000, "ab" * 400]
+    assert encoded(bpe.Codec(), words) == [reference_encoding.encode_ordinary(w) for w in words]
+
+
+def test_op5_digests_match_the_library(spark, sf, reference_encoding):
+    texts = {r.doc_id: r.text or "" for r in sample(spark, sf).collect()}
+    got = queries.op5_byte_bpe(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = reference_encoding.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 # Token files
@@ -308,13 +372,26 @@ def test_token_files_match_the_library(spark, odd):
     assert token_output.token_files(empty_docs(spark)).count() == 0
 
 
-def test_piece_encoder_on_spacing_and_added_tokens():
-    codes, library = token_output.PieceEncoder(), Tokenizer.from_file(public_tokenizers.path(token_output.TOKENIZER))
+def test_token_files_with_null_and_repeated_keys(spark, odd):
+    library = Tokenizer.from_file(public_tokenizers.path(token_output.TOKENIZER))
+    got = token_output.token_files(odd.withColumn("key", F.lit("clash"))).collect()
+    rows = odd.collect()
+    size = Counter((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in rows)
+    assert Counter((r.key, r.n_tokens) for r in got) == size
+    in_order = sorted(got, key=lambda r: r.start)
+    assert [r.key for r in in_order] == sorted((r.doc_id for r in rows), key=lambda k: -1 if k is None else k)
+    assert [r.start for r in in_order] == [sum(x.n_tokens for x in in_order[:k]) for k in range(len(in_order))]
+
+
+def test_text_encoder_on_spacing_and_added_tokens():
+    codes, library = token_output.TextEncoder(), Tokenizer.from_file(public_tokenizers.path(token_output.TOKENIZER))
     random.seed(2)
     texts = ["".join(random.choice("ab é'\n,1. \t") for _ in range(50)) for _ in range(400)]
-    for text in [*texts, "x <|endoftext|> y", " lead", "tail ", "a\x00b", "it's we'll"]:
-        want = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(codes.encode(text), codes.kind).tolist() == want
+    texts += [None, "", "\n", "x <|endoftext|> y", "x<|endoftext|>y z", " lead", "tail ", "a\x00b", "it's we'll", "é日本😀 a\nb"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, size = codes.encode(pa.array(texts, pa.string()))
+        assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
 # WARC
@@ -322,18 +399,39 @@ def test_piece_encoder_on_spacing_and_added_tokens():
 
 def test_archive_round_trip_with_magic_in_payloads(spark):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    pages = [(1, "u\r\nX: y", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u", None), (4, "u", ""), (5, "u", f"{fake}{fake}é"), (6, "u", fake), (7, "u", "x" * 300_000), (8, "u", "😀"), (5, "u", f"{fake}{fake}é")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("body", F.lit("clash")).withColumn("value", F.lit(1))
+    pages = [(1, "u\r\nX: y", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u", None), (4, "u", ""), (5, "u", f"{fake}{fake}é"), (6, "u", fake), (7, "u", "x" * 300_000), (8, "u", "😀"), (5, "u", f"{fake}{fake}é"), (None, "u", "<p>a</p>"), (None, "u", "alone"), (None, "u", "twins"), (None, "u", "twins"), (0, "u", "zero")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("body", F.lit("clash")).withColumn("id", F.lit(1))
     got = warc.archive_pages(df).collect()
-    assert len(got) == len(pages)
-    latest = {}
+    assert Counter((r.page_id, r.payload_bytes) for r in got) == Counter((k, len((h or "").encode())) for k, _, h in pages)
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    by_digest = defaultdict(list)
     for k, _, h in pages:
-        latest[h or ""] = max(k, latest.get(h or "", 0))
-    for r in got:
-        html = next(h or "" for k, _, h in pages if k == r.page_id)
-        assert r.payload_bytes == len(html.encode()) and r.digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
-        want = ("response", None) if latest[html] == r.page_id else ("revisit", latest[html])
-        assert (r.type, r.refers_to) == want
+        by_digest[digest(h)].append(k)
+    for name, keys in by_digest.items():
+        mine = [r for r in got if r.digest == name]
+        latest = max((k for k in keys if k is not None), default=None)
+        responses = [r for r in mine if r.type == "response"]
+        assert len(mine) == len(keys) and len(responses) == 1 and responses[0].page_id == latest and responses[0].refers_to is None
+        assert all(r.type == "revisit" and r.refers_to == latest for r in mine if r is not responses[0])
+
+
+def test_small_payloads_are_all_responses(spark):
+    df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
+    got = {r.page_id: r.type for r in warc.archive_pages(df, min_bytes=3).collect()}
+    assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
+
+
+def test_a_broken_chain_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>") for k in range(20)], "page_id long, url string, html string")
+    warc.write_archive(warc.plan_records(pages), str(tmp_path / "a"))
+    whole = next((tmp_path / "a").glob("part-*.gz"))
+    data = gzip.decompress(whole.read_bytes())
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "part-0").write_bytes(data)
+    assert warc.read_archive(spark, str(tmp_path / "b")).count() == data.count(b"WARC-Record-ID")
+    (tmp_path / "b" / "part-0").write_bytes(data.replace(b"<p>7</p>", b"<p>7</p"))
+    with pytest.raises(ValueError, match="chain"):
+        warc.read_archive(spark, str(tmp_path / "b"))
 
 
 def test_archive_of_nothing(spark):
@@ -354,7 +452,7 @@ def test_neighbours_reach_the_recall_with_exact_scores(spark):
     points = random_.normal(size=(1500, 16)).astype(np.float32)
     points[40:80] = points[40]
     rows = [(k, [float(x) for x in p]) for k, p in enumerate(points)]
-    rows += [(2000, None), (2100, [0.0] * 16), (2200, [float("nan")] * 16), (2300, [None] + [1.0] * 15), (2400, []), (2500, [1.0] * 3), (None, [1.0] * 16)]
+    rows += [(2000, None), (2100, [0.0] * 16), (2200, [float("nan")] * 16), (2300, [None] + [1.0] * 15), (2400, []), (None, [1.0] * 16)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).toPandas()
     hits = 0
     for q in range(0, 1500, 50):
@@ -371,6 +469,36 @@ def test_neighbours_reach_the_recall_with_exact_scores(spark):
     assert tied == [40, 41, 42, 43, 44, 45, 46, 47, 48, 49]
 
 
+def test_repeated_keys_are_one_query_and_one_candidate(spark):
+    random_ = np.random.default_rng(1)
+    points = random_.normal(size=(400, 8))
+    rows = [(k, p.tolist()) for k, p in enumerate(points)]
+    rows += [(0, points[0].tolist())] * 3 + [(k, (points[k] + 5).tolist()) for k in range(1, 50)] + [(7, points[7].tolist())] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("leaf", F.lit(1)).withColumn("vector", F.lit("clash"))
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).toPandas()
+    assert got.groupby("query_id").vec_id.agg(["count", "nunique"]).values.tolist() == [[10, 10]] * 4
+    for q, mine in got.groupby("query_id"):
+        best = {}
+        for k, p in rows:
+            if k != q:
+                best[k] = min(best.get(k, np.inf), float(np.sqrt(((np.array(p) - points[q]) ** 2).sum())))
+        want = sorted(best, key=lambda k: (best[k], k))[:10]
+        assert len(set(want) & set(mine.vec_id)) >= 8 and np.allclose(mine.score, [best[k] for k in mine.vec_id])
+
+
+def test_clustered_queries_widen_until_there_are_enough(spark):
+    random_ = np.random.default_rng(2)
+    alone = [(100 * k, (random_.normal(size=8) * 1000).tolist()) for k in range(5)]
+    crowd = [(1000 + k, random_.normal(size=8).tolist()) for k in range(1500) if k % 100]
+    got = ann.nearest(spark.createDataFrame(alone + crowd, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).toPandas()
+    assert (got.groupby("query_id").vec_id.nunique() == 10).all() and set(range(0, 500, 100)) <= set(got.query_id)
+
+
+def test_shorter_vectors_count_as_padded(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [1.0]), (2, [1.0, 1.0]), (3, [0.0] * 4)], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 0.0), (2, 1.0)]
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in ann.nearest(few, F.col("vec_id") == 0).collect()] == [(0, 1)]
@@ -388,18 +516,56 @@ def test_passages_shared_by_documents_are_found(spark):
 
     passage = words(60)
     docs = [(k, f"{words(80)} {passage} {words(40 + k)}" if k % 2 else words(150)) for k in range(40)]
-    docs += [(100, None), (101, ""), (None, passage), (102, f"{passage} {words(5)} {passage}"), (103, "aaaa" * 400), (103, "aaaa" * 400)]
+    docs += [(100, None), (101, ""), (None, passage), (102, f"{passage} {words(5)} {passage}"), (103, words(90)), (103, words(90))]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("start", F.lit(0)).withColumn("doc", F.lit(0))
-    got = substring_dedup.repeated_spans(df).collect()
+    got = substring_dedup.repeated_spans(df, inside=False).collect()
     assert {r.doc_id for r in got} == {k for k in range(3, 40, 2)} | {102}
     texts = dict(docs)
     for r in got:
         raw = texts[r.doc_id].encode()[r.start : r.start + r.size].decode()
         assert raw[16:-16] in passage and r.first_doc_id == 1  # a chunk at either end may hold letters that agree by chance
-    cleaned = {r.doc_id: r._text for r in substring_dedup.without_repeats(df).collect()}
+    cleaned = {r.doc_id: r.cleaned for r in substring_dedup.without_repeats(df).select("row.doc_id", "cleaned").collect()}
     assert passage not in cleaned[3] and cleaned[1] == texts[1] and cleaned[100] is None and cleaned[0] == texts[0]
 
 
+def slow_spans(rows, min_span, inside):
+    """Repeated spans by plain loops over the same cuts."""
+    rows = sorted({(k, signed(xxhash.xxh64_intdigest(t.encode(), seed=42)), t.encode()) for k, t in rows if k is not None and t})
+    first, out = {}, []
+    places = [(k, h, a, raw[a:b]) for k, h, raw in rows for a, b in zip([0, *substring_dedup.cuts(raw)], substring_dedup.cuts(raw))]
+    for k, h, a, piece in places:
+        first.setdefault(piece, (k, h, a))
+    for k, h, raw in rows:
+        spans = []
+        for kk, hh, a, piece in places:
+            if (kk, hh) != (k, h) or first[piece] == (k, h, a) or not inside and first[piece][:2] == (k, h):
+                continue
+            if spans and spans[-1][1] == a:
+                spans[-1] = (spans[-1][0], a + len(piece), min(spans[-1][2], first[piece][0]))
+            else:
+                spans.append((a, a + len(piece), first[piece][0]))
+        out += [(k, h, a, b - a, f) for a, b, f in spans if b - a >= min_span]
+    return sorted(out)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_spans_match_brute_force(spark, sf, inside):
+    rows = [(r.doc_id, r.text) for r in sample(spark, sf).collect()] + [(k, t) for k, t in enumerate(TEXTS)]
+    rows += [(500, f"{LONG[:900]} {LONG[:900]}"), (2, "another text of row two " * 30), (2, "another text of row two " * 30), (None, LONG)]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_span=64, inside=inside).collect()
+    assert sorted((r.doc_id, r.text_hash, r.start, r.size, r.first_doc_id) for r in got) == slow_spans(rows, 64, inside)
+
+
+def test_substring_dedup_of_odd_and_empty_tables(spark, odd):
+    cleaned = substring_dedup.without_repeats(odd.withColumn("cleaned", F.lit("clash")))
+    assert cleaned.count() == odd.count() and cleaned.select("row.*").columns == [*odd.columns, "cleaned"]
+    assert substring_dedup.without_repeats(empty_docs(spark)).count() == 0
+
+
 def test_cuts_keep_characters_whole_and_survive_insertions():
     random.seed(4)
     text = "".join(random.choice("aé日😀 xyz") for _ in range(4000))
