@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from marginalia.llm.common import new_path, packed
+from marginalia.llm.common import new_path
 
 #: SQL has neither the learnt lexicon nor the merges.
 ORACLE_SQL = None
@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the lexicon learns from labelled rows of the input documents."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     lexicon = toxicity.fit(docs, labels)
-    return toxicity.with_score(packed(docs, text="text"), lexicon).filter("_toxicity < 0.5").select("row.*")
+    return toxicity.with_score(docs, lexicon).filter("score < 0.5").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +36,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each copy, and whether they decode to its text."""
-    coded = bpe.encode_and_decode(packed(docs, text="text"))
-    return coded.select(
+    return bpe.encode_and_decode(docs).select(
         "row.doc_id",
         "row.lang",
         "row.source",
-        F.col("_ids").alias("token_ids"),
-        F.size("_ids").cast("long").alias("n_tokens"),
-        (F.col("_decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"),
+        F.col("ids").alias("token_ids"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        (F.col("decoded") == F.encode(F.coalesce("row.text", F.lit("")), "UTF-8")).alias("round_trip"),
     )
 
 
