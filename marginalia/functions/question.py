@@ -59,6 +59,48 @@ STRONG = (
 STRONG_HAN = ("振动", "转子", "旋转机械", "轴承", "临界转速", "临界速度", "阻尼", "模态", "固有频率", "共振", "频响", "频谱", "包络", "阶次", "阶比", "轴心轨迹", "动平衡", "不平衡", "不对中", "轴系", "状态监测", "故障诊断", "扭振")
 WEAK = ("bearing", "modal", "orbit", "shaft", "spectrum", "spectral")
 WEAK_CONTEXT = ("analysis", "diagnosis", "diagnostic", "dynamics", "fault", "frequency", "machine", "machinery", "response", "signal", "turbine", "vibration")
+# Slots that an answer of an intent has to fill, each by one of its markers.
+SLOTS: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
+    "definition": (
+        ("definition_statement", ("是指", "定义为", "指的是", "refers to", "is defined", "means", "角域", "angular-domain")),
+        ("purpose", ("用于", "作用", "适用于", "used for", "allows", "enables")),
+    ),
+    "standards": (
+        ("scope", ("适用于", "额定", "applies to", "rated", "scope")),
+        ("specified_method", ("分析评定", "测量验证", "analysis", "measurement verification")),
+    ),
+}
+#: Intents whose slots are filled by enough of several aspects: (name of the slot, aspects needed).
+ASPECTS: dict[str, tuple[tuple[tuple[str, ...], ...], tuple[tuple[str, int], ...]]] = {
+    "diagnosis": (
+        (("相位", "phase"), ("倍频", "谐波", "harmonic"), ("轴向", "axial"), ("测量", "检查", "measure", "check")),
+        (("multiple_diagnostic_dimensions", 2), ("decision_action", 3)),
+    ),
+    "workflow": (
+        (("工况", "operating condition"), ("测点", "measurement point"), ("采集", "collect"), ("比较", "compare"), ("复核", "verify")),
+        (("ordered_measurement_actions", 3), ("verification_step", 4)),
+    ),
+}
+CAUSES = ("因为", "由于", "导致", "接近", "because", "due to", "causes", "approaches")
+CONTRASTS = ("区别", "相比", "而", "versus", "whereas", "compared", "difference")
+VARIABLES = ("式中", "其中", "表示", "where", "denotes", "represents")
+PAIRED = {
+    "mechanism": (("固有频率", "自然频率", "natural frequency"), ("激励频率", "转频", "excitation frequency", "forcing frequency")),
+    "comparison": (("不平衡", "unbalance"), ("不对中", "misalignment")),
+}
+QUALITY_INTENTS = (
+    ("formula", ("公式", "计算", "推导", "formula", "equation", "calculated")),
+    ("standards", ("gb/t", "iso ", "api ", "标准", "适用范围", "covered by", "scope")),
+    ("workflow", ("流程", "步骤", "规划", "workflow", "procedure", "steps")),
+    ("definition", ("什么是", "定义", "what is", "define", "mean")),
+    ("comparison", ("区别", "比较", "不同", "compare", "difference", "differ", " versus ", " vs ")),
+    ("diagnosis", ("判断", "诊断", "区分", "diagnos", "distinguish", "determine")),
+    ("mechanism", ("为什么", "为何", "机理", "why", "mechanism", "cause")),
+)
+SUMMARY_MODES = (
+    ("whole_doc_summary", ("whole doc", "whole document", "整本", "全文", "全书")),
+    ("section_summary", ("section", "章节", "小节", "本节")),
+)
 LANES = (
     ("s6_literature_search", ("literature", "paper", "papers", "publication", "research", "arxiv", "semantic scholar", "文献", "论文")),
     ("s7_model_selection", ("model", "modeling", "model selection", "which model", "模型", "建模")),
@@ -143,3 +185,53 @@ def difficulty(constraint: Column, context: Column, model: Column, failures: Col
     """Constraint before context before the model's advice; repeated failures escalate to extreme."""
     known = lambda c: F.when(F.lower(F.trim(c)).isin("easy", "normal", "hard", "extreme"), F.lower(F.trim(c)))
     return F.when(failures >= threshold, "extreme").otherwise(F.coalesce(known(constraint), known(context), known(model), F.lit("normal")))
+
+
+def quality_intent(question: Column) -> Column:
+    """The kind of question that decides which slots an answer has to fill; general for none."""
+    out = F.lit("general")
+    for name, markers in reversed(QUALITY_INTENTS):
+        out = F.when(has_any(question, markers), name).otherwise(out)
+    return out
+
+
+def filled_slots(answer: Column, intent: str) -> list[tuple[str, Column]]:
+    """The slots of one intent, and whether the answer fills each."""
+    if intent in SLOTS:
+        return [(name, has_any(answer, markers)) for name, markers in SLOTS[intent]]
+    if intent in ASPECTS:
+        aspects, slots = ASPECTS[intent]
+        met = sum((has_any(answer, a).cast("int") for a in aspects), F.lit(0))
+        return [(name, met >= need) for name, need in slots]
+    if intent in PAIRED:
+        both = has_any(answer, PAIRED[intent][0]) & has_any(answer, PAIRED[intent][1])
+        first, second = ("causal_link", "excitation_natural_frequency_relation") if intent == "mechanism" else ("contrast", "both_entities")
+        return [(first, has_any(answer, CAUSES if intent == "mechanism" else CONTRASTS)), (second, both)]
+    if intent == "formula":
+        return [("equation", answer.rlike(r"[A-Za-zΑ-Ωα-ω]\w*\s*=|=\s*[^=]")), ("variable_definitions", has_any(answer, VARIABLES))]
+    return [("recognized_intent", F.lit(False))]
+
+
+def slot_completeness(answer: Column, intent: str) -> Column:
+    """Share of the intent's slots that the answer fills."""
+    return filled_share(filled_slots(answer, intent))
+
+
+def filled_share(slots: list[tuple[str, Column]]) -> Column:
+    return sum((F.coalesce(flag, F.lit(False)).cast("int") for _, flag in slots), F.lit(0)) / len(slots)
+
+
+def completeness(question: Column, answer: Column) -> Column:
+    """Slot completeness under the question's own intent; an intent that is not recognised fills nothing."""
+    kind, out = quality_intent(question), F.lit(0.0)
+    for name, _ in QUALITY_INTENTS:
+        out = F.when(kind == name, slot_completeness(answer, name)).otherwise(out)
+    return out
+
+
+def summary_mode(question: Column, asked: Column | None = None) -> Column:
+    """An explicit mode, else a summary of the document or of a section where the question says so, else qa."""
+    out = F.lit("qa")
+    for name, markers in reversed(SUMMARY_MODES):
+        out = F.when(has_any(question, markers), name).otherwise(out)
+    return out if asked is None else F.when(asked.isin("qa", *[n for n, _ in SUMMARY_MODES]), asked).otherwise(out)

@@ -212,7 +212,7 @@ def replace_aliases(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def unbalanced_braces(text: Column) -> Column:
     """Whether braces close before they open, or stay open."""
-    letters = F.filter(F.split(text, ""), lambda c: c.isin("{", "}"))
+    letters = F.regexp_extract_all(text, F.lit("[{}]"), 0)
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("bad"))
 
     def step(state: Column, c: Column) -> Column:
@@ -220,3 +220,11 @@ def unbalanced_braces(text: Column) -> Column:
         return F.struct(depth.alias("depth"), (state["bad"] | (depth < 0)).alias("bad"))
 
     return F.aggregate(letters, start, step, lambda s: s["bad"] | (s["depth"] != 0))
+
+
+def complete_sentences(answer: Column) -> Column:
+    """Share of an answer's lines, headings apart, that end a sentence once references are taken off; 0 for none."""
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?:\s*\[[A-Za-z0-9_.:/#-]+\])+\s*$", ""), r"(?i)\s*[（(](?:evidence|证据)\s*[:：].*?[)）]\s*$", "")
+    lines = F.filter(F.transform(F.split(answer, "\n"), strip), lambda x: (x != "") & ~x.startswith("## "))
+    whole = F.filter(lines, lambda x: bare(x).rlike("[。！？!?；;….．][\"'”’）】》]*$"))
+    return F.when(F.size(lines) == 0, 0.0).otherwise(F.size(whole) / F.size(lines))

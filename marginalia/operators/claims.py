@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
+from marginalia.functions.question import has_any
 
 # Patterns, stop words, directions, quantity terms and synonym groups of the checks.
 NUMBER = r"(?<![A-Za-z])[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?%?"
@@ -25,6 +26,12 @@ GROUPS = {
     "critical_speed": ("critical speed", "critical", "speed"),
 }
 AXIOMATIC, EVIDENCE = "axiomatic", "evidence"
+SCOPE_CLAIM = ("适用", "本文件规定", "本标准规定", "本部分规定", "applies to", "applicable to", "scope of", "this document specifies")
+SCOPE_NOT = ("引用文件", "适用于本文件")
+CRITICAL_SPEED = ("临界转速", "临界速度", "critical speed", "resonant speed", "共振转速")
+OUTCOME_QUESTION = ("发生什么", "会怎样", "如何变化", "影响", "what happens", "affect", "effect")
+OUTCOME_CLAIM = ("响应", "振幅", "幅值", "放大", "增大", "amplified", "amplification", "response")
+DEFINITION = ("定义", "definition")
 
 
 def words(values: tuple[str, ...]) -> Column:
@@ -112,9 +119,10 @@ def support_gate(claims: DataFrame, visible: DataFrame, strict: bool = True) ->
             F.when(seen & (F.size(quantity_conflicts(claim, body)) > 0), "quantity conflict"),
             F.when(seen & (F.size(missing_items(claim, body)) > 0), "missing items"),
         ]
-    judged = joined.withColumn("reasons", F.array_compact(F.array(*reasons)))
-    blocked = F.max((F.size("reasons") > 0).cast("int")).over(Window.partitionBy("answer_id")) == 1
-    return judged.withColumn("blocked", blocked).drop("body", "claim_all", "body_all")
+    judged = joined.withColumn("reasons", F.array_compact(F.array(*reasons))).drop("body", "claim_all", "body_all")
+    # One row an answer, summed up before the shuffle, in place of a window over all its claims.
+    blocked = judged.groupBy("answer_id").agg((F.max((F.size("reasons") > 0).cast("int")) == 1).alias("blocked"))
+    return judged.join(blocked.withColumnRenamed("answer_id", "_answer"), F.col("answer_id").eqNullSafe(F.col("_answer"))).drop("_answer")
 
 
 def rank_sentences(sentences: DataFrame, queries: DataFrame, limit: int = 4) -> DataFrame:
@@ -180,10 +188,19 @@ def evidence_relevance(citations: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.groupBy("answer_id").agg((F.sum(F.coalesce("value", F.lit(0.0))) / F.count(F.lit(1))).alias("relevance"))
 
 
+def thousandths(share: Column) -> Column:
+    """A share within 0 and 1 in whole thousandths, halves up."""
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * 1000 + 0.5).cast("long")
+
+
 def quality(subscores: list[Column], faithful: Column, language_ok: Column, complete: Column, threshold: float = 0.75) -> tuple[Column, Column]:
-    """(score, gate reasons): mean of the bounded sub-scores and the gates that fail."""
-    bounded = [F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)), 3) for s in subscores]
-    score = F.round(sum(bounded[1:], bounded[0]) / len(bounded), 3)
+    """(score, gate reasons): mean of the bounded sub-scores and the gates that fail.
+
+    Sub-scores and mean are taken in whole thousandths, so that equal inputs round alike everywhere.
+    """
+    bounded = [thousandths(s) for s in subscores]
+    n = len(bounded)
+    score = F.floor((2 * sum(bounded[1:], bounded[0]) + n) / (2 * n)) / 1000.0
     reasons = F.array_compact(
         F.array(
             F.when(~faithful, "faithfulness"),
@@ -201,3 +218,72 @@ def rule_matches(rows: DataFrame, rules: list[tuple[str, str]], keep: int = 2) -
     order = Window.partitionBy("rule").orderBy("row_id")
     matched = rows.select("row_id", F.explode(F.array_distinct(hits)).alias("rule"))
     return matched.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep)
+
+
+def is_scope_claim(sentence: Column) -> Column:
+    """Whether a sentence says what a document applies to, and does not only name other documents."""
+    named = F.lit(False)
+    for marker in SCOPE_NOT:
+        named = named | F.contains(sentence, F.lit(marker))
+    return has_any(sentence, SCOPE_CLAIM) & ~named
+
+
+def is_outcome_question(query: Column, subject=CRITICAL_SPEED) -> Column:
+    return has_any(query, subject) & has_any(query, OUTCOME_QUESTION)
+
+
+def is_outcome_claim(sentence: Column, subject=CRITICAL_SPEED, outcome=OUTCOME_CLAIM) -> Column:
+    """Whether a sentence tells what comes of the subject; definitions do not."""
+    return ~has_any(sentence, DEFINITION) & has_any(sentence, subject) & has_any(sentence, outcome)
+
+
+def narrowed(sentences: DataFrame, wanted: list[tuple[Column, Column, bool]]) -> DataFrame:
+    """Sentences of each query (query_id) after filters in turn: (asked of the query, holds of the sentence, strict).
+
+    A filter that is asked for keeps what holds; where nothing of the query is left, a lenient one
+    keeps everything and a strict one nothing.
+    """
+    for k, (asked, holds, strict) in enumerate(wanted):
+        flagged = sentences.withColumn("_asked", F.coalesce(asked, F.lit(False))).withColumn("_holds", F.coalesce(holds, F.lit(False)))
+        if strict:
+            sentences = flagged.filter(~F.col("_asked") | F.col("_holds")).drop("_asked", "_holds")
+            continue
+        # One row a query, summed up before the shuffle.
+        some = flagged.groupBy("query_id").agg(F.max("_holds").alias(f"_some{k}"))
+        joined = flagged.join(some, "query_id")
+        sentences = joined.filter(~F.col("_asked") | ~F.col(f"_some{k}") | F.col("_holds")).drop("_asked", "_holds", f"_some{k}")
+    return sentences
+
+
+def step_support(steps: DataFrame, visible: DataFrame, strict: bool = False) -> DataFrame:
+    """Reasons against each derivation step (answer_id, step_id, source_type, text, chunk_id); none for axiomatic steps.
+
+    visible: answer_id, chunk_id, text. With `strict` the step's numbers, units and symbols must stand in its chunk.
+    """
+    seen = visible.select("answer_id", "chunk_id", F.col("text").alias("_body"), F.lit(True).alias("_seen"))
+    joined = steps.join(seen, ["answer_id", "chunk_id"], "left")
+    named = F.coalesce(F.col("chunk_id").cast("string"), F.lit("")) != ""
+    reasons = [
+        F.when(~F.col("source_type").eqNullSafe(EVIDENCE), "source type"),
+        F.when(~named, "missing chunk"),
+        F.when(named & F.col("_seen").isNull(), "chunk not visible"),
+    ]
+    if strict:
+        reasons.append(F.when(F.col("_seen") & (F.size(missing_items(F.col("text"), F.col("_body"))) > 0), "missing items"))
+    found = F.when(F.col("source_type").eqNullSafe(AXIOMATIC), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*reasons)))
+    return joined.withColumn("reasons", found).drop("_body", "_seen")
+
+
+def uncited(answer: Column, n_claims: Column) -> Column:
+    """Whether an answer says something without any structured claim."""
+    return (F.trim(F.coalesce(answer, F.lit(""))) != "") & (F.coalesce(n_claims, F.lit(0)) == 0)
+
+
+def framed(claims: DataFrame, visible: DataFrame, headings: tuple[str, ...]) -> DataFrame:
+    """Claims whose chunk the answer can see, in order, under the headings in turn: answer_id, heading, lines."""
+    seen = claims.join(visible.select("answer_id", "chunk_id").distinct(), ["answer_id", "chunk_id"], "left_semi")
+    at = F.least(F.row_number().over(Window.partitionBy("answer_id").orderBy("claim_ix")), F.lit(len(headings)))
+    line = F.concat(F.lit("- "), F.col("claim"), F.lit(" ["), F.col("chunk_id").cast("string"), F.lit("]"))
+    under = seen.withColumn("heading", F.element_at(F.array(*[F.lit(h) for h in headings]), at))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("claim_ix", line.alias("line")))), lambda x: x["line"])
+    return under.groupBy("answer_id", "heading").agg(F.array_join(listed, "\n").alias("lines"), F.count(F.lit(1)).alias("n"))

@@ -30,14 +30,23 @@ def recall_at(targets: DataFrame, matched: DataFrame, *ks: int) -> DataFrame:
     return per_case.agg(F.count(F.lit(1)).alias("cases"), *[F.round(F.avg(f"recall_at_{k}"), 6).alias(f"recall_at_{k}") for k in ks])
 
 
-def nearest_rank(values: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles at the zero-based place floor((n - 1) * share + 0.5) of the sorted values."""
-    order = Window.partitionBy(group).orderBy(value)
-    placed = values.filter(F.col(value).isNotNull()).select(
-        group, F.col(value).alias("_v"), (F.row_number().over(order) - 1).alias("_ix"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("_n")
-    )
-    at = lambda p: F.floor((F.col("_n") - 1) * p + 0.5)
-    return placed.groupBy(group).agg(*[F.max(F.when(F.col("_ix") == at(p), F.col("_v"))).alias(name) for name, p in shares.items()])
+def nearest_rank(values: DataFrame, group: str, value: str, shares: dict[str, float], bins: int = 256) -> DataFrame:
+    """Percentiles at the zero-based place floor((n - 1) * share + 0.5) of the sorted values.
+
+    Equal values are counted first. Approximate quantiles cut a group into bins, sums over the bins
+    name the one that holds a place, and only its distinct values are sorted; the result is exact.
+    """
+    counted = values.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counted.groupBy(group).agg(F.percentile_approx("_v", [k / bins for k in range(1, bins)], 4096).alias("_cuts"), F.sum("_n").alias("_all"))
+    binned = counted.join(cuts, group).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    before = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bases = binned.groupBy(group, "_bin", "_all").agg(F.sum("_n").alias("_in")).withColumn("_base", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor((F.col("_all") - 1) * p + 0.5).alias("at")) for name, p in shares.items()]))
+    places = bases.withColumn("_w", wanted).filter((F.col("_w.at") >= F.col("_base")) & (F.col("_w.at") < F.col("_base") + F.col("_in"))).select(group, "_bin", "_base", "_w.name", "_w.at")
+    upto = F.sum("_n").over(Window.partitionBy(group, "_bin", "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = binned.join(places, [group, "_bin"]).withColumn("_upto", F.col("_base") + upto)
+    found = inside.filter((F.col("at") < F.col("_upto")) & (F.col("at") >= F.col("_upto") - F.col("_n")))
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in shares])
 
 
 def threshold_sweep(cases: DataFrame, score: str, label: str, thresholds: list[float] = THRESHOLDS) -> DataFrame:

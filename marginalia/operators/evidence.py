@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,17 +14,28 @@ from marginalia.functions import text
 from marginalia.streaming.folds import ordered_fold
 
 
-def repeats(body: str, held: list[str]) -> bool:
-    """Whether a squeezed body equals, is held by, or closely resembles one that was taken."""
-    for other in held:
-        short, long = sorted((body, other), key=len)
-        if body == other or (len(short) >= 80 and short in long):
-            return True
-        if len(short) >= 120:
-            match = SequenceMatcher(None, body, other)
-            if match.real_quick_ratio() >= 0.94 and match.quick_ratio() >= 0.94 and match.ratio() >= 0.94:
-                return True
-    return not body
+#: A body of this size that stands inside another repeats it; from the second size on likeness counts too.
+HELD_SIZE, LIKE_SIZE, LIKENESS = 80, 120, 0.94
+
+
+def likeness(a: str, b: str) -> float:
+    """Matching ratio of two bodies, or 0 as soon as a bound shows that it stays below LIKENESS."""
+    whole = len(a) + len(b)
+    letters = sum((Counter(a) & Counter(b)).values())
+    if 2 * min(len(a), len(b)) < LIKENESS * whole or 2 * letters < LIKENESS * whole:
+        return 0.0
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def repeats(body: str, held: Sequence[str]) -> bool:
+    """Whether a squeezed body is empty, or stands for one that was taken: equal, one inside the other, or alike."""
+
+    def meets(other: str) -> bool:
+        size = min(len(body), len(other))
+        inside = size >= HELD_SIZE and (body in other or other in body)
+        return body == other or inside or (size >= LIKE_SIZE and likeness(body, other) >= LIKENESS)
+
+    return not body or any(map(meets, held))
 
 
 def select_evidence(candidates: DataFrame, max_chunks: int = 12, token_budget: int = 6000) -> DataFrame:
@@ -91,3 +104,47 @@ def unique_citations(citations: DataFrame, claims: DataFrame) -> DataFrame:
     given = one(citations)
     derived = one(claims.filter(F.col("chunk_id").isNotNull())).join(given.select("answer_id").distinct(), "answer_id", "left_anti")
     return given.unionByName(derived.select(*given.columns))
+
+
+def topic_key(topic: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(topic, F.lit(""))), r"[_\W]+", " "))
+
+
+def filtered(rows: DataFrame, mode: Column, doc_id: Column | None = None, section_key: Column | None = None, topic: Column | None = None) -> DataFrame:
+    """Evidence rows (doc_id, section_key, section_title, topic) of the asked document, and of section and topic in a section summary.
+
+    Topics match where one holds the other. Reference lists go in every mode. A condition that is null asks for nothing.
+    """
+    in_section = mode == "section_summary"
+    asked = lambda c: c.isNotNull() & (c.cast("string") != "")
+    keep = ~F.trim(F.coalesce(F.nullif("section_title", F.lit("")), "topic", F.lit(""))).rlike("(?i)^(?:参考文献|references|bibliography)$")
+    if doc_id is not None:
+        keep = keep & (~asked(doc_id) | (F.col("doc_id").cast("string") == doc_id.cast("string")))
+    if section_key is not None:
+        keep = keep & (~in_section | ~asked(section_key) | F.coalesce(F.col("section_key") == section_key, F.lit(False)))
+    if topic is not None:
+        mine, theirs = topic_key(F.col("topic")), topic_key(topic)
+        keep = keep & (~in_section | ~asked(topic) | F.contains(mine, theirs) | F.contains(theirs, mine))
+    return rows.filter(keep)
+
+
+def with_neighbors(seeds: DataFrame, corpus: DataFrame, window: int = 1) -> DataFrame:
+    """Candidates of a selection: the seeds in rank order, then their neighbours in the document that run on.
+
+    seeds: query_id, chunk_id, rank; corpus: chunk_id, doc_id, chunk_index, text. Returns query_id,
+    chunk_id, text, tokens, rank, kind, seed_id; a chunk that is seed and neighbour comes at its
+    first place. `select_evidence` takes the result.
+    """
+    placed = seeds.join(corpus, "chunk_id")
+    near = continuous_neighbors(corpus, window).join(corpus.select("doc_id", "chunk_index", F.col("chunk_id").alias("seed_id")), ["doc_id", "chunk_index"])
+    others = corpus.select("doc_id", F.col("chunk_index").alias("neighbor_index"), "chunk_id", "text")
+    found = seeds.select("query_id", F.col("chunk_id").alias("seed_id"), "rank").join(near, "seed_id").join(others, ["doc_id", "neighbor_index"])
+    # Neighbours follow all seeds: by the seed's rank, nearer ones first, the one before ahead of the one after.
+    late = F.struct(F.lit(1).alias("late"), F.col("rank").cast("double").alias("rank"), F.abs("distance").alias("step"), F.col("distance").alias("side"))
+    soon = F.struct(F.lit(0).alias("late"), F.col("rank").cast("double").alias("rank"), F.lit(0).alias("step"), F.lit(0).alias("side"))
+    kind_of = lambda k: F.lit(k).alias("kind")
+    every = placed.select("query_id", "chunk_id", "text", soon.alias("rank"), kind_of("seed"), F.lit(None).cast(corpus.schema["chunk_id"].dataType).alias("seed_id")).unionByName(
+        found.select("query_id", "chunk_id", "text", late.alias("rank"), kind_of("adjacent"), "seed_id")
+    )
+    first = every.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("text", "rank", "kind", "seed_id"), F.col("rank")).alias("c")).select("query_id", "chunk_id", "c.*")
+    return first.withColumn("tokens", text.evidence_tokens(F.col("text")))

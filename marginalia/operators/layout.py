@@ -155,3 +155,45 @@ def ocr_choice(primary: DataFrame, fallback: DataFrame, threshold: float = 0.6)
         wins.alias("fallback_used"),
         (weak & ~wins).alias("needs_review"),
     )
+
+
+#: Kinds of blocks that become assets.
+ASSET_KINDS = ("table", "figure", "formula", "image")
+
+
+def asset_id(doc_id: Column, page_no: Column, kind: Column, index: Column) -> Column:
+    """Document, page, kind and running number of an asset."""
+    safe = F.regexp_replace(F.regexp_replace(kind, "[^A-Za-z0-9_]+", "_"), "^_+|_+$", "")
+    return F.format_string("%s_p%04d_%s_%04d", doc_id.cast("string"), page_no.cast("int"), F.when(safe == "", "asset").otherwise(safe), index.cast("int"))
+
+
+def enriched_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks (doc_id, page_no, block_ix, kind, body) with asset_id and asset_path for tables, figures and formulas, numbered a page."""
+    is_asset = F.col("kind").isin(*ASSET_KINDS)
+    so_far = Window.partitionBy("doc_id", "page_no").orderBy("block_ix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    index = F.sum(is_asset.cast("int")).over(so_far)
+    path = F.format_string("page://%s/p%04d/b%04d", F.col("doc_id").cast("string"), F.col("page_no").cast("int"), F.col("block_ix").cast("int"))
+    return blocks.withColumn("asset_id", F.when(is_asset, asset_id(F.col("doc_id"), F.col("page_no"), F.col("kind"), index))).withColumn("asset_path", F.when(is_asset, path))
+
+
+def enriched_pages(blocks: DataFrame) -> DataFrame:
+    """One row a page of enriched blocks: the body joined anew from body and title blocks, the assets, and a count a kind."""
+    listed = F.array_sort(F.collect_list(F.when(F.col("kind").isin("body", "title") & (F.trim("body") != ""), F.struct("block_ix", "body"))))
+    assets = F.array_sort(F.collect_list("asset_id"))
+    return blocks.groupBy("doc_id", "page_no").agg(
+        F.trim(F.array_join(F.transform(listed, lambda x: x["body"]), "\n")).alias("body"), assets.alias("assets"), F.count(F.lit(1)).alias("n_blocks")
+    )
+
+
+def figure_table_rows(chunk_assets: DataFrame) -> DataFrame:
+    """Figures and tables of chunks (doc_id, asset_id, object_type, chunk_index, chunk_id): one row an asset, with its first chunk."""
+    wanted = chunk_assets.filter(F.col("object_type").isin("figure", "table") & F.col("asset_id").isNotNull())
+    return wanted.groupBy("doc_id", "asset_id").agg(F.min_by("object_type", "chunk_index").alias("kind"), F.min_by("chunk_id", "chunk_index").alias("related_chunk"))
+
+
+def regions_to_read(boxes: DataFrame, most: int = 4) -> DataFrame:
+    """Boxes (doc_id, page_no, box, skip) for region OCR: the largest of each page that nothing speaks against, and why others are skipped."""
+    area = (F.col("box")[2] - F.col("box")[0]) * (F.col("box")[3] - F.col("box")[1])
+    order = Window.partitionBy("doc_id", "page_no", F.col("skip").isNull()).orderBy(area.desc(), "box")
+    ranked = boxes.withColumn("_at", F.row_number().over(order))
+    return ranked.withColumn("skip", F.when(F.col("skip").isNotNull(), F.col("skip")).when(F.col("_at") > most, "over the limit of regions")).drop("_at")

@@ -1,8 +1,10 @@
 """Retrieval over many queries at once: BM25, token features, vectors, fusion, hits.
 
-Queries are a table (query_id, query), chunks a table (chunk_id, body, ...). Only postings of
-query terms are kept, so the corpus is scanned once and what is shuffled follows the queries'
-vocabulary. Ties go to the smaller chunk_id throughout.
+Queries are a table (query_id, query), chunks a table (chunk_id, body, ...). `tokenized` cuts a
+corpus into tokens once, and every lane takes its result in place of chunks. BM25 keeps postings of
+query terms only, so what it shuffles follows the queries' vocabulary; the feature lane needs the
+norm of each chunk, which is summed up in the chunk's own partition. Ties go to the smaller
+chunk_id throughout.
 """
 
 from __future__ import annotations
@@ -26,6 +28,15 @@ def bounded(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def tokenized(chunks: DataFrame, body: str = "body") -> DataFrame:
+    """(chunk_id, tokens) of each chunk, dealt by chunk; the lanes reuse one shuffle of it."""
+    return chunks.select("chunk_id", text.tokens(F.col(body)).alias("tokens")).repartition("chunk_id")
+
+
+def _tokens(chunks: DataFrame, body: str) -> DataFrame:
+    return chunks if "tokens" in chunks.columns else chunks.select("chunk_id", text.tokens(F.col(body)).alias("tokens"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, weight): how often each query holds a term, and first_at for the order of terms."""
     exploded = queries.select("query_id", F.posexplode(text.tokens(F.col("query"))).alias("at", "term"))
@@ -35,14 +46,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame, terms: DataFrame, body: str = "body") -> DataFrame:
     """(chunk_id, size, term, tf) for the given terms; size counts all tokens of the chunk."""
     wanted = bounded(terms.select("term").distinct())
-    listed = chunks.select("chunk_id", text.tokens(F.col(body)).alias("tokens"))
+    listed = _tokens(chunks, body)
     exploded = listed.select("chunk_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
     return exploded.join(wanted, "term", "left_semi").groupBy("chunk_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_size(chunks: DataFrame, body: str = "body") -> DataFrame:
     """One row: number of chunks (empty ones too) and their mean number of tokens."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.tokens(F.col(body)))).alias("mean_size"))
+    return _tokens(chunks, body).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_size"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, body: str = "body") -> DataFrame:
@@ -71,9 +82,9 @@ def top(scored: DataFrame, k: int, *keys: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def features(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, term, value): token counts, and a half for the first and last four letters of long ASCII tokens."""
-    counted = rows.select(key, F.explode(text.tokens(F.col(body))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("n"))
+def features(rows: DataFrame, key: str) -> DataFrame:
+    """(key, term, value) of (key, tokens): token counts, and a half for the first and last four letters of long ASCII tokens."""
+    counted = rows.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("n"))
     long_ascii = (F.length("token") >= 5) & ~F.col("token").rlike("[^\\x00-\\x7F]")
     whole = F.struct(F.col("token").alias("term"), F.col("n").alias("value"))
     part = lambda c: F.struct(c.alias("term"), (F.col("n") * 0.5).alias("value"))
@@ -82,17 +93,31 @@ def features(rows: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def token_cosine(chunks: DataFrame, queries: DataFrame, k: int = 50, body: str = "body") -> DataFrame:
-    """query_id, chunk_id, score (cosine of token features over 0), rank."""
-    left, right = features(queries, "query_id", "query"), features(chunks, "chunk_id", body)
+    """query_id, chunk_id, score (cosine of token features over 0), rank.
+
+    One aggregate of a chunk gives its norm and keeps the features that a query has; only those
+    leave the chunk's partition.
+    """
+    left = features(queries.select("query_id", text.tokens(F.col("query")).alias("tokens")), "query_id")
     left_norm = left.groupBy("query_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("left_norm"))
-    right_norm = right.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("right_norm"))
+    asked = bounded(left.select("term").distinct()).withColumn("asked", F.lit(True))
+    placed = chunks if "tokens" in chunks.columns else tokenized(chunks, body)
+    shared = F.collect_list(F.when(F.col("asked"), F.struct("term", "value")))
+    by_chunk = (
+        features(placed, "chunk_id")
+        .join(asked, "term", "left")
+        .groupBy("chunk_id")
+        .agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("right_norm"), shared.alias("shared"))
+        .filter(F.size("shared") > 0)
+        .select("chunk_id", "right_norm", F.inline("shared"))
+    )
     dots = (
         left.withColumnRenamed("value", "a")
-        .join(right.withColumnRenamed("value", "b"), "term")
-        .groupBy("query_id", "chunk_id")
+        .join(by_chunk.withColumnRenamed("value", "b"), "term")
+        .groupBy("query_id", "chunk_id", "right_norm")
         .agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
     )
-    scored = dots.join(bounded(left_norm), "query_id").join(right_norm, "chunk_id")
+    scored = dots.join(bounded(left_norm), "query_id")
     return top(scored.select("query_id", "chunk_id", (F.col("dot") / (F.col("left_norm") * F.col("right_norm"))).alias("score")).filter("score > 0"), k)
 
 

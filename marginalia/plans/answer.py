@@ -20,8 +20,10 @@ def fused_hits(questions: DataFrame, chunks: DataFrame, k: int = 10, lane: int =
     """
     readable = chunks.filter((F.trim("body") != "") & ~text.garbled(F.col("body")))
     wide = questions.select("query_id", question.expanded(F.col("query")).alias("query"))
-    lexical = retrieval.bm25(readable, wide, lane).cache()
-    dense = retrieval.token_cosine(readable, questions.select("query_id", text.squeeze(F.col("query")).alias("query")), lane).cache()
+    cut = retrieval.tokenized(readable)
+    # Two small tables (`lane` hits a question) that both fusions read.
+    lexical = retrieval.bm25(cut, wide, lane).checkpoint()
+    dense = retrieval.token_cosine(cut, questions.select("query_id", text.squeeze(F.col("query")).alias("query")), lane).checkpoint()
     intents = questions.select("query_id", question.intent(F.col("query")).alias("intent"))
     plain = retrieval.reciprocal_rank_fusion(lexical, dense, readable, k).join(intents, "query_id").filter("intent <> 'standard_lookup'")
     lookup = retrieval.weighted_fusion(lexical, dense, readable, k).join(intents, "query_id").filter("intent = 'standard_lookup'")
@@ -36,13 +38,14 @@ def answers(questions: DataFrame, chunks: DataFrame, k: int = 10, limit: int = 4
     """
     asked = questions.filter(question.in_scope(F.col("query"))) if gate else questions
     found = fused_hits(asked, chunks, k)
-    rows = found.join(chunks.select("chunk_id", "body"), "chunk_id")
+    rows = found.join(chunks.select("chunk_id", "body"), "chunk_id").checkpoint()
     tokens = text.evidence_tokens(F.col("body"))
     picked = evidence.select_evidence(rows.select("query_id", "chunk_id", F.col("body").alias("text"), tokens.alias("tokens"), "rank"))
     seen = rows.join(picked.select("query_id", "chunk_id", "pick"), ["query_id", "chunk_id"])
     lines = F.filter(F.transform(F.split("body", "\n"), text.squeeze), lambda x: x != "")
-    sentences = seen.select("query_id", "chunk_id", "confidence", "pick", F.posexplode(lines).alias("i", "sentence")).withColumn("order", F.col("pick") * 100_000 + F.col("i"))
-    best = claims.rank_sentences(sentences, asked, limit).join(sentences.select("query_id", "order", "chunk_id"), ["query_id", "order"])
+    sentences = seen.select("query_id", "chunk_id", "confidence", "pick", F.posexplode(lines).alias("i", "sentence")).withColumn("order", F.struct("pick", "i"))
+    places = seen.select("query_id", "pick", "chunk_id")
+    best = claims.rank_sentences(sentences, asked, limit).withColumn("pick", F.col("order.pick")).join(places, ["query_id", "pick"])
     cited = best.select(F.col("query_id").alias("answer_id"), F.col("rank").alias("claim_ix"), F.col("sentence").alias("claim"), "chunk_id")
     visible = seen.select(F.col("query_id").alias("answer_id"), "chunk_id", F.col("body").alias("text"))
     judged = claims.support_gate(cited, visible, strict=False)

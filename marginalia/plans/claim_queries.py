@@ -48,25 +48,20 @@ DATA_FAMILIES = {"license": ("license", "licence", "copyright"), "secret": ("tok
 
 
 @query(
-    "WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE length(text) < 2000), e AS (SELECT doc_id, t, list_concat("
+    "WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents), e AS (SELECT doc_id, t, list_concat("
     + ", ".join(f"CASE WHEN {_any('t', a)} THEN {list(a)} ELSE [] END" for a in DATA_FAMILIES.values())
     + ") AS more FROM c) SELECT doc_id, CASE WHEN t = '' THEN '' ELSE t || CASE WHEN len(more) > 0 THEN ' ' || array_to_string(more, ' ') ELSE '' END END AS expanded FROM e"
 )
 def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with the aliases of the families they name, of the rows that its SQL takes; alias_expand_all takes all."""
-    short = F.col("text_length") < 2000
-    return _alias_expanded(spark, sf_dir).filter(short).select("doc_id", "expanded")
+    """Texts of all documents with the aliases of the families they name; a null text is an empty one."""
+    return table(spark, sf_dir, "documents").select("doc_id", question.expanded(F.col("text"), DATA_FAMILIES, {}).alias("expanded"))
 
 
-@query()
-def alias_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of all documents with the aliases of the families they name; a null text is an empty one."""
-    return _alias_expanded(spark, sf_dir).select("doc_id", "expanded")
+QUERIES["alias_expand_all"], SQL["alias_expand_all"] = alias_expand, SQL["alias_expand"]
 
 
-def _alias_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.length("text").alias("text_length"), question.expanded(F.col("text"), DATA_FAMILIES, {}).alias("expanded"))
+#: Slots of the texts at hand: a text states something, and says on what it stands.
+DATA_SLOTS = (("statement", ("is", "are", "the", "de", "der", "que")), ("support", ("token", "license", "because", "para", "und", "ing")))
 
 
 def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +82,21 @@ def alias_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turn_pairs(spark, sf_dir).select("conv_id", "turn", covered.cast("int").alias("covered"), total.cast("int").alias("total"))
 
 
-@query()
+def _word(column: str, terms) -> str:
+    body = "|".join(t.replace(" ", "\\s+") for t in terms)
+    return f"regexp_matches({column}, '(?i)(?:^|[^A-Za-z0-9])(?:{body})(?:$|[^A-Za-z0-9])')"
+
+
+SQL_HAN = "(" + " OR ".join(f"contains(text, '{t}')" for t in question.STRONG_HAN) + ")"
+SQL_IN_SCOPE = f"NOT {_any('text', question.OUT_OF_SCOPE)} AND ({_word('text', question.STRONG)} OR {SQL_HAN} OR ({_word('text', question.WEAK)} AND {_word('text', question.WEAK_CONTEXT)}))"
+BY_LENGTH = sorted(((-len(a), k, a.lower(), name) for k, (name, aliases) in enumerate(question.FAMILIES.items()) for a in aliases))
+SQL_FOCUS = "CASE " + " ".join(f"WHEN contains(squeezed, '{alias}') THEN '{name}'" for _, _, alias, name in BY_LENGTH) + " END"
+SQL_LANE_FLAGS = ", ".join(f"CASE WHEN {_any('text', terms)} THEN '{name}' END" for name, terms in question.LANES)
+
+
+@query(f"""
+WITH t AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS squeezed FROM conversations)
+SELECT conv_id, turn, {SQL_IN_SCOPE} AS in_scope, {SQL_FOCUS} AS focus, list_filter([{SQL_LANE_FLAGS}], lambda x: x IS NOT NULL) AS lanes FROM t""")
 def scope_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope, focus family and advisory lanes of each turn."""
     t = F.col("text")
@@ -96,6 +105,15 @@ def scope_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+SELECT conv_id, turn, CASE {' '.join(f"WHEN {_any('text', m)} THEN '{n}'" for n, m in question.SUMMARY_MODES)} ELSE 'qa' END AS mode,
+  CASE {' '.join(f"WHEN {_any('text', m)} THEN '{n}'" for n, m in question.QUALITY_INTENTS)} ELSE 'general' END AS kind FROM conversations""")
+def summary_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode and kind of question of each turn."""
+    t = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", question.summary_mode(t).alias("mode"), question.quality_intent(t).alias("kind"))
+
+
 @query("""
 WITH f AS (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS failures FROM conversations)
 SELECT conv_id, turn, CASE WHEN failures >= 3 THEN 'extreme' WHEN length(text) > 1500 THEN 'hard' WHEN role = 'system' THEN 'easy' ELSE 'normal' END AS difficulty FROM f""")
@@ -112,16 +130,16 @@ SQL_CLAIM_TOKENS = SQL_TOKENS.replace("(text)", "(claim)")
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Claims: the first line of each document against the text of the document before it, every fifth chunk unseen."""
+    """Claims: each whole text against the text of the document before it, every fifth chunk unseen."""
     docs = table(spark, sf_dir, "documents")
-    made = docs.select(F.col("source").alias("answer_id"), F.col("doc_id").alias("claim_ix"), F.element_at(F.split("text", "\n"), 1).alias("claim"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") - F.col("doc_id") % 2).alias("chunk_id"))
+    made = docs.select(F.col("source").alias("answer_id"), F.col("doc_id").alias("claim_ix"), F.col("text").alias("claim"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") - F.col("doc_id") % 2).alias("chunk_id"))
     pairs = docs.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("chunk_id"), "text")
     visible = made.select("answer_id", "chunk_id").filter("chunk_id is not null").distinct().join(pairs, "chunk_id")
     return made, visible
 
 
 SQL_CLAIMS = r"""
-made AS (SELECT source AS answer_id, doc_id AS claim_ix, string_split(text, e'\n')[1] AS claim, CASE WHEN doc_id % 7 <> 0 THEN doc_id - doc_id % 2 END AS chunk_id FROM documents),
+made AS (SELECT source AS answer_id, doc_id AS claim_ix, text AS claim, CASE WHEN doc_id % 7 <> 0 THEN doc_id - doc_id % 2 END AS chunk_id FROM documents),
 seen AS (SELECT doc_id AS chunk_id, text FROM documents WHERE doc_id % 5 <> 0),
 j AS (SELECT made.*, seen.text AS body FROM made LEFT JOIN seen USING (chunk_id))"""
 STOP = "[" + ", ".join(f"'{w}'" for w in claims.STOP_WORDS) + "]"
@@ -141,12 +159,10 @@ def claim_support_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of a claim that its evidence does not hold."""
+    """Numbers, units and symbols of a claim that its evidence does not hold."""
     made, visible = _claims(spark, sf_dir)
     joined = made.join(visible.select("answer_id", "chunk_id", F.col("text").alias("body")), ["answer_id", "chunk_id"])
-    compact = F.lower(F.regexp_replace("body", r"\s+", ""))
-    mine = F.array_distinct(F.transform(F.regexp_extract_all("claim", F.lit(claims.NUMBER), 0), F.lower))
-    return joined.select("answer_id", "claim_ix", F.array_sort(F.filter(mine, lambda x: (x != "") & ~F.contains(compact, x))).alias("missing"))
+    return joined.select("answer_id", "claim_ix", claims.missing_items(F.col("claim"), F.col("body")).alias("missing"))
 
 
 @query()
@@ -156,7 +172,7 @@ def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_SENTENCES = r"""
-s AS (SELECT source AS query_id, doc_id, i, doc_id * 100000 + i AS ord, ls[i + 1] AS sentence, (doc_id % 10) / 10.0 AS confidence
+s AS (SELECT source AS query_id, doc_id, i, ls[i + 1] AS sentence, (doc_id % 10) / 10.0 AS confidence
   FROM (SELECT source, doc_id, list_filter(list_transform(string_split(text, e'\n'), lambda x: trim(x, e' \t\r')), lambda x: x <> '') AS ls FROM documents), unnest(range(0, len(ls))) AS r(i))"""
 CLAIM_QUESTION = "the license and the token of that password"
 
@@ -165,7 +181,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lines = F.filter(F.transform(F.split("text", "\n"), text.strip), lambda x: x != "")
     exploded = docs.select(F.col("source").alias("query_id"), "doc_id", F.posexplode(lines).alias("i", "sentence"))
-    return exploded.withColumn("order", F.col("doc_id") * 100_000 + F.col("i")).withColumn("confidence", F.col("doc_id") % 10 / 10.0)
+    return exploded.withColumn("order", F.struct("doc_id", "i")).withColumn("confidence", F.col("doc_id") % 10 / 10.0)
 
 
 SQL_SCORED = f"""
@@ -175,26 +191,26 @@ r AS (SELECT *, CASE WHEN overlap = 0 THEN confidence * 0.1 ELSE overlap * 10 +
 
 
 @query(f"""
-WITH {SQL_SENTENCES}, {SQL_SCORED}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(sentence) ORDER BY score DESC, ord) AS n FROM r),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM d WHERE n = 1)
-SELECT query_id, ord AS "order", sentence, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 4""")
+WITH {SQL_SENTENCES}, {SQL_SCORED}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(sentence) ORDER BY score DESC, doc_id, i) AS n FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, i) AS rank FROM d WHERE n = 1)
+SELECT query_id, doc_id, CAST(i AS INTEGER) AS i, sentence, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 4""")
 def claim_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four best sentences of each source for one question."""
     sentences = _sentences(spark, sf_dir)
     asked = sentences.select("query_id").distinct().withColumn("query", F.lit(CLAIM_QUESTION))
-    return claims.rank_sentences(sentences, asked).withColumn("score", F.round("score", 6))
+    return claims.rank_sentences(sentences, asked).select("query_id", "order.doc_id", "order.i", "sentence", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""
-WITH {SQL_SENTENCES}, {SQL_SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, ord) AS n FROM r),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM a WHERE n <= 2)
-SELECT query_id, doc_id, ord AS "order", CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 6""")
+WITH {SQL_SENTENCES}, {SQL_SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, i) AS n FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, i) AS rank FROM a WHERE n <= 2)
+SELECT query_id, doc_id, CAST(i AS INTEGER) AS i, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 6""")
 def per_doc_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two best sentences of a document, then six of the source."""
     wanted = F.array_distinct(text.tokens(F.lit(CLAIM_QUESTION)))
     overlap = F.size(F.array_intersect(wanted, text.tokens(F.col("sentence"))))
     scored = _sentences(spark, sf_dir).withColumn("score", F.when(overlap == 0, F.col("confidence") * 0.1).otherwise(overlap * 10 + F.col("confidence")))
-    return claims.per_group_then_global(scored, "doc_id", 2, 6, F.desc("score"), F.col("order")).select("query_id", "doc_id", "order", "rank")
+    return claims.per_group_then_global(scored, "doc_id", 2, 6, F.desc("score"), F.col("order")).select("query_id", "doc_id", "i", "rank")
 
 
 def _order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,16 +247,31 @@ def answer_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.evidence_relevance(cited, hits).withColumn("relevance", F.round("relevance", 6))
 
 
-@query("""
-WITH s AS (SELECT conv_id, turn, round(least(length(text) / 1000.0, 1), 3) AS a, CASE role WHEN 'assistant' THEN 1.0 WHEN 'user' THEN 0.5 ELSE 0.0 END AS b, role = 'assistant' AS ok FROM conversations),
-q AS (SELECT *, round((a + b) / 2, 3) AS score FROM s)
-SELECT conv_id, turn, score, list_filter([CASE WHEN NOT ok THEN 'faithfulness' END, CASE WHEN score < 0.75 THEN 'score' END, CASE WHEN b < 1 THEN 'completeness' END], lambda x: x IS NOT NULL) AS reasons FROM q""")
+@query(f"""
+WITH {SQL_PAIRS}, f AS (SELECT conv_id, turn, answer, CAST({SQL_COVERED} AS DOUBLE) AS covered, CAST({SQL_TOTAL} AS DOUBLE) AS total,
+  list_filter(list_transform(string_split(answer, e'\\n'), lambda x: trim(x, e' \\t\\r')), lambda x: x <> '' AND NOT starts_with(x, '## ')) AS ls,
+  CAST(len(list_distinct(list_intersect({SQL_TOKENS}, {SQL_TOKENS.replace('(text)', '(answer)')}))) AS DOUBLE) AS shared, CAST(len(list_distinct({SQL_TOKENS})) AS DOUBLE) AS asked,
+  ({_any('answer', DATA_SLOTS[0][1])}) AS c1, ({_any('answer', DATA_SLOTS[1][1])}) AS c2 FROM pairs),
+p AS (SELECT *, [CASE WHEN total = 0 THEN 1.0 ELSE covered / total END, CASE WHEN asked = 0 THEN 0.0 ELSE shared / asked END, (CAST(c1 AS INTEGER) + CAST(c2 AS INTEGER)) / 2.0,
+  CASE WHEN len(ls) = 0 THEN 0.0 ELSE len(list_filter(ls, lambda x: regexp_matches(x, '[。！？!?；;….．]["''”’）】》]*$'))) / CAST(len(ls) AS DOUBLE) END, 1.0] AS parts FROM f),
+m AS (SELECT *, list_transform(parts, lambda x: CAST(floor(least(1.0, greatest(0.0, CAST(x AS DOUBLE))) * 1000 + 0.5) AS BIGINT)) AS ms FROM p),
+q AS (SELECT *, floor((2 * list_sum(ms) + 5) / 10.0) / 1000.0 AS score FROM m)
+SELECT conv_id, turn, score, list_filter([CASE WHEN shared = 0 THEN 'faithfulness' END, CASE WHEN score < 0.75 THEN 'score' END, CASE WHEN ms[3] < 1000 THEN 'completeness' END], lambda x: x IS NOT NULL) AS reasons FROM q""")
 def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of sub-scores and the gates that fail, one row a turn."""
-    turns = table(spark, sf_dir, "conversations")
-    part = F.when(F.col("role") == "assistant", 1.0).when(F.col("role") == "user", 0.5).otherwise(0.0)
-    score, reasons = claims.quality([F.length("text") / 1000.0, part], F.col("role") == "assistant", F.lit(True), part)
-    return turns.select("conv_id", "turn", score.alias("score"), reasons.alias("reasons"))
+    """All five sub-scores of each turn as the answer to the turn before it, and the gates that fail.
+
+    Coverage of families, shared words as relevance, slots, complete lines, language (one here).
+    """
+    pairs = _turn_pairs(spark, sf_dir)
+    asked, answer = F.col("text"), F.col("answer")
+    covered, total = question.coverage(asked, answer, DATA_FAMILIES)
+    wanted = F.array_distinct(text.tokens(asked))
+    shared = F.size(F.array_intersect(wanted, text.tokens(answer)))
+    relevance = F.when(F.size(wanted) == 0, 0.0).otherwise(shared / F.size(wanted))
+    complete = question.filled_share([(name, question.has_any(answer, markers)) for name, markers in DATA_SLOTS])
+    parts = [F.when(total == 0, 1.0).otherwise(covered / total), relevance, complete, text.complete_sentences(answer), F.lit(1.0)]
+    score, reasons = claims.quality(parts, shared > 0, F.lit(True), complete)
+    return pairs.select("conv_id", "turn", score.alias("score"), reasons.alias("reasons"))
 
 
 @query("""

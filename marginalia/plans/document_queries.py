@@ -60,13 +60,37 @@ def chunk_rows(spark: SparkSession, sf_dir: str, keep_always: bool = False) -> D
     return chunking.chunks(prepared, 120, 20, keep_always)
 
 
-@query()
+def _sql_packed(sections: bool) -> str:
+    """The packing as a recursion over paragraphs: where the open chunk starts and what it holds, and what each paragraph closes."""
+    same = "section_no = before" if sections else "true"
+    edge = "max(CASE WHEN section_no <> coalesce(before, section_no) THEN para_ix ELSE 0 END) OVER w" if sections else "0"
+    after = "k + 1" if sections else "k"
+    rest = "0" if sections else "size"
+    return f"""
+WITH RECURSIVE {SQL_LINES}, u AS (SELECT doc_id, para_ix AS k, unit, page_no, section_no, {SQL_ESTIMATE.format('unit')} AS size, lag(section_no) OVER (PARTITION BY doc_id ORDER BY para_ix) AS before FROM secs),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum, count(*) OVER (PARTITION BY doc_id) AS n, {edge.replace('para_ix', 'k')} AS opens FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+b AS (SELECT a.doc_id, a.k, max(t.k) AS reach FROM c a JOIN c t ON t.doc_id = a.doc_id AND t.k < a.k AND t.k >= a.k - 20 AND a.cum - t.cum >= 20 GROUP BY ALL),
+e AS (SELECT c.*, greatest(coalesce(b.reach, 0), coalesce(lag(opens) OVER (PARTITION BY c.doc_id ORDER BY c.k), 0)) AS tail FROM c LEFT JOIN b ON b.doc_id = c.doc_id AND b.k = c.k),
+r AS (SELECT doc_id, CAST(-1 AS INTEGER) AS k, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS held, CAST(NULL AS BIGINT) AS a1, CAST(NULL AS BIGINT) AS b1, CAST(NULL AS BIGINT) AS a2, CAST(NULL AS BIGINT) AS b2, any_value(n) AS n FROM e GROUP BY doc_id
+  UNION ALL SELECT doc_id, k, CASE WHEN size >= 120 THEN {after} ELSE s1 END, CASE WHEN size >= 120 THEN {rest} ELSE h1 + size END, a1, b1, CASE WHEN size >= 120 THEN s1 END, CASE WHEN size >= 120 THEN k END, n
+  FROM (SELECT doc_id, k, size, n, CASE WHEN shut OR full_ THEN start END AS a1, CASE WHEN shut OR full_ THEN k - 1 END AS b1,
+      CASE WHEN shut THEN k WHEN full_ THEN greatest(start, tail) ELSE start END AS s1, CASE WHEN shut THEN 0 WHEN full_ THEN cum - (SELECT t.cum FROM c t WHERE t.doc_id = q.doc_id AND t.k = greatest(q.start, q.tail)) ELSE held END AS h1
+    FROM (SELECT e.*, r.start, r.held, r.start < e.k AND NOT ({same}) AS shut, r.start < e.k AND ({same}) AND r.held + e.size > 120 AS full_ FROM r JOIN e ON e.doc_id = r.doc_id AND e.k = r.k + 1) q)),
+x AS (SELECT doc_id, k, 1 AS o, a1 AS a, b1 AS b FROM r WHERE a1 IS NOT NULL UNION ALL SELECT doc_id, k, 2, a2, b2 FROM r WHERE a2 IS NOT NULL UNION ALL SELECT doc_id, k, 3, start, n - 1 FROM r WHERE k = n - 1 AND start < n),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, o) AS INTEGER) AS chunk_index FROM x),
+z AS (SELECT y.doc_id, chunk_index, CAST(a AS INTEGER) AS first_ix, CAST(b AS INTEGER) AS last_ix, min(page_no) AS page_start, max(page_no) AS page_end, min(section_no) AS section_no, string_agg(unit, chr(10) || chr(10) ORDER BY u.k) AS body
+  FROM y JOIN u ON u.doc_id = y.doc_id AND u.k BETWEEN a AND b GROUP BY ALL)
+SELECT doc_id, chunk_index, page_start, page_end, CASE WHEN section_no = 0 THEN 'front' ELSE printf('s%04d', section_no) END AS section_key, first_ix, last_ix,
+  printf('%s_p%04d_%05d', CAST(doc_id AS VARCHAR), page_start, chunk_index) AS chunk_id, {SQL_ESTIMATE.format('body')} AS token_estimate FROM z"""
+
+
+@query(_sql_packed(True))
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy packing into chunks with overlap inside sections."""
     return chunk_rows(spark, sf_dir).drop("text")
 
 
-@query()
+@query(_sql_packed(False))
 def chunk_pack_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older packing: no sections, overlap after every chunk."""
     return chunk_rows(spark, sf_dir, True).drop("text")

@@ -81,7 +81,13 @@ def render_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", answers.rendered(parts).alias("body"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, e'\n'), lambda x: trim(x, e' \t\r')), lambda x: x <> '' AND NOT regexp_matches(x, '^#|^\[\d+\]\s')) AS ls FROM documents),
+j AS (SELECT doc_id, regexp_replace(array_to_string(ls, e'\n'), '([A-Za-z])-\n([a-z])', '\1\2', 'g') AS t FROM l),
+k AS (SELECT doc_id, replace(replace(regexp_replace(t, e'([.!?。！？；;:：])\n', e'\\1\x1e', 'g'), e'\n', ' '), e'\x1e', e'\n') AS t FROM j),
+s AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(t, '([.!?])\s+', e'\\1\x1e', 'g'), '([。！？；])\s*', e'\\1\x1e', 'g'), e'\x1e|\n') AS ss FROM k),
+f AS (SELECT doc_id, list_filter(list_transform(ss, lambda x: trim(x, e' \t\r\n')), lambda x: x <> '') AS ss FROM s)
+SELECT doc_id, CAST(i AS INTEGER) AS sentence_ix, ss[i + 1] AS sentence FROM f, unnest(range(0, len(ss))) AS r(i)""")
 def reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of documents after joining wrapped lines."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(answers.reflowed(F.col("text"))).alias("sentence_ix", "sentence"))

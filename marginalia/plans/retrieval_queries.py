@@ -105,7 +105,8 @@ def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks, asked = chunks_of(spark, sf_dir), question(spark)
-    return retrieval.bm25(chunks, asked, 50), retrieval.token_cosine(chunks, asked, 50), chunks
+    cut = retrieval.tokenized(chunks)
+    return retrieval.bm25(cut, asked, 50), retrieval.token_cosine(cut, asked, 50), chunks
 
 
 @query(f"WITH {SQL_ONE}, {SQL_CHUNKS}, {SQL_BM25}, {SQL_DENSE}, {SQL_LANES.format(part=RRF_PART)} SELECT {SHOWN}, lanes FROM ranked WHERE rank <= 10")

@@ -27,27 +27,57 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
 
 
-@query()
+SQL_EVENTS = "e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, coalesce(value > 20, false) AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+SQL_RATE_LIMIT = f"""
+WITH RECURSIVE {SQL_EVENTS}, r AS (SELECT user_id, event_id, n, s AS last, true AS allowed FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.s - r.last >= 21600 THEN e.s ELSE r.last END, e.s - r.last >= 21600 FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, allowed FROM r"""
+
+
+@query(SQL_RATE_LIMIT)
 def rate_limit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding log a user: one request in six hours, denied ones not counted."""
     return folds.ordered_fold(_events(spark, sf_dir), "user_id", ["seconds", "event_id"], ["user_id", "event_id", "seconds"], folds.rate_limit_step(1, 21600.0), "user_id long, event_id long, allowed boolean")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SQL_EVENTS}, r AS (SELECT user_id, event_id, n, CASE WHEN NOT ok THEN s END AS failed, false AS suppressed FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN coalesce(e.s - r.failed < 7200, false) THEN r.failed WHEN NOT e.ok THEN e.s END, coalesce(e.s - r.failed < 7200, false)
+  FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, suppressed FROM r""")
 def cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts suppressed for two hours after a failure of their type."""
+    """Attempts of a user suppressed for two hours after a failed one."""
     events = _events(spark, sf_dir).withColumn("ok", F.col("value") > 20)
-    return folds.ordered_fold(events, "event_type", ["seconds", "event_id"], ["event_type", "event_id", "seconds", "ok"], folds.cooldown_step(7200.0), "event_type string, event_id long, suppressed boolean")
+    return folds.ordered_fold(events, "user_id", ["seconds", "event_id"], ["user_id", "event_id", "seconds", "ok"], folds.cooldown_step(7200.0), "user_id long, event_id long, suppressed boolean")
+
 
+SQL_BUDGET = "CASE WHEN {t} > greatest(3000 - {mine}, 0) THEN 'task budget' WHEN {t} > greatest(8000 - {used}, 0) THEN 'session budget' ELSE 'reserved' END"
 
-@query()
+
+@query(f"""
+WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p, CAST(round(o_totalprice / 100) AS BIGINT) AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+z AS (SELECT c, k, n, p, t, {SQL_BUDGET.format(t='t', mine='0', used='0')} AS reason FROM o WHERE n = 1),
+r AS (SELECT c, k, n, reason, CASE WHEN reason = 'reserved' THEN t ELSE 0 END AS used, CASE WHEN reason = 'reserved' THEN map([p], [t]) ELSE map([p], [CAST(0 AS BIGINT)]) END AS tasks FROM z
+  UNION ALL SELECT c, k, n, reason, CASE WHEN reason = 'reserved' THEN used + t ELSE used END, CASE WHEN reason = 'reserved' THEN map_concat(tasks, map([p], [mine + t])) ELSE tasks END
+  FROM (SELECT o.c, o.k, o.n, o.p, o.t, r.used, r.tasks, coalesce(r.tasks[o.p], 0) AS mine, {SQL_BUDGET.format(t='o.t', mine='coalesce(r.tasks[o.p], 0)', used='r.used')} AS reason FROM r JOIN o ON o.c = r.c AND o.n = r.n + 1))
+SELECT c AS session, k AS order_id, reason = 'reserved' AS allowed, reason, greatest(8000 - used, 0) AS remaining FROM r""")
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token budget of each customer's orders: tasks are priorities, tokens the price."""
     orders = table(spark, sf_dir, "orders").withColumn("tokens", F.round(F.col("o_totalprice") / 100).cast("long"))
     return folds.ordered_fold(orders, "o_custkey", ["o_orderkey"], ["o_custkey", "o_orderkey", "o_orderpriority", "tokens"], folds.budget_step(3000, 8000), "session long, order_id long, allowed boolean, reason string, remaining long")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'review' WHEN 'assistant' THEN 'correct' ELSE 'note' END AS kind, coalesce(length(text) > 1200, false) AS approved,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT conv_id, CAST(NULL AS BIGINT) AS turn, CAST(0 AS BIGINT) AS n, '' AS action, 'open' AS status, 0 AS reviews, 0 AS corrections FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, turn, n,
+    CASE WHEN reviewed AND approved THEN 'accept' WHEN reviewed AND corrections < 2 AND reviews < 2 THEN 'correct' WHEN reviewed THEN 'fall back' WHEN corrected THEN 'corrected' ELSE 'ignored' END,
+    CASE WHEN reviewed AND approved THEN 'approved' WHEN reviewed AND corrections < 2 AND reviews < 2 THEN 'correcting' WHEN reviewed THEN 'fallback' WHEN corrected THEN 'open' ELSE status END,
+    reviews + CAST(reviewed AS INTEGER), corrections + CAST(corrected AS INTEGER)
+  FROM (SELECT t.conv_id, t.turn, t.n, t.approved, r.status, r.reviews, r.corrections, r.status = 'open' AND t.kind = 'review' AS reviewed, r.status = 'correcting' AND t.kind = 'correct' AS corrected
+    FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1))
+SELECT conv_id, turn, action, status, reviews, corrections FROM r WHERE n > 0""")
 def supervisor_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review loops in conversations: user turns review, assistant turns correct."""
     turns = table(spark, sf_dir, "conversations").withColumn("kind", F.when(F.col("role") == "user", "review").when(F.col("role") == "assistant", "correct").otherwise("note"))
@@ -99,10 +129,15 @@ def stable_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source AS doc_id, CAST(count(*) AS BIGINT) AS n_chunks, '[' || string_agg('{"chunk_index":' || doc_id || ',"chunk_id":"' || lang || '","text":"' || n_chars || '"}', ',' ORDER BY doc_id) || ']' AS pack FROM documents GROUP BY source""")
+WITH a AS (SELECT conv_id, turn, role, unnest(range(1, len(ws) + 1)) AS place, unnest(ws) AS asset FROM (SELECT conv_id, turn, role, regexp_extract_all(text, '[A-Z][a-z]+') AS ws FROM conversations)),
+f AS (SELECT conv_id, asset, min(turn * 1000000 + place) AS first FROM a GROUP BY ALL), s AS (SELECT conv_id, list(asset ORDER BY first) AS assets FROM f GROUP BY conv_id)
+SELECT conv_id AS doc_id, CAST(count(*) AS BIGINT) AS n_chunks, '[' || string_agg('{"chunk_index":' || turn || ',"chunk_id":"' || role || '","text":"' || length(text) || '"}', ',' ORDER BY turn) || ']' AS pack,
+  coalesce(any_value(assets), []) AS assets FROM conversations LEFT JOIN s USING (conv_id) GROUP BY conv_id""")
 def context_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return sinks.context_packs(docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), F.col("lang").alias("chunk_id"), F.col("n_chars").cast("string").alias("text")))
+    """A pack of each conversation: its turns, and the names that it holds (words with a capital) as assets."""
+    turns = table(spark, sf_dir, "conversations")
+    names = F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0)
+    return sinks.context_packs(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), F.col("role").alias("chunk_id"), F.length("text").cast("string").alias("text"), names.alias("assets")))
 
 
 @query("""
@@ -128,7 +163,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parq*")
 
 
-@query()
+@query(SQL_RATE_LIMIT)
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate limit on keyed state of the stream."""
     events = _stream(spark, sf_dir).withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)

@@ -160,23 +160,28 @@ def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH h AS (SELECT source, doc_id, doc_id // 1024 AS page, sha256(text) AS d FROM documents),
-p AS (SELECT source, page, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || d, e'\n' ORDER BY doc_id)) AS d, count(*) AS n FROM h GROUP BY source, page)
-SELECT source, sha256(string_agg(d, e'\n' ORDER BY page)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY source""")
+WITH h AS (SELECT source, doc_id // 1024 AS page, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), e'\n' ORDER BY doc_id)) AS d, count(*) AS n FROM documents GROUP BY ALL),
+p AS (SELECT source, page // 1024 AS book, sha256(string_agg(d, e'\n' ORDER BY page)) AS d, sum(n) AS n FROM h GROUP BY ALL)
+SELECT source, sha256(string_agg(d, e'\n' ORDER BY book)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY source""")
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest a source, in two levels: digests of 1,024 keys, then of those in order, so no group holds all documents."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / 1024).alias("page"), F.sha2("text", 256).alias("d"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "d"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["d"]))
-    pages = docs.groupBy("source", "page").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("page", "d"))), lambda x: x["d"])
-    return pages.groupBy("source").agg(F.sha2(F.array_join(in_order, "\n"), 256).alias("corpus_hash"), F.sum("n").alias("n"))
+    """One digest a source, in three levels: digests of 1,024 keys, of 1,024 of those, and of the rest in order, so that rows stay small."""
+    docs = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 1024).alias("page"), F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("d")).alias("x"), F.lit(1).cast("long").alias("n"))
+    pages = _digested(docs, "source", "page").select("source", F.floor(F.col("page") / 1024).alias("book"), F.struct("page", "d").alias("x"), "n")
+    books = _digested(pages, "source", "book").select("source", F.struct("book", "d").alias("x"), "n")
+    return _digested(books, "source").select("source", F.col("d").alias("corpus_hash"), "n")
+
+
+def _digested(rows: DataFrame, *keys: str) -> DataFrame:
+    """The digest of the values x.d of a group in the order of x, and the sum of n."""
+    values = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"])
+    return rows.groupBy(*keys).agg(F.sha2(F.array_join(values, "\n"), 256).alias("d"), F.sum("n").alias("n"))
 
 
 @query(r"""
 WITH b AS (SELECT doc_id, regexp_replace(text, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'g') AS a FROM documents),
 k AS (SELECT doc_id, regexp_replace(a, '(?i)\b([A-Z0-9_]*(?:API[_-]?KEY|TOKEN|SECRET|PASSWORD)[A-Z0-9_]*)\s*=\s*[^,\s;]+', '\1=[redacted]', 'g') AS a FROM b),
 w AS (SELECT doc_id, regexp_replace(a, '\b[A-Za-z]:\\(?:[^\\/:*?"<>|\r\n]+\\)*[^\\/:*?"<>|\s\r\n]*', '[local-path]', 'g') AS a FROM k),
-p AS (SELECT doc_id, regexp_replace(a, '(^|[^A-Za-z0-9_])/(?:Users|home|tmp|var|private|mnt|Challenge)(?:/[^\s,;]+)+', '\1[local-path]', 'g') AS a FROM w)
+p AS (SELECT doc_id, regexp_replace(a, '(^|[^A-Za-z0-9_])/(?:Users|home|tmp|var|private|mnt)(?:/[^\s,;]+)+', '\1[local-path]', 'g') AS a FROM w)
 SELECT doc_id, CASE WHEN length(a) > 2000 THEN '[redacted-long-text]' ELSE a END AS masked FROM p""")
 def redact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", redact.for_log(F.col("text"), 2000).alias("masked"))
@@ -192,6 +197,20 @@ def redact_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", redact.secrets(F.col("text")).alias("masked"))
 
 
+@query(r"""
+WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)(api[_-]?key|x-api-key)(\s*[:=]\s*)([A-Za-z0-9_\-]{8,})', '\1\2[REDACTED]', 'g'),
+  '(?i)(authorization|bearer)(\s*[:=]?\s*)(Bearer\s+)?([A-Za-z0-9._\-]{8,})', '\1\2[REDACTED]', 'g') AS a FROM documents),
+p AS (SELECT doc_id, text, regexp_replace(regexp_replace(a, '[A-Za-z]:\\[^\s"'']+', '[REDACTED_LOCAL_PATH]', 'g'), '(^|[^\w.])/(?:Users|home|var|tmp|mnt)/[^\s"'']+', '\1[REDACTED_LOCAL_PATH]', 'g') AS a FROM c),
+f AS (SELECT doc_id, a, text, regexp_replace(text, '(^|[^\w:])/(?:Users|home|tmp|var|mnt|opt|private|Volumes)/[^\s\r\n"'']+', '\1[REDACTED_PATH]', 'g') AS b FROM p),
+w AS (SELECT doc_id, a, text, regexp_replace(regexp_replace(b, '(?i)\b[A-Z]:[\\/][^\s\r\n"''<>|?*]+', '[REDACTED_PATH]', 'g'), '\\\\[^\\/\s]+[\\/][^\s\r\n"''<>|?*]+', '[REDACTED_PATH]', 'g') AS b FROM f)
+SELECT doc_id, CASE WHEN length(a) > 1200 THEN substr(a, 1, 1200) || '...[TRUNCATED]' ELSE a END AS capture,
+  CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '...[TRUNCATED]' WHEN contains(text, 'Bearer ') THEN 'Bearer [REDACTED]' ELSE b END AS fixture FROM w""")
+def redact_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule sets of captured searches and of recorded answers."""
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", redact.for_capture(c, 1200).alias("capture"), redact.for_fixture(c, 4000).alias("fixture"))
+
+
 @query(r"""
 WITH f AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(?:gb\s*[/∕]?\s*t|gbt|dl\s*[/∕]?\s*t|dlt|iso|api)[\s_-]*\d{3,6}(?:\.\d+)*')) AS m FROM pages),
 k AS (SELECT page_id, regexp_replace(lower(m), '[\s/∕_-]', '', 'g') AS b FROM f)
@@ -206,15 +225,31 @@ def standard_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT DISTINCT source, doc_id AS page FROM documents),
 g AS (SELECT source, page, page - row_number() OVER (PARTITION BY source ORDER BY page) AS island FROM d),
 r AS (SELECT source, min(page) AS a, max(page) AS b FROM g GROUP BY source, island)
-SELECT source, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS runs FROM r GROUP BY source""")
+SELECT source, a AS first_page, b AS last_page, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END AS run FROM r""")
 def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of consecutive document numbers a source, as islands found by a window."""
-    pages = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page")).distinct()
-    in_order = Window.partitionBy("source").orderBy("page")
-    islands = pages.withColumn("island", F.col("page") - F.row_number().over(in_order)).groupBy("source", "island").agg(F.min("page").alias("a"), F.max("page").alias("b"))
-    label = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
-    runs = F.transform(F.array_sort(F.collect_list(F.struct("a", label.alias("label")))), lambda x: x["label"])
-    return islands.groupBy("source").agg(F.array_join(runs, ",").alias("runs"))
+    """Runs of consecutive document numbers a source, one row a run; no task numbers a whole source."""
+    return consecutive_runs(table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page")), "source", "page").select(
+        "source", F.col("first").alias("first_page"), F.col("last").alias("last_page"), "run"
+    )
+
+
+def consecutive_runs(pages: DataFrame, group: str, page: str, block: int = 4096) -> DataFrame:
+    """Runs of consecutive numbers of a group: group, first, last, run (1-3 or 5).
+
+    Runs are found inside blocks of numbers; of those only the ones that touch a block's edge can
+    join, and of them there are two a block at most.
+    """
+    distinct = pages.select(group, F.col(page).alias("_p"), F.floor(F.col(page) / block).alias("_b")).distinct()
+    inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_p"))
+    parts = distinct.withColumn("_i", F.col("_p") - inside).groupBy(group, "_b", "_i").agg(F.min("_p").alias("_x"), F.max("_p").alias("_y"))
+    edge = (F.pmod(F.col("_x"), F.lit(block)) == 0) | (F.pmod(F.col("_y") + 1, F.lit(block)) == 0)
+    in_order = Window.partitionBy(group).orderBy("_x")
+    opens = F.coalesce((F.lag("_y").over(in_order) + 1 != F.col("_x")).cast("int"), F.lit(1))
+    edges = parts.filter(edge).withColumn("_o", opens).withColumn("_r", F.sum("_o").over(in_order))
+    joined = edges.groupBy(group, "_r").agg(F.min("_x").alias("first"), F.max("_y").alias("last")).drop("_r")
+    runs = joined.unionByName(parts.filter(~edge).select(group, F.col("_x").alias("first"), F.col("_y").alias("last")))
+    label = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", F.col("first").cast("string"), F.col("last").cast("string")))
+    return runs.withColumn("run", label)
 
 
 @query(r"""
@@ -226,13 +261,17 @@ def complete_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT page_id, regexp_replace(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1), '[^A-Za-z0-9]+', '-', 'g') AS name,
-  trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') || '_' || substr(sha256(html), 1, 8) AS stable_id FROM pages WHERE length(url) <= 60""")
+  rtrim(substr(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), '-') || '_' || substr(sha256(html), 1, 8) AS stable_id FROM pages""")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").filter(F.length("url") <= 60)
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", F.regexp_replace(text.basename(F.col("url")), "[^A-Za-z0-9]+", "-").alias("name"), text.stable_id(F.col("url"), F.col("html")).alias("stable_id"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '[{}]') AS ls FROM pages),
+d AS (SELECT page_id, list_transform(ls, lambda x: CASE x WHEN '{' THEN 1 ELSE -1 END) AS steps FROM l),
+s AS (SELECT page_id, list_transform(range(1, len(steps) + 1), lambda k: list_sum(steps[1:k])) AS depth FROM d)
+SELECT page_id, len(depth) > 0 AND (depth[-1] <> 0 OR list_min(depth) < 0) AS unbalanced FROM s""")
 def formula_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the braces of each page's text are balanced."""
     return table(spark, sf_dir, "pages").select("page_id", text.unbalanced_braces(F.col("html")).alias("unbalanced"))

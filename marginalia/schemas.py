@@ -9,3 +9,25 @@ CHUNK = (
 )
 PAGE = "doc_id STRING, page_no INT, primary_engine STRING, fallback_used BOOLEAN, ocr_confidence DOUBLE, layout_quality STRING, raw_text STRING, normalized_text STRING, needs_review BOOLEAN, metadata STRING"
 QA_LOG = "id LONG, query STRING, summary STRING, citations ARRAY<STRING>, latency_ms INT, token_cost INT, created_at TIMESTAMP"
+
+#: The tables of the store, by name. Later columns are those that were added to the first form.
+TABLES = {
+    "documents": "id LONG, title STRING, type STRING, source STRING, language STRING, year INT, authors ARRAY<STRING>, file_path STRING, hash STRING, ocr_status STRING, parse_status STRING, version STRING, created_at TIMESTAMP",
+    "document_sections": "id LONG, doc_id LONG, parent_id LONG, heading STRING, level INT, page_start INT, page_end INT",
+    "chunks": "id LONG, doc_id LONG, section_id LONG, page_start INT, page_end INT, chunk_type STRING, text STRING, normalized_text STRING, token_count INT, citation_anchor STRING",
+    "figures_tables": "id LONG, doc_id LONG, page_no INT, kind STRING, caption STRING, image_path STRING, related_chunk_ids ARRAY<LONG>",
+    "terms": "id LONG, canonical_term STRING, zh_name STRING, en_name STRING, aliases ARRAY<STRING>, notes STRING, topic STRING",
+    "symbols": "id LONG, canonical_symbol STRING, latex STRING, meaning STRING, unit STRING, notes STRING, avoid_confusion_with ARRAY<STRING>",
+    "units": "id LONG, quantity STRING, canonical_units STRING, aliases ARRAY<STRING>, warning_notes STRING",
+    "citations": "id LONG, answer_id STRING, chunk_id LONG, evidence_type STRING, confidence FLOAT",
+    "qa_logs": "id LONG, query STRING, intent STRING, chosen_skills ARRAY<STRING>, retrieved_chunks ARRAY<LONG>, final_verdict STRING, created_at TIMESTAMP",
+}
+ADDED = {
+    "documents": "external_id STRING",
+    "chunks": "external_id STRING, pages ARRAY<INT>, source_type STRING, topic STRING",
+    "qa_logs": "status STRING, citations STRING, latency_ms INT, token_cost INT, supervisor_invocations INT",
+}
+#: Columns whose values are distinct where they are present.
+UNIQUE = {"documents": ("hash", "external_id"), "chunks": ("external_id",), "terms": ("canonical_term",), "symbols": ("canonical_symbol",)}
+#: Columns that are never null.
+REQUIRED = {"documents": ("title", "file_path"), "chunks": ("text",), "terms": ("canonical_term",), "symbols": ("canonical_symbol",), "units": ("quantity", "canonical_units"), "citations": ("answer_id",), "qa_logs": ("query",)}

@@ -28,8 +28,8 @@ def jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def chunk_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of all files named chunks.jsonl or chunks_*.jsonl below a folder."""
-    read = spark.read.schema(schemas.CHUNK).option("recursiveFileLookup", "true").option("pathGlobFilter", "chunks*.jsonl").json(folder)
+    """Chunks of all files named chunks.jsonl or chunks_*.jsonl below a folder; a bad line is an error."""
+    read = spark.read.schema(schemas.CHUNK).option("mode", "FAILFAST").option("recursiveFileLookup", "true").option("pathGlobFilter", "chunks*.jsonl").json(folder)
     named = read.withColumn("_file", F.col("_metadata.file_name"))
     return named.filter(F.col("_file").rlike(r"^chunks(_.*)?\.jsonl$")).drop("_file")
 
@@ -103,13 +103,18 @@ def export_documents(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.withColumn("warning", F.when(F.col("n_chunks") == 0, "chunks file is missing"))
 
 
-def literature(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
-    """Candidates of a captured literature search: first present id, sanitised; snippet or the head of the abstract."""
+def literature(spark: SparkSession, path: str, limit: int | None = None, head: int | None = None) -> DataFrame:
+    """Candidates of a captured literature search: first present id, sanitised; snippet or abstract.
+
+    `limit` keeps so many candidates of a search, `head` so many characters of an abstract; all without them.
+    """
     fields = "title STRING, authors ARRAY<STRING>, year INT, venue STRING, doi STRING, url STRING, abstract STRING, snippet STRING, arxiv_id STRING, paper_id STRING, id STRING"
     read = spark.read.schema(f"query STRING, retrieval_source STRING, candidates ARRAY<STRUCT<{fields}>>").option("multiLine", "true").json(path)
-    rows = read.select("query", "retrieval_source", F.posexplode("candidates").alias("n", "c")).filter(F.col("n") < limit)
+    rows = read.select("query", "retrieval_source", F.posexplode("candidates").alias("n", "c"))
+    rows = rows if limit is None else rows.filter(F.col("n") < limit)
+    abstract = F.col("c.abstract") if head is None else F.substring("c.abstract", 1, head)
     raw = text.first_text(*[F.col(f"c.{k}") for k in ("id", "arxiv_id", "paper_id", "doi", "url")])
-    return rows.select("query", "retrieval_source", "n", F.regexp_replace(raw, r"[^A-Za-z0-9._:-]+", "_").alias("candidate_id"), "c.title", "c.year", text.first_text(F.col("c.snippet"), F.substring("c.abstract", 1, 300)).alias("snippet"))
+    return rows.select("query", "retrieval_source", "n", F.regexp_replace(raw, r"[^A-Za-z0-9._:-]+", "_").alias("candidate_id"), "c.title", "c.year", text.first_text(F.col("c.snippet"), abstract).alias("snippet"))
 
 
 def settings(values: dict[str, str], env: dict[str, str], prefix: str = "MARGINALIA_") -> dict[str, str]:

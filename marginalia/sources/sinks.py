@@ -19,7 +19,14 @@ def export_json(rows: DataFrame, path: str) -> None:
 def context_packs(chunks: DataFrame) -> DataFrame:
     """One row a document: its chunks in order as one JSON array, and its distinct assets in order of their first chunk."""
     listed = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text")))
-    return chunks.groupBy("doc_id").agg(F.to_json(listed).alias("pack"), F.count(F.lit(1)).alias("n_chunks"))
+    packs = chunks.groupBy("doc_id").agg(F.to_json(listed).alias("pack"), F.count(F.lit(1)).alias("n_chunks"))
+    if "assets" not in chunks.columns:
+        return packs
+    # An asset counts where it comes first; its place in that chunk decides between assets of one chunk.
+    each = chunks.select("doc_id", "chunk_index", F.posexplode("assets").alias("at", "asset"))
+    firsts = each.groupBy("doc_id", "asset").agg(F.min(F.struct("chunk_index", "at")).alias("first"))
+    named = firsts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "asset"))), lambda x: x["asset"]).alias("assets"))
+    return packs.join(named, "doc_id", "left").withColumn("assets", F.coalesce("assets", F.array().cast("array<string>")))
 
 
 def upsert(target: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
@@ -28,11 +35,21 @@ def upsert(target: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_surrogate(rows: DataFrame, existing: DataFrame, key: str, out: str = "id") -> DataFrame:
-    """Identifiers of known keys, and new ones after the largest for the rest, in key order within hash ranges."""
-    top = F.coalesce(F.max(out), F.lit(0)).alias("_top")
+    """Identifiers of known keys, and for the rest the next numbers after the largest, in key order and without gaps.
+
+    Keys are distinct and ordered as strings. Blocks share their first two letters: a key's number
+    is its rank in its block after the sizes of the blocks before.
+    """
     known = rows.join(existing.select(key, out), key, "left")
-    fresh = known.filter(F.col(out).isNull()).drop(out).crossJoin(F.broadcast(existing.agg(top)))
-    return known.filter(F.col(out).isNotNull()).unionByName(fresh.withColumn(out, F.col("_top") + 1 + F.monotonically_increasing_id()).drop("_top"))
+    fresh = known.filter(F.col(out).isNull()).drop(out)
+    block = F.substring(F.col(key).cast("string"), 1, 2)
+    text_order = F.col(key).cast("string")
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = fresh.groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(text_order))
+    top = existing.agg(F.coalesce(F.max(out), F.lit(0)).alias("_top"))
+    numbered = fresh.withColumn("_block", block).withColumn("_at", inside).join(F.broadcast(bases), "_block").crossJoin(F.broadcast(top))
+    return known.filter(F.col(out).isNotNull()).unionByName(numbered.withColumn(out, F.col("_top") + F.col("_base") + F.col("_at")).drop("_top", "_base", "_at", "_block"))
 
 
 def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
@@ -74,8 +91,9 @@ def dry_run(rows: DataFrame, group: str, order: str, preview: int = 3) -> DataFr
 
 def guarded(rows: DataFrame, key: str) -> DataFrame:
     """The rows, or an error where they belong to more than one document."""
-    one = F.min(key).over(Window.partitionBy(F.lit(1)))
-    return rows.withColumn(key, F.when(F.col(key) == one, F.col(key)).otherwise(F.raise_error(F.lit("rows of more than one document"))))
+    ends = rows.agg(F.min(key).alias("_least"), F.max(key).alias("_most"))
+    one = F.when(F.col("_least") == F.col("_most"), F.col(key)).otherwise(F.raise_error(F.lit("rows of more than one document")))
+    return rows.crossJoin(F.broadcast(ends)).withColumn(key, one).drop("_least", "_most")
 
 
 def cache_plan(manifests: DataFrame, ttl_seconds: int = 3600) -> DataFrame:

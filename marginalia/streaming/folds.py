@@ -7,6 +7,7 @@ size takes constant memory. In Structured Streaming the same step runs on keyed
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -112,19 +113,23 @@ def review_step(max_reviews: int = 3, max_corrections: int = 2) -> Step:
 
 
 def stream_fold(rows: DataFrame, key: str, fields: list[str], step: Step, schema: str) -> DataFrame:
-    """The step on keyed state of a stream; rows of a micro-batch are taken in the order of their third field."""
+    """The step on keyed state of a stream: any state of lists, dictionaries, numbers and strings, held as JSON.
+
+    Rows of a micro-batch are taken in the order of their third field; rows that come in a later
+    micro-batch follow those before, whatever their time.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else None
+        held = json.loads(state.get[0]) if state.exists else None
         table = pd.concat(list(frames)).sort_values([fields[2], fields[1]])
         out = []
         for row in table[fields].itertuples(index=False, name=None):
             held, result = step(held, row)
             out.append(result)
-        state.update((held,))
+        state.update((json.dumps(held),))
         yield pd.DataFrame(out, columns=names)
 
-    return rows.select(*fields).groupBy(key).applyInPandasWithState(run, schema, "hits array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.select(*fields).groupBy(key).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
