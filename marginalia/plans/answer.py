@@ -30,6 +30,19 @@ def fused_hits(questions: DataFrame, chunks: DataFrame, k: int = 10, lane: int =
     return retrieval.confidence(plain.unionByName(lookup))
 
 
+def relevant(sentences: DataFrame, questions: DataFrame) -> DataFrame:
+    """Sentences of the question's focus, then scope statements for scope questions, where there are any; outcomes only for outcome questions."""
+    named = sentences.join(questions.select("query_id", "query", question.focus(F.col("query")).alias("focus")), "query_id")
+    sentence, query = F.col("sentence"), F.col("query")
+    scope = question.has_any(query, question.STANDARD_MARKERS) & question.has_any(query, question.SCOPE_MARKERS)
+    wanted = [
+        (F.col("focus").isNotNull(), F.array_contains(question.detected(sentence, question.FAMILIES), F.col("focus")), False),
+        (scope, claims.is_scope_claim(sentence), False),
+        (claims.is_outcome_question(query), claims.is_outcome_claim(sentence), True),
+    ]
+    return claims.narrowed(named, wanted).drop("query", "focus")
+
+
 def answers(questions: DataFrame, chunks: DataFrame, k: int = 10, limit: int = 4, gate: bool = False) -> DataFrame:
     """One row a question: status, intent, answer with cited chunks, number of claims.
 
@@ -40,10 +53,18 @@ def answers(questions: DataFrame, chunks: DataFrame, k: int = 10, limit: int = 4
     found = fused_hits(asked, chunks, k)
     rows = found.join(chunks.select("chunk_id", "body"), "chunk_id").checkpoint()
     tokens = text.evidence_tokens(F.col("body"))
-    picked = evidence.select_evidence(rows.select("query_id", "chunk_id", F.col("body").alias("text"), tokens.alias("tokens"), "rank"))
-    seen = rows.join(picked.select("query_id", "chunk_id", "pick"), ["query_id", "chunk_id"])
+    if {"doc_id", "chunk_index"} <= set(chunks.columns):
+        # Chunks of whole documents: neighbours that run on from a hit stand as evidence too.
+        corpus = chunks.select("chunk_id", "doc_id", "chunk_index", F.col("body").alias("text"))
+        candidates = evidence.with_neighbors(rows.select("query_id", "chunk_id", "rank"), corpus)
+    else:
+        candidates = rows.select("query_id", "chunk_id", F.col("body").alias("text"), tokens.alias("tokens"), "rank")
+    picked = evidence.select_evidence(candidates)
+    bodies = picked.select("query_id", "chunk_id", "pick").join(chunks.select("chunk_id", "body"), "chunk_id")
+    seen = bodies.join(found.select("query_id", "chunk_id", "confidence"), ["query_id", "chunk_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     lines = F.filter(F.transform(F.split("body", "\n"), text.squeeze), lambda x: x != "")
     sentences = seen.select("query_id", "chunk_id", "confidence", "pick", F.posexplode(lines).alias("i", "sentence")).withColumn("order", F.struct("pick", "i"))
+    sentences = relevant(sentences, asked)
     places = seen.select("query_id", "pick", "chunk_id")
     best = claims.rank_sentences(sentences, asked, limit).withColumn("pick", F.col("order.pick")).join(places, ["query_id", "pick"])
     cited = best.select(F.col("query_id").alias("answer_id"), F.col("rank").alias("claim_ix"), F.col("sentence").alias("claim"), "chunk_id")

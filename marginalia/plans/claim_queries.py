@@ -57,7 +57,8 @@ def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", question.expanded(F.col("text"), DATA_FAMILIES, {}).alias("expanded"))
 
 
-QUERIES["alias_expand_all"], SQL["alias_expand_all"] = alias_expand, SQL["alias_expand"]
+alias_expand_all = alias_expand
+QUERIES["alias_expand_all"], SQL["alias_expand_all"] = alias_expand_all, SQL["alias_expand"]
 
 
 #: Slots of the texts at hand: a text states something, and says on what it stands.

@@ -67,6 +67,13 @@ def vector_points(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return usable.select(uuid5(F.col("chunk_id").cast("string")).alias("point_id"), "chunk_id", payload.alias("payload"), "vector")
 
 
+def skipped_points(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(chunk_id, reason) of the chunks that give no point: their text is blank, or they have no vector."""
+    joined = chunks.select("chunk_id", "text").join(vectors.select("chunk_id", F.lit(True).alias("_has")), "chunk_id", "left")
+    reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank text").when(F.col("_has").isNull(), "no vector")
+    return joined.select("chunk_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def log_rows(answers: DataFrame) -> DataFrame:
     """Log rows of answers: secrets masked, texts cut at 2,000 characters, only references that can be found."""
     short = lambda c: text.truncated(redact.secrets(F.col(c)), 2000)
