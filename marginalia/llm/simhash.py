@@ -205,17 +205,14 @@ def _shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
-def _candidates(marks: DataFrame) -> DataFrame:
+def _candidates(marks: DataFrame, banded: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes: of equal bands, or of equal or linked fingerprints.
 
     In a band's group of up to SMALL_GROUP members all meet each other; in a larger one each meets
     two, the first and the last by a hash that differs from band to band, so a group of any size
-    gives pairs in proportion to its members, and members that are not similar to those two meet
-    others in the next band.
+    gives pairs in proportion to its members. What such a group still leaves apart is the work of
+    `_apart` and `_rare_pairs`.
     """
-    banded = marks.select("node", F.posexplode("bands").alias("at", "band"))
-    place = F.struct(F.xxhash64("node", "at").alias("by"), F.col("node"))
-    groups = banded.groupBy("at", "band").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     large = groups.filter(F.col("n") > SMALL_GROUP).select("at", "band", F.explode(F.array("first.node", "last.node")).alias("b"))
     alike = banded.join(large, ["at", "band"]).select(F.col("node").alias("a"), "b")
     small = groups.filter(F.col("n") <= SMALL_GROUP).select("at", "band")
@@ -229,15 +226,53 @@ def _candidates(marks: DataFrame) -> DataFrame:
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_copies(nodes: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the texts (node, text; a node has one text) that have a near copy; component is the smallest node reachable."""
+def _apart(banded: DataFrame, groups: DataFrame, placed: DataFrame) -> DataFrame:
+    """(node, component) of the members of large groups that are not all in one component."""
+    large = groups.filter(F.col("n") > SMALL_GROUP).select("at", "band")
+    members = banded.join(large, ["at", "band"]).join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = members.groupBy("at", "band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return members.join(split.select("at", "band"), ["at", "band"], "left_semi").select("node", "component").distinct()
 
-    def marked(batches):
+
+def _rare_pairs(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """All pairs (a, b) of texts (node, component, text) in different components that can be similar enough.
+
+    A prefix filter: of two sets with a Jaccard similarity of t or more, each has a shingle of the
+    other among its size - ceil(t * size) + 1 rarest ones. Shingles of one component alone, which
+    is most of what near copies share, give no pair; in the others only the members outside the
+    most frequent component meet all.
+    """
+
+    def shingled(batches):
         for batch in batches:
-            found = [sketch(t, words) for some in text_slices([batch.column(1)]) for t in some.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))], names=["node", "fp", "bands"]
-            )
+            bodies = (t for some in text_slices([batch.column(2)]) for t in some.to_pylist())
+            for node, component, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies):
+                hashes = _shingle_set(body, words).view(np.int64)
+                n = len(hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node] * n, pa.string()), pa.array([component] * n, pa.string()), pa.array(np.full(n, n, np.int64)), pa.array(hashes)],
+                    names=["node", "component", "size", "shingle"],
+                )
+
+    every = materialize(texts.select("node", "component", "text").mapInArrow(shingled, "node string, component string, size long, shingle long"), "copies-shingles")
+    known = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Counted from the most frequent one, so that shingles of one text alone need no row.
+    from_common = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("shingle"))
+    ranked = every.join(known, "shingle").withColumn("place", F.row_number().over(from_common))
+    rare = ranked.filter(F.col("place") >= F.ceil(F.col("size") * similarity - 1e-9)).select("shingle", "node", "component", "size")
+    rare = materialize(rare, "copies-rare")
+    held = rare.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = held.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    shared = materialize(rare.join(mixed.select("shingle", F.col("main.component").alias("main")), "shingle"), "copies-mixed")
+    left = shared.filter("component <> main").select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"))
+    right = shared.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"))
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
+    pairs = left.join(right, "shingle").filter((F.col("ca") != F.col("cb")) & sizes)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts have the similarity."""
 
     @F.arrow_udf(T.BooleanType())
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -249,13 +284,42 @@ def near_copies(nodes: DataFrame, words: int = COPY_WORDS, similarity: float = S
             out.append(jaccard(*sets) >= similarity)
         return pa.array(out, pa.bool_())
 
-    marks = materialize(nodes.mapInArrow(marked, "node string, fp long, bands array<long>").dropDuplicates(["node"]), "copies-marks")
-    pairs = materialize(_candidates(marks), "copies-pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = materialize(nodes.join(asked, "node", "left_semi").dropDuplicates(["node"]), "copies-texts")
     left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
-    true = pairs.join(left, "a").join(right, "b").filter(similar("text_a", "text_b")).select("a", "b")
-    return components(true, "a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(similar("text_a", "text_b")).select("a", "b")
+
+
+def near_copies(nodes: DataFrame, words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the texts (node, text; a node has one text) that have a near copy; component is the smallest node reachable.
+
+    Every pair of texts that share a band, or whose fingerprints link, ends in one component if it
+    has the similarity: pairs that meet are verified, and where a large group is not yet one
+    component, a prefix filter finds each further pair between its components.
+    """
+
+    def marked(batches):
+        for batch in batches:
+            found = [sketch(t, words) for some in text_slices([batch.column(1)]) for t in some.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))], names=["node", "fp", "bands"]
+            )
+
+    marks = materialize(nodes.mapInArrow(marked, "node string, fp long, bands array<long>").dropDuplicates(["node"]), "copies-marks")
+    banded = marks.select("node", F.posexplode("bands").alias("at", "band"))
+    place = F.struct(F.xxhash64("node", "at").alias("by"), F.col("node"))
+    groups = banded.groupBy("at", "band").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = materialize(groups, "copies-groups")
+    pairs = materialize(_candidates(marks, banded, groups), "copies-pairs")
+    true = materialize(_verified(pairs, nodes, words, similarity), "copies-true")
+    found = components(true, "a", "b")
+    apart = materialize(_apart(banded, groups, found), "copies-apart")
+    if apart.isEmpty():
+        return found
+    texts = nodes.join(apart, "node").dropDuplicates(["node"])
+    more = materialize(_rare_pairs(texts, words, similarity).join(pairs, ["a", "b"], "left_anti"), "copies-more")
+    further = materialize(_verified(more, nodes, words, similarity), "copies-further")
+    return found if further.isEmpty() else components(true.union(further), "a", "b")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -228,6 +228,37 @@ def test_keep_one_drops_copies_beyond_three_bits(spark):
     assert got == {k for k, _ in rows} - near
 
 
+def chained_texts(n, seed):
+    """Texts that share most words, each a few words from one before it: far from one another, but linked in chains."""
+    rng, texts = random.Random(seed), []
+    for k in range(n):
+        words = [f"w{j}" for j in range(200)] if k < 3 else list(rng.choice(texts))
+        for _ in range(rng.choice([2, 3, 4, 9])):
+            words[rng.randrange(200)] = f"new{k}x{rng.randrange(9)}"
+        texts.append(words)
+    return [" ".join(words) for words in texts]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_groups_of_near_copies_equal_brute_force(spark, seed):
+    texts = chained_texts(150, seed)
+    sets = [simhash._shingle_set(t, 5) for t in texts]
+    close = [(a, b) for b in range(len(texts)) for a in range(b) if simhash.jaccard(sets[a], sets[b]) >= 0.8]
+    assert all((slow_jaccard(texts[a], texts[b]) >= 0.8) for a, b in close[:50])
+    nodes = spark.createDataFrame([(f"{k:03d}", t) for k, t in enumerate(texts)], "node string, text string")
+    # All pairs that can be similar pass the prefix filter, whatever the bands say.
+    alone = nodes.withColumn("component", F.col("node"))
+    found = {(int(r.a), int(r.b)) for r in simhash._rare_pairs(alone, 5, 0.8).collect()}
+    assert set(close) <= found and len(found) < 150 * 149 // 2
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in close:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {k: root[k] for k in range(len(texts)) if any(k in pair for pair in close)}
+    got = {int(r.node): int(r.component) for r in simhash.near_copies(nodes).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_keep_one_keeps_unique_texts_without_a_key_of_their_own(spark):
     texts = [" ".join(f"{name}{k}" for k in range(30)) for name in "abcd"]
     rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (4, texts[3]), (4, texts[3])]
