@@ -238,37 +238,41 @@ def _rare_pairs(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """All pairs (a, b) of texts (node, component, text) in different components that can be similar enough.
 
     A prefix filter: of two sets with a Jaccard similarity of t or more, each has a shingle of the
-    other among its size - ceil(t * size) + 1 rarest ones. Shingles of one component alone, which
-    is most of what near copies share, give no pair; in the others only the members outside the
-    most frequent component meet all.
+    other among its size - ceil(t * size) + 1 rarest ones. Past the last of these that they share,
+    no more can be common than the shorter rest holds, which bounds the overlap of the pair.
+    Shingles of one component alone, which is most of what near copies share, give no pair; in the
+    others only the members outside the most frequent component meet all.
     """
 
     def shingled(batches):
         for batch in batches:
-            bodies = (t for some in text_slices([batch.column(2)]) for t in some.to_pylist())
-            for node, component, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies):
-                hashes = _shingle_set(body, words).view(np.int64)
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([node] * n, pa.string()), pa.array([component] * n, pa.string()), pa.array(np.full(n, n, np.int64)), pa.array(hashes)],
-                    names=["node", "component", "size", "shingle"],
-                )
-
-    every = materialize(texts.select("node", "component", "text").mapInArrow(shingled, "node string, component string, size long, shingle long"), "copies-shingles")
+            at = 0
+            for some in text_slices([batch.column(2)]):
+                sets = [_shingle_set(t, words).view(np.int64) for t in some.to_pylist()]
+                here = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "component", "shingles"])
+                at += len(some)
+
+    sets = materialize(texts.select("node", "component", "text").mapInArrow(shingled, "node string, component string, shingles array<long>"), "copies-shingles")
+    every = sets.select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     known = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Counted from the most frequent one, so that shingles of one text alone need no row.
+    # Places count from the most frequent shingle, so that shingles of one text alone need no row.
     from_common = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("shingle"))
     ranked = every.join(known, "shingle").withColumn("place", F.row_number().over(from_common))
-    rare = ranked.filter(F.col("place") >= F.ceil(F.col("size") * similarity - 1e-9)).select("shingle", "node", "component", "size")
+    rare = ranked.filter(F.col("place") >= F.ceil(F.col("size") * similarity - 1e-9)).select("shingle", "node", "component", "size", "place")
     rare = materialize(rare, "copies-rare")
     held = rare.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = held.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     shared = materialize(rare.join(mixed.select("shingle", F.col("main.component").alias("main")), "shingle"), "copies-mixed")
-    left = shared.filter("component <> main").select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"))
-    right = shared.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"))
+    left = shared.filter("component <> main").select("shingle", "main", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("place").alias("ra"))
+    right = shared.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("place").alias("rb"))
     sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    pairs = left.join(right, "shingle").filter((F.col("ca") != F.col("cb")) & sizes)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))  # outside the main component both orders meet
+    met = left.join(right, "shingle").filter((F.col("ca") != F.col("cb")) & sizes & once)
+    met = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.count(F.lit(1)).alias("common"), F.min(F.least("ra", "rb")).alias("rest"), F.max(F.col("na") + F.col("nb")).alias("sizes")
+    )
+    return met.filter(F.col("common") + F.col("rest") - 1 >= F.col("sizes") * (similarity / (1 + similarity)) - 1e-9).select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
