@@ -34,7 +34,9 @@ from marginalia.llm.pieces import Memory, parts_array, plainly_spaced, sums, tak
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words of one of two generations that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Bytes of texts encoded at a time, about; their pieces are held as objects.
+CODEC_SLICE = 1 << 20
 #: Words in one recursive query.
 WORDS_A_QUERY = 10_000
 #: Ids in one decoding query.
@@ -279,13 +281,13 @@ def codec(name: str = RANKS) -> Codec:
 
 def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS) -> DataFrame:
     """row (all columns), ids: the token ids of each whole text. Null and empty texts have no ids; every row stays."""
-    ids = sliced_udf(lambda texts: codec(ranks).encode(texts), T.ArrayType(T.IntegerType()))
+    ids = sliced_udf(lambda texts: codec(ranks).encode(texts), T.ArrayType(T.IntegerType()), CODEC_SLICE)
     return packed(docs, text=text).select("row", ids("text").alias("ids"))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", ranks: str = RANKS) -> DataFrame:
     """row (all columns), decoded: the bytes that the ids stand for; null for null ids. Unknown ids are an error."""
-    decoded = sliced_udf(lambda lists: codec(ranks).decode(lists), T.BinaryType())
+    decoded = sliced_udf(lambda lists: codec(ranks).decode(lists), T.BinaryType(), CODEC_SLICE)
     return packed(encoded, ids=ids).select("row", decoded("ids").alias("decoded"))
 
 
@@ -298,5 +300,5 @@ def encode_and_decode(docs: DataFrame, text: str = "text", ranks: str = RANKS) -
 
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     # Not to be evaluated again for each field that a query takes.
-    coded = packed(docs, text=text).select("row", sliced_udf(both, kind).asNondeterministic()("text").alias("coded"))
+    coded = packed(docs, text=text).select("row", sliced_udf(both, kind, CODEC_SLICE).asNondeterministic()("text").alias("coded"))
     return coded.select("row", "coded.ids", "coded.decoded")

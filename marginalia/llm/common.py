@@ -52,12 +52,14 @@ def text_slices(batches: Iterable[pa.Array], size: int = SLICE_BYTES) -> Iterato
             at = end
 
 
-def sliced_udf(function: Callable[[pa.Array], pa.Array], kind: T.DataType):
-    """An Arrow function of one column, called with slices of bounded bytes; no session setting is touched."""
+def sliced_udf(function: Callable[[pa.Array], pa.Array], kind: T.DataType, size: int = SLICE_BYTES):
+    """An Arrow function of one column, called with slices of about `size` bytes; no session setting is touched."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for some in text_slices(batches):
+        for some in text_slices(batches, size):
             yield function(some)
+            # Workers outlive a stage: what a slice took goes back to the system.
+            pa.default_memory_pool().release_unused()
 
     return F.arrow_udf(run, kind)
 
