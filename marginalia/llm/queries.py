@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import ann, bpe, exact_dedup, mixing, sharding, simhash, substring_dedup, token_output, toxicity, warc
+from marginalia.llm import alignment, ann, bpe, clustering, exact_dedup, extraction, mixing, sharding, simhash, substring_dedup, token_output, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,6 +128,62 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, groups=lambda written: F.sha2(written, 256))
+    return aligned.select(F.col("row.doc_id").cast("long").alias("doc_id"), *alignment.MEASURES, F.col("groups").alias("groups_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered, centroids = clustering.cluster(_read(spark, sf_dir, "embeddings"), carried=["vec_id"])
+    written = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return clustering.with_inertia(clustered, centroids).select(
+        "row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written, 256).alias("centroid_sha256")
+    )
+
+
+def _op12_sql(rounds: int = clustering.ROUNDS, k: int = clustering.CLUSTERS) -> str:
+    """The rounds one after another, each two common tables: the nearest centroid of each vector, the new centroids."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(greatest(least(floor(CAST(x AS DOUBLE) * 1024), 67108864), -67108864) AS BIGINT)) AS p
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), p) - 1 AS j, p
+  FROM v QUALIFY j < {k}
+)"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, min(d) AS d, arg_min(j, (d, j)) AS j FROM (
+    SELECT v.r, c.j, list_sum(list_transform(range(1, 65), lambda i: (v.p[i] - c.p[i]) * (v.p[i] - c.p[i]))) AS d FROM v, c{n} c
+  ) GROUP BY r
+)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""m{n} AS MATERIALIZED (
+  SELECT j, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (
+    SELECT a.j, t.i, CAST(sum(v.p[t.i]) AS HUGEINT) AS s, count(*) AS n FROM a{n} a JOIN v USING (r), range(1, 65) t(i) GROUP BY a.j, t.i
+  )
+), c{n + 1} AS MATERIALIZED (
+  SELECT c.j, coalesce(m.p, c.p) AS p FROM c{n} c LEFT JOIN (SELECT j, list(x ORDER BY i) AS p FROM m{n} GROUP BY j) m USING (j)
+)"""
+            )
+    return f"""WITH {', '.join(parts)}
+SELECT v.vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.p, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.j = a.j"""
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extraction.extract(_read(spark, sf_dir, "pages"))
+    return pages.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
@@ -139,5 +195,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_cross_alignment": op11_cross_alignment,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_html_extraction": op13_html_extraction,
 }
-SQL = {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL}
+SQL = {"op4_exact_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op12_centroid_clustering": _op12_sql()}
