@@ -233,8 +233,8 @@ def _added_up(texts: pa.Table, counts: pa.Table) -> pa.Table:
 def align(docs: DataFrame, text: str = "text", groups: Callable[[Column], Column] = lambda written: written, a: str = TOKENIZER_A, b: str = TOKENIZER_B, block_bytes: int = SLICE_BYTES) -> DataFrame:
     """All columns of each document in `row`, beside n_a, n_b, n_groups, n_links, n_best, count_sum and `groups`.
 
-    `groups` is the alignment as `a1,a2|b1;a3|b2,b3` (ids of A and B of each group), or what the
-    parameter makes of that column: it is applied before anything is written. Null and empty texts,
+    `groups` is the alignment as `a1,a2|b1;a3|b2,b3` (ids of A and B of each group), or the
+    text that the parameter makes of that column: it is applied before anything is written. Null and empty texts,
     and texts that one side's tokens do not give back byte for byte, have zeros and ''. Each row is a
     document, also where keys or texts repeat. An empty table gives an empty result.
     """

@@ -139,7 +139,7 @@ class Reader:
         while found := _TOKEN.search(page, at, last):
             self._text(page[at : found.start()])
             at = found.end()
-            if found[0].startswith("<!--") and not found[0].endswith(">"):
+            if found[0].startswith("<!--") and not found[0].endswith(("-->", "--!>")):
                 at = len(page)  # a comment that never ends
             closing, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
             if not tag:
