@@ -26,14 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from marginalia.llm.common import SLICE_BYTES, materialize, packed, text_slices
-from marginalia.llm.pieces import parts_array, plainly_spaced, sums, taken
+from marginalia.llm.common import materialize, packed, text_slices
+from marginalia.llm.pieces import Memory, parts_array, plainly_spaced, sums, taken
 from marginalia.llm.token_output import TextEncoder
 
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 #: Bits of the id of B in a pair.
 SHIFT = 32
+#: Bytes of the texts of a block, about: arrays of its links take some twenty times as much.
+BLOCK_BYTES = 2 << 20
+#: Parts of texts of one of two generations that a worker remembers.
+REMEMBERED = 100_000
 #: Slices of one partition at most, for the numbers of blocks.
 SLICES = 1 << 24
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -58,6 +62,7 @@ class SpacedEncoder(TextEncoder):
     def __init__(self, name: str = TOKENIZER_A):
         super().__init__(name)
         self.library.encode_special_tokens = True
+        self.parts = Memory(REMEMBERED)
         letters, vocabulary = byte_letters(), self.library.get_vocab()
         tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
@@ -230,7 +235,7 @@ def _added_up(texts: pa.Table, counts: pa.Table) -> pa.Table:
     return kept.append_column("n_best", pa.array(sums(best[code], size))).append_column("count_sum", pa.array(sums(count[code], size)))
 
 
-def align(docs: DataFrame, text: str = "text", groups: Callable[[Column], Column] = lambda written: written, a: str = TOKENIZER_A, b: str = TOKENIZER_B, block_bytes: int = SLICE_BYTES) -> DataFrame:
+def align(docs: DataFrame, text: str = "text", groups: Callable[[Column], Column] = lambda written: written, a: str = TOKENIZER_A, b: str = TOKENIZER_B, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of each document in `row`, beside n_a, n_b, n_groups, n_links, n_best, count_sum and `groups`.
 
     `groups` is the alignment as `a1,a2|b1;a3|b2,b3` (ids of A and B of each group), or the
