@@ -43,6 +43,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 20, 5
 #: Members of a band's group that all meet each other.
 SMALL_GROUP = 16
+#: Rarer shingles that a shingle of the prefix filter knows of; more of them spare repeated pairs, no number loses one.
+RARER = 48
 #: Shingles that all hash functions take at a time.
 MINIMA_BLOCK = 4_096
 
@@ -238,8 +240,8 @@ def _rare_pairs(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """All pairs (a, b) of texts (node, component, text) in different components that can be similar enough.
 
     A prefix filter: of two sets with a Jaccard similarity of t or more, each has a shingle of the
-    other among its size - ceil(t * size) + 1 rarest ones. Past the last of these that they share,
-    no more can be common than the shorter rest holds, which bounds the overlap of the pair.
+    other among its size - ceil(t * size) + 1 rarest ones. A pair counts where it shares its rarest
+    shingle: no more can be common than either has from there on, which bounds the overlap.
     Shingles of one component alone, which is most of what near copies share, give no pair; in the
     others only the members outside the most frequent component meet all.
     """
@@ -258,21 +260,24 @@ def _rare_pairs(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     known = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Places count from the most frequent shingle, so that shingles of one text alone need no row.
     from_common = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("shingle"))
-    ranked = every.join(known, "shingle").withColumn("place", F.row_number().over(from_common))
-    rare = ranked.filter(F.col("place") >= F.ceil(F.col("size") * similarity - 1e-9)).select("shingle", "node", "component", "size", "place")
+    ranked = every.join(known, "shingle").select(
+        "*", F.row_number().over(from_common).alias("place"), F.collect_list("shingle").over(from_common.rowsBetween(1, RARER)).alias("rarer")
+    )
+    rare = ranked.filter(F.col("place") >= F.ceil(F.col("size") * similarity - 1e-9)).select("shingle", "node", "component", "size", "place", "rarer")
     rare = materialize(rare, "copies-rare")
     held = rare.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = held.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     shared = materialize(rare.join(mixed.select("shingle", F.col("main.component").alias("main")), "shingle"), "copies-mixed")
-    left = shared.filter("component <> main").select("shingle", "main", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("place").alias("ra"))
-    right = shared.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("place").alias("rb"))
+    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("size").alias(f"n{x}"), F.col("place").alias(f"r{x}"), F.col("rarer").alias(f"rarer_{x}")]
+    left = shared.filter("component <> main").select("shingle", "main", *side("a"))
+    right = shared.select("shingle", *side("b"))
     sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))  # outside the main component both orders meet
-    met = left.join(right, "shingle").filter((F.col("ca") != F.col("cb")) & sizes & once)
-    met = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count(F.lit(1)).alias("common"), F.min(F.least("ra", "rb")).alias("rest"), F.max(F.col("na") + F.col("nb")).alias("sizes")
-    )
-    return met.filter(F.col("common") + F.col("rest") - 1 >= F.col("sizes") * (similarity / (1 + similarity)) - 1e-9).select("a", "b")
+    # A pair that shares a rarer one has met there; at its rarest, what is shared lies at this place or below.
+    rarest = ~F.arrays_overlap("rarer_a", "rarer_b")
+    enough = F.least("ra", "rb") >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9
+    met = left.join(right, "shingle").filter((F.col("ca") != F.col("cb")) & sizes & once & enough & rarest)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
