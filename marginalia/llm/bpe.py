@@ -35,8 +35,8 @@ from marginalia.llm.pieces import Memory, parts_array, plainly_spaced, sums, tak
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words of one of two generations that a worker remembers.
 REMEMBERED = 150_000
-#: Bytes of texts encoded at a time, about; their pieces are held as objects.
-CODEC_SLICE = 1 << 20
+#: Bytes of texts encoded at a time, about; their pieces are held as objects. More of both spare work and cost memory.
+CODEC_SLICE = 2 << 20
 #: Words in one recursive query.
 WORDS_A_QUERY = 10_000
 #: Ids in one decoding query.
@@ -123,11 +123,11 @@ def read_ranks(name: str) -> dict[bytes, int]:
 class Codec:
     """Vocabulary, merge table and remembered words of one worker."""
 
-    def __init__(self, name: str = RANKS):
+    def __init__(self, name: str = RANKS, remembered: int = REMEMBERED):
         self.ranks = read_ranks(name)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         # Ids as 32-bit integers in bytes.
-        self.words = Memory(REMEMBERED)
+        self.words = Memory(remembered)
         # Bytes of each token, and whether it starts with a blank.
         self.lengths = np.zeros(len(self.ranks), dtype=np.int64)
         self.lengths[list(self.ranks.values())] = [len(token) for token in self.ranks]
@@ -269,14 +269,14 @@ class Codec:
         return pa.Array.from_buffers(pa.binary(), len(runs), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(b"".join(out))])
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
-def codec(name: str = RANKS) -> Codec:
+def codec(name: str = RANKS, remembered: int = REMEMBERED) -> Codec:
     """The worker's codec, made once a process."""
-    if name not in _CODECS:
-        _CODECS[name] = Codec(name)
-    return _CODECS[name]
+    if (name, remembered) not in _CODECS:
+        _CODECS[name, remembered] = Codec(name, remembered)
+    return _CODECS[name, remembered]
 
 
 def encode(docs: DataFrame, text: str = "text", ranks: str = RANKS) -> DataFrame:
@@ -291,14 +291,15 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: str = RANKS) -> DataFram
     return packed(encoded, ids=ids).select("row", decoded("ids").alias("decoded"))
 
 
-def encode_and_decode(docs: DataFrame, text: str = "text", ranks: str = RANKS) -> DataFrame:
+def encode_and_decode(docs: DataFrame, text: str = "text", ranks: str = RANKS, slice_bytes: int = CODEC_SLICE, remembered: int = REMEMBERED) -> DataFrame:
     """row (all columns), ids, decoded: `encode` and `decode` in one visit of one worker."""
 
     def both(texts: pa.Array) -> pa.Array:
-        lists = codec(ranks).encode(texts)
-        return pa.StructArray.from_arrays([lists, codec(ranks).decode(lists)], names=["ids", "decoded"])
+        mine = codec(ranks, remembered)
+        lists = mine.encode(texts)
+        return pa.StructArray.from_arrays([lists, mine.decode(lists)], names=["ids", "decoded"])
 
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     # Not to be evaluated again for each field that a query takes.
-    coded = packed(docs, text=text).select("row", sliced_udf(both, kind, CODEC_SLICE).asNondeterministic()("text").alias("coded"))
+    coded = packed(docs, text=text).select("row", sliced_udf(both, kind, slice_bytes).asNondeterministic()("text").alias("coded"))
     return coded.select("row", "coded.ids", "coded.decoded")

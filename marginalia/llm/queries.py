@@ -60,7 +60,7 @@ FROM h WINDOW g AS (PARTITION BY text_sha256)
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_and_decode(docs)
+    coded = bpe.encode_and_decode(docs, slice_bytes=4 << 20, remembered=300_000)
     return coded.select(
         "row.doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
