@@ -15,6 +15,9 @@ ASPECTS = {
     "phase": ("phase", "相位"),
     "spectrum": ("spectrum", "spectral", "频谱"),
     "direction": ("direction", "radial", "axial", "方向", "径向", "轴向"),
+    "workflow": ("workflow", "procedure", "流程", "步骤"),
+    "scope": ("scope", "covered", "适用", "范围"),
+    "formula": ("formula", "equation", "calculate", "公式", "计算"),
 }
 ABSOLUTE = r"(?i)\b(?:always|never|guaranteed?|proves?|certainly)\b|必然|一定会|证明了"
 SECTIONS = ("conclusion", "evidence", "limits", "next steps")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import squeeze
+from marginalia.functions.text import first_standard, squeeze
 
 # Alias families of the domain, markers and scope terms.
 FAMILIES: dict[str, tuple[str, ...]] = {
@@ -56,7 +58,16 @@ STRONG = (
     "damping ratio", "zeta", "resonance", "frequency response", "fft", "order tracking", "balancing", "unbalance", "misalignment",
     "condition monitoring", "iso 10816", "iso 20816", "api 684",
 )
-STRONG_HAN = ("振动", "转子", "旋转机械", "轴承", "临界转速", "临界速度", "阻尼", "模态", "固有频率", "共振", "频响", "频谱", "包络", "阶次", "阶比", "轴心轨迹", "动平衡", "不平衡", "不对中", "轴系", "状态监测", "故障诊断", "扭振")
+STRONG_HAN = (
+    "振动", "振动学", "转子", "转子动力学", "旋转机械", "轴承", "临界转速", "阻尼", "阻尼比", "模态", "固有频率", "共振", "频响", "频谱", "包络", "阶次", "轴心轨迹",
+    "动平衡", "不平衡", "不对中", "轴系", "状态监测", "故障诊断",
+)
+WEAK_HAN, WEAK_HAN_CONTEXT = ("标准",), ("振动", "转子", "旋转机械", "轴承", "频谱", "状态监测", "故障诊断", "临界转速")
+#: Standards of the corpus; a question that names one first is in scope.
+CORPUS_STANDARDS = (
+    "DL/T 5565", "GB/T 11348", "GB/T 13436", "GB/T 19873", "GB/T 20471", "GB/T 20921", "GB/T 22393", "GB/T 22394", "GB/T 23713", "GB/T 23718",
+    "GB/T 25889", "GB/T 29531", "GB/T 29716", "GB/T 33199", "GB/T 6075", "ISO 10816",
+)
 WEAK = ("bearing", "modal", "orbit", "shaft", "spectrum", "spectral")
 WEAK_CONTEXT = ("analysis", "diagnosis", "diagnostic", "dynamics", "fault", "frequency", "machine", "machinery", "response", "signal", "turbine", "vibration")
 # Slots that an answer of an intent has to fill, each by one of its markers.
@@ -166,12 +177,12 @@ def focus(question: Column, families: dict[str, tuple[str, ...]] = FAMILIES) ->
     return F.when(best["size"] > 0, best["name"])
 
 
-def in_scope(question: Column, override: Column | None = None) -> Column:
-    """Domain gate: an explicit decision, else phrases that rule out, strong terms, weak terms with context."""
-    han = F.lit(False)
-    for term in STRONG_HAN:
-        han = han | F.contains(question, F.lit(term))
-    gate = ~has_any(question, OUT_OF_SCOPE) & (has_word(question, STRONG) | han | (has_word(question, WEAK) & has_word(question, WEAK_CONTEXT)))
+def in_scope(question: Column, override: Column | None = None, standards: tuple[str, ...] = CORPUS_STANDARDS) -> Column:
+    """Domain gate: an explicit decision, else phrases that rule out, a standard of the corpus, strong terms, weak terms with context."""
+    has_han = lambda terms: reduce(or_, [F.contains(question, F.lit(t)) for t in terms])
+    listed = F.coalesce(first_standard(question).isin(*standards), F.lit(False))
+    weak = (has_word(question, WEAK) & has_word(question, WEAK_CONTEXT)) | (has_han(WEAK_HAN) & has_han(WEAK_HAN_CONTEXT))
+    gate = ~has_any(question, OUT_OF_SCOPE) & (listed | has_word(question, STRONG) | has_han(STRONG_HAN) | weak)
     return gate if override is None else F.coalesce(override, gate)
 
 

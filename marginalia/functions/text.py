@@ -158,18 +158,26 @@ def truncated(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit - 1), F.lit("…")))
 
 
+def _standard_name(match: Column) -> Column:
+    """Organisation and number of a match."""
+    body = F.regexp_replace(F.lower(match), r"[\s/∕_-]", "")
+    organisation = F.regexp_extract(body, r"^(gbt|dlt|iso|api)", 1)
+    named = F.lit(None).cast("string")
+    for short, long in ORGANISATIONS.items():
+        named = F.when(organisation == short, F.lit(long)).otherwise(named)
+    return F.concat_ws(" ", named, F.regexp_extract(body, r"^[a-z]+(\d{3,6})", 1))
+
+
 def standard_ids(text: Column) -> Column:
     """Distinct sorted names of standards (organisation and number)."""
-    def key(match: Column) -> Column:
-        body = F.regexp_replace(F.lower(match), r"[\s/∕_-]", "")
-        organisation = F.regexp_extract(body, r"^(gbt|dlt|iso|api)", 1)
-        named = F.lit(None).cast("string")
-        for short, long in ORGANISATIONS.items():
-            named = F.when(organisation == short, F.lit(long)).otherwise(named)
-        return F.concat_ws(" ", named, F.regexp_extract(body, r"^[a-z]+(\d{3,6})", 1))
-
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(STANDARD), 0)
-    return F.array_sort(F.array_distinct(F.transform(found, key)))
+    return F.array_sort(F.array_distinct(F.transform(found, _standard_name)))
+
+
+def first_standard(text: Column) -> Column:
+    """The standard that a text names first; null where it names none."""
+    found = F.nullif(F.regexp_extract(text, STANDARD, 0), F.lit(""))
+    return F.when(found.isNotNull(), _standard_name(found))
 
 
 def page_runs(pages: Column) -> Column:

@@ -121,10 +121,14 @@ def chunks(docs: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_
     return named.withColumn("token_estimate", text.estimated_tokens(F.col("text")))
 
 
-def citation_anchor(title: Column, start: Column, end: Column, author: Column | None = None, year: Column | None = None) -> Column:
-    """Author and year, else the title, and the pages."""
+def citation_anchor(title: Column, start: Column, end: Column, authors: Column | None = None, year: Column | None = None) -> Column:
+    """First of the authors (an array), et al. where there are more, and the year, else the title; then the pages."""
     pages = F.when(start == end, F.concat(F.lit("p. "), start.cast("string"))).otherwise(F.concat(F.lit("pp. "), start.cast("string"), F.lit("-"), end.cast("string")))
-    lead = title if author is None or year is None else F.coalesce(F.concat(author, F.lit(" ("), year.cast("string"), F.lit(")")), title)
+    if authors is not None and year is not None:
+        first = F.concat(F.get(authors, F.lit(0)), F.when(F.size(authors) > 1, " et al.").otherwise(""))
+        lead = F.coalesce(F.concat(first, F.lit(" ("), year.cast("string"), F.lit(")")), title)
+    else:
+        lead = title
     return F.concat_ws(", ", lead, pages)
 
 

@@ -26,11 +26,11 @@ GROUPS = {
     "critical_speed": ("critical speed", "critical", "speed"),
 }
 AXIOMATIC, EVIDENCE = "axiomatic", "evidence"
-SCOPE_CLAIM = ("适用", "本文件规定", "本标准规定", "本部分规定", "applies to", "applicable to", "scope of", "this document specifies")
+SCOPE_CLAIM = ("适用", "本文件规定", "本标准规定", "本部分规定", "applies to", "applicable to", "scope of", "this document specifies", "this standard specifies")
 SCOPE_NOT = ("引用文件", "适用于本文件")
 CRITICAL_SPEED = ("临界转速", "临界速度", "critical speed", "resonant speed", "共振转速")
 OUTCOME_QUESTION = ("发生什么", "会怎样", "如何变化", "影响", "what happens", "affect", "effect")
-OUTCOME_CLAIM = ("响应", "振幅", "幅值", "放大", "增大", "amplified", "amplification", "response")
+OUTCOME_CLAIM = ("响应", "振幅", "幅值", "放大", "增大", "amplified", "amplification", "response", "amplitude")
 DEFINITION = ("定义", "definition")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Order in which miss categories decide, sweep steps.
-MISS_PRIORITY = ("corpus-quality", "retrieval", "terminology", "ranking", "cross-doc", "synthesis", "pass")
+MISS_PRIORITY = ("corpus-quality", "terminology", "retrieval", "ranking", "cross-doc", "synthesis", "pass")
 THRESHOLDS = [round(k * 0.05, 2) for k in range(21)]
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import count_of, squeeze
+from marginalia.functions.text import count_of, squeeze, strip
 
 # Patterns and thresholds of the layout rules.
 FIGURE = r"(?i)^\s*(图|圖|Fig\.?|Figure)\s*(?:[\dIVXivx一二三四五六七八九十]+|\([a-zA-Z]\))?\s*[\-\.．、:：]?"
@@ -22,6 +22,8 @@ MATH_WORD = r"\b(?:sin|cos|tan|sqrt|log|exp)\b|[ωΩζπ]"
 REFERENCE = r"(?i)^\s*\d+\.\s+.+(?:\bet\s+al\b|\b19\d{2}\b|\b20\d{2}\b|,)"
 TERMINAL = "[.!?。！？；;][\"'”’）】》]*$"
 CELL, DILATION, MIN_BOXES, MIN_SIDE, MIN_AREA = 4.0, 1, 20, 40.0, 0.01
+TINY, BODY_MARGIN, MOST_CLUSTERS = 4.0, 24.0, 16
+SCANNED_LETTERS, SCANNED_BLOCK, SCANNED_REGION, SCANNED_COVERAGE = 15, 8, 0.5, 0.65
 
 
 def block_kind(body: Column, block_index: Column, top_ratio: Column | None = None) -> Column:
@@ -75,49 +77,124 @@ def edge_signature(box: Column, width: Column, height: Column, origin: Column) -
     return F.when(band.isNotNull(), F.concat_ws(":", band, origin, place, aspect))
 
 
-def _cluster_page(boxes: list[list[float]], width: float, height: float) -> list[dict]:
-    """Connected groups of dilated grid cells that the boxes cover, best score first."""
-    owners: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, (x0, y0, x1, y1) in enumerate(boxes):
-        for x in range(math.floor(x0 / CELL), math.floor((x1 - 1e-9) / CELL) + 1):
-            for y in range(math.floor(y0 / CELL), math.floor((y1 - 1e-9) / CELL) + 1):
-                owners[x, y].add(k)
-    grown = {(x + a, y + b) for x, y in owners for a in range(-DILATION, DILATION + 1) for b in range(-DILATION, DILATION + 1)}
-    out = []
-    while grown:
-        edge, part = [grown.pop()], []
-        while edge:
-            x, y = edge.pop()
-            part.append((x, y))
-            near = {(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & grown
-            grown -= near
-            edge += near
-        own = [c for c in part if c in owners]
-        mine = {k for c in own for k in owners[c]}
-        if len(mine) < MIN_BOXES:
+def body_region(width: Column, height: Column, blocks: Column) -> Column:
+    """The rectangle that a page's text blocks (array of box, text) fill, with a margin, inside the page's safe area; that area where there is too little text."""
+    safe = [width * 0.05, height * 0.08, width * 0.95, height * 0.92]
+    inner = F.filter(blocks, lambda b: (strip(b["text"]) != "") & (b["box"][3] > height * 0.08) & (b["box"][1] < height * 0.92))
+    letters = F.aggregate(inner, F.lit(0), lambda n, b: n + F.length(strip(b["text"])))
+    enough = F.coalesce((F.size(inner) >= 3) & (letters >= 100), F.lit(False))
+    edge = lambda k, of: of(F.transform(inner, lambda b: b["box"][k]))
+    found = [F.greatest(safe[k], edge(k, F.array_min) - BODY_MARGIN) for k in (0, 1)] + [F.least(safe[k], edge(k, F.array_max) + BODY_MARGIN) for k in (2, 3)]
+    return F.array(*[F.when(enough, x).otherwise(y).cast("double") for x, y in zip(found, safe)])
+
+
+def _cell_ranges(boxes: np.ndarray) -> np.ndarray:
+    """First and last cell in both directions of each box."""
+    return np.concatenate([np.floor(boxes[:, :2] / CELL), np.floor((boxes[:, 2:] - 1e-9) / CELL)], axis=1).astype(np.int64)
+
+
+def _covered(cells: np.ndarray) -> int:
+    """Number of cells that ranges of cells cover together: the area of a union of rectangles on compressed coordinates."""
+    if not len(cells):
+        return 0
+    xs, ys = np.unique([cells[:, 0], cells[:, 2] + 1]), np.unique([cells[:, 1], cells[:, 3] + 1])
+    depth = np.zeros((len(xs), len(ys)), dtype=np.int64)
+    x0, x1, y0, y1 = (np.searchsorted(axis, edge) for axis, edge in ((xs, cells[:, 0]), (xs, cells[:, 2] + 1), (ys, cells[:, 1]), (ys, cells[:, 3] + 1)))
+    for x, y, sign in ((x0, y0, 1), (x1, y1, 1), (x0, y1, -1), (x1, y0, -1)):
+        np.add.at(depth, (x, y), sign)
+    inside = depth.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] > 0
+    return int((inside * np.diff(xs)[:, None] * np.diff(ys)[None, :]).sum())
+
+
+def _groups(cells: np.ndarray) -> np.ndarray:
+    """The group of each box: boxes whose cells, each grown by DILATION, touch belong together. Swept from left to right."""
+    reach, root = 2 * DILATION + 1, np.arange(len(cells))
+
+    def head(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = int(root[k])
+        return k
+
+    active = np.zeros(0, dtype=np.int64)
+    for k in np.argsort(cells[:, 0], kind="stable").tolist():
+        active = active[cells[active, 2] + reach >= cells[k, 0]]
+        near = active[(cells[active, 1] - reach <= cells[k, 3]) & (cells[k, 1] - reach <= cells[active, 3])]
+        for j in near.tolist():
+            root[head(j)] = head(k)
+        active = np.append(active, k)
+    return np.array([head(k) for k in range(len(cells))], dtype=np.int64)
+
+
+def page_clusters(boxes: list[list[float]], width: float, height: float, body: list[float]) -> list[dict]:
+    """Groups of tiny boxes that may be one drawing, best first: many boxes, of some size, that overlap the body of the page."""
+    if not boxes:
+        return []
+    every, page_area, out = np.array(boxes, dtype=np.float64), max(width * height, 1.0), []
+    cells = _cell_ranges(every)
+    group = _groups(cells)
+    for name, n in zip(*np.unique(group, return_counts=True)):
+        if n < MIN_BOXES:
             continue
-        sides = [min(boxes[k][0] for k in mine), min(boxes[k][1] for k in mine), max(boxes[k][2] for k in mine), max(boxes[k][3] for k in mine)]
-        w, h = sides[2] - sides[0], sides[3] - sides[1]
-        share = w * h / max(width * height, 1.0)
-        if w < MIN_SIDE or h < MIN_SIDE or share < MIN_AREA:
+        mine = every[group == name]
+        box = np.concatenate([mine[:, :2].min(axis=0), mine[:, 2:].max(axis=0)])
+        sides = box[2:] - box[:2]
+        area = float(sides.prod())
+        common = np.minimum(box[2:], body[2:]) - np.maximum(box[:2], body[:2])
+        overlap = float(np.maximum(common, 0).prod()) / max(area, 1.0)
+        if sides.min() < MIN_SIDE or area / page_area < MIN_AREA or overlap <= 0:
             continue
-        density = len(own) / max(1, math.ceil(w / CELL) * math.ceil(h / CELL))
-        score = share * min(1.0, max(0.1, density)) * math.log2(len(mine) + 1)
-        out.append({"bbox": sides, "n_boxes": len(mine), "n_cells": len(own), "density": density, "area_ratio": share, "score": score})
+        covered = _covered(cells[group == name])
+        density = covered / max(1, int(np.prod(np.ceil(sides / CELL))))
+        held = [min(1.0, max(0.1, x)) for x in (density, overlap)]
+        score = area / page_area * held[0] * math.log2(n + 1) * held[1]
+        out.append({"bbox": box.tolist(), "n_boxes": int(n), "n_cells": covered, "density": density, "area_ratio": area / page_area, "body_overlap": overlap, "score": score})
     return sorted(out, key=lambda c: (-c["score"], c["bbox"]))
 
 
-def clusters(pages: DataFrame, width: float, height: float) -> DataFrame:
-    """(page_id, boxes) to cluster rows. A page's grid is bounded by its size, so pages are independent."""
+_CLUSTER = "struct<bbox:array<double>,n_boxes:int,n_cells:int,density:double,area_ratio:double,body_overlap:double,score:double>"
+_CLUSTER_ARROW = pa.struct([("bbox", pa.list_(pa.float64())), ("n_boxes", pa.int32()), ("n_cells", pa.int32()), *[(k, pa.float64()) for k in ("density", "area_ratio", "body_overlap", "score")]])
 
-    def run(batches):
-        for batch in batches:
-            rows = [{"page_id": p, "cluster_ix": k, **c} for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, c in enumerate(_cluster_page(b, width, height))]
-            fields = [("page_id", pa.int64()), ("cluster_ix", pa.int32()), ("bbox", pa.list_(pa.float64())), ("n_boxes", pa.int32()), ("n_cells", pa.int32()), ("density", pa.float64()), ("area_ratio", pa.float64()), ("score", pa.float64())]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
-    schema = "page_id long, cluster_ix int, bbox array<double>, n_boxes int, n_cells int, density double, area_ratio double, score double"
-    return pages.select("page_id", "boxes").mapInArrow(run, schema)
+def page_visuals(pages: DataFrame) -> DataFrame:
+    """The pages (page_id, width, height, blocks: array of box and text, images: array of boxes) with their visual profile.
+
+    Boxes that are not four finite numbers with a positive extent do not count. Images under
+    TINY in one direction are pieces of drawings: `clusters` holds the best groups of them,
+    `overflow` how many more there are. The share of the body that images cover is taken on cells.
+    """
+    sound = F.filter("images", lambda b: F.coalesce((F.size(b) == 4) & F.forall(b, lambda x: F.abs(x) < float("inf")) & (b[2] > b[0]) & (b[3] > b[1]), F.lit(False)))
+    small = lambda b: (b[2] - b[0] < TINY) | (b[3] - b[1] < TINY)
+    known = pages.withColumn("images", F.coalesce(sound, F.array().cast("array<array<double>>"))).withColumn("blocks", F.coalesce("blocks", F.array().cast("array<struct<box:array<double>,text:string>>")))
+    split = known.withColumn("tiny", F.filter("images", small)).withColumn("valid", F.filter("images", lambda b: ~small(b)))
+
+    @F.arrow_udf(f"struct<found:array<{_CLUSTER}>,covered:long>")
+    def drawn(tiny: pa.Array, images: pa.Array, width: pa.Array, height: pa.Array, body: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (tiny, images, width, height, body)))
+        found = [{"found": page_clusters(t, w, h, b), "covered": _covered(_cell_ranges(np.array(i, dtype=np.float64))) if i else 0} for t, i, w, h, b in rows]
+        return pa.array(found, pa.struct([("found", pa.list_(_CLUSTER_ARROW)), ("covered", pa.int64())]))
+
+    body = split.withColumn("body", body_region(F.col("width"), F.col("height"), F.col("blocks")))
+    seen = body.withColumn("_d", drawn(*[F.col(c).cast(k) for c, k in (("tiny", "array<array<double>>"), ("images", "array<array<double>>"), ("width", "double"), ("height", "double"), ("body", "array<double>"))]))
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    page_area = F.greatest(F.col("width") * F.col("height"), F.lit(1.0))
+    lengths = F.transform("blocks", lambda b: F.length(F.regexp_replace(F.coalesce(b["text"], F.lit("")), r"[\p{C}\p{Z}\s]", "")))
+    coverage = F.least(F.lit(1.0), F.col("_d.covered") * CELL * CELL / F.greatest(area(F.col("body")), F.lit(1.0)))
+    largest = F.coalesce(F.greatest(F.array_max(F.transform("valid", area)) / page_area, F.array_max(F.transform("_d.found", lambda c: c["area_ratio"]))), F.lit(0.0))
+    few = (F.aggregate(lengths, F.lit(0), lambda a, n: a + n) < SCANNED_LETTERS) & (F.coalesce(F.array_max(lengths), F.lit(0)) <= SCANNED_BLOCK)
+    return seen.select(
+        "page_id",
+        F.aggregate("blocks", F.lit(0), lambda n, b: n + F.length(strip(F.coalesce(b["text"], F.lit(""))))).alias("native_text_chars"),
+        F.size("images").alias("n_images"),
+        F.size("tiny").alias("n_tiny"),
+        F.size("valid").alias("n_valid"),
+        F.coalesce(F.try_divide(F.size("tiny"), F.size("images")), F.lit(0.0)).alias("tiny_ratio"),
+        coverage.alias("coverage"),
+        F.col("body").alias("body_region"),
+        F.slice("_d.found", 1, MOST_CLUSTERS).alias("clusters"),
+        F.greatest(F.size("_d.found") - MOST_CLUSTERS, F.lit(0)).alias("overflow"),
+        (few & ((largest >= SCANNED_REGION) | (coverage >= SCANNED_COVERAGE))).alias("suspected_scanned"),
+    )
 
 
 def largest_assets(assets: DataFrame, page: str, k: int = 4) -> DataFrame:

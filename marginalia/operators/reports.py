@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.evaluation import MISS_PRIORITY
 
 # Where the gate of a retrieval report stands.
 LEAST_RECALL, MOST_MISSING = 0.8, 1
@@ -69,12 +68,10 @@ def scorecard(cases: DataFrame, means: list[str], flags: list[str], status: str,
         F.sha2(F.array_join(in_order, "\n"), 256).alias("fingerprint"),
     )
     listed = lambda df, key, out: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.concat_ws("=", key, F.col("n").cast("string")))).alias(out))
-    signals = cases.select(F.explode(misses).alias("miss"))
-    order = {name: k for k, name in enumerate(MISS_PRIORITY)}
-    place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("miss")), F.lit(len(order)))
-    failed = signals.filter("miss <> 'pass'").groupBy("miss").agg(F.count(F.lit(1)).alias("n"))
-    # The most frequent one; of equal ones that which decides first.
-    leading = failed.agg(F.max_by(F.struct("miss", "n"), F.struct("n", -place)).alias("lead")).select(F.coalesce("lead.miss", F.lit("none")).alias("leading_miss"), F.coalesce("lead.n", F.lit(0)).alias("leading_count"))
+    signals = cases.select("case_id", F.posexplode(misses).alias("at", "miss"))
+    failed = signals.filter("miss <> 'pass'").groupBy("miss").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("case_id", "at")).alias("seen"))
+    # The most frequent one; of equal ones that which is seen first.
+    leading = failed.agg(F.min_by(F.struct("miss", "n"), F.struct(-F.col("n"), F.col("seen"))).alias("lead")).select(F.coalesce("lead.miss", F.lit("none")).alias("leading_miss"), F.coalesce("lead.n", F.lit(0)).alias("leading_count"))
     parts = [listed(cases, status, "statuses"), listed(signals, "miss", "miss_counts"), leading]
     for part in parts:
         one = one.crossJoin(F.broadcast(part))  # one row each

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import question, text
+from marginalia.session import attach
 from marginalia.operators import claims, evidence, retrieval
 
 
@@ -93,7 +94,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     if not args.question.strip():
         return 2
-    spark = SparkSession.builder.getOrCreate()
+    spark = attach(SparkSession.builder.getOrCreate())
     asked = spark.range(1).select(F.col("id").alias("query_id"), F.lit(args.question).alias("query"))
     row = answers(asked, spark.read.parquet(args.chunks), gate=args.scope_gate).first()
     print(row.answer or row.status)

@@ -88,8 +88,14 @@ def _word(column: str, terms) -> str:
     return f"regexp_matches({column}, '(?i)(?:^|[^A-Za-z0-9])(?:{body})(?:$|[^A-Za-z0-9])')"
 
 
-SQL_HAN = "(" + " OR ".join(f"contains(text, '{t}')" for t in question.STRONG_HAN) + ")"
-SQL_IN_SCOPE = f"NOT {_any('text', question.OUT_OF_SCOPE)} AND ({_word('text', question.STRONG)} OR {SQL_HAN} OR ({_word('text', question.WEAK)} AND {_word('text', question.WEAK_CONTEXT)}))"
+def _han(terms) -> str:
+    return "(" + " OR ".join(f"contains(text, '{t}')" for t in terms) + ")"
+
+
+SQL_STANDARD = "regexp_replace(lower(regexp_extract(text, '(?i)(?:gb\\s*[/∕]?\\s*t|gbt|dl\\s*[/∕]?\\s*t|dlt|iso|api)[\\s_-]*\\d{3,6}')), '[\\s/∕_-]', '', 'g')"
+SQL_LISTED = f"{SQL_STANDARD} IN ({', '.join(repr(s.lower().replace('/', '').replace(' ', '')) for s in question.CORPUS_STANDARDS)})"
+SQL_WEAK = f"({_word('text', question.WEAK)} AND {_word('text', question.WEAK_CONTEXT)}) OR ({_han(question.WEAK_HAN)} AND {_han(question.WEAK_HAN_CONTEXT)})"
+SQL_IN_SCOPE = f"NOT {_any('text', question.OUT_OF_SCOPE)} AND ({SQL_LISTED} OR {_word('text', question.STRONG)} OR {_han(question.STRONG_HAN)} OR {SQL_WEAK})"
 BY_LENGTH = sorted(((-len(a), k, a.lower(), name) for k, (name, aliases) in enumerate(question.FAMILIES.items()) for a in aliases))
 SQL_FOCUS = "CASE " + " ".join(f"WHEN contains(squeezed, '{alias}') THEN '{name}'" for _, _, alias, name in BY_LENGTH) + " END"
 SQL_LANE_FLAGS = ", ".join(f"CASE WHEN {_any('text', terms)} THEN '{name}' END" for name, terms in question.LANES)

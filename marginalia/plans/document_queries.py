@@ -234,15 +234,43 @@ def repeated_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.repeated_signatures(lines.select("host", "page_id", F.trim("line").alias("signature")), "host", "page_id")
 
 
+def _drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as layouts: each tag a small box, each run of text a block, both placed by their number."""
+    pages = table(spark, sf_dir, "pages")
+    width = 595.0
+    box = lambda k, n: F.array(60 + (k * 13 % 31) * 4.0, 90 + (k * 29 % 23) * 5.0, 63.0 + (k * 13 % 31) * 4.0 + n % 9, 93.0 + (k * 29 % 23) * 5.0 + F.when(n % 8 == 0, 2.0).otherwise(0.0))
+    images = F.transform(F.split("html", "<"), lambda tag, k: box(k, F.length(tag)))
+    runs = F.filter(F.split(F.regexp_replace("html", "(?s)<[^>]*>", "\n"), "\n"), lambda x: F.trim(x) != "")
+    blocks = F.transform(runs, lambda x, k: F.struct(F.array(F.lit(70.0), 50.0 + k * 14.0, 80.0 + F.length(x) % 400, 62.0 + k * 14.0).alias("box"), x.alias("text")))
+    return pages.select("page_id", F.lit(width).alias("width"), F.lit(842.0).alias("height"), images.alias("images"), blocks.alias("blocks"))
+
+
 @query()
 def visual_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of tiny boxes a page: here one box of each tag at a place given by its offset."""
-    pages = table(spark, sf_dir, "pages")
-    tags = pages.select("page_id", F.posexplode(F.split("html", "<")).alias("k", "tag"))
-    x, y = 60 + (F.col("k") * 13 % 31) * 4.0, 90 + (F.col("k") * 29 % 23) * 5.0
-    boxes = tags.select("page_id", F.array(x, y, x + 3.0 + F.length("tag") % 9, y + 5.0).alias("box"))
-    gathered = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
-    return layout.clusters(gathered, width=595.0, height=842.0)
+    """Clusters of tiny boxes on the bodies of pages."""
+    found = layout.page_visuals(_drawn_pages(spark, sf_dir))
+    return found.select("page_id", F.posexplode("clusters").alias("cluster_ix", "c")).select("page_id", "cluster_ix", "c.*")
+
+
+@query(r"""
+WITH r AS (SELECT page_id, unnest(list_filter(string_split(regexp_replace(html, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x) <> '')) AS x, generate_subscripts(list_filter(string_split(regexp_replace(html, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x) <> ''), 1) - 1 AS k FROM pages),
+b AS (SELECT page_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x, 70.0 AS x0, 50.0 + k * 14.0 AS y0, 80.0 + length(x) % 400 AS x1, 62.0 + k * 14.0 AS y1 FROM r),
+i AS (SELECT page_id, sum(length(x)) AS letters, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b WHERE x <> '' AND y1 > 842.0 * 0.08 AND y0 < 842.0 * 0.92 GROUP BY page_id),
+c AS (SELECT page_id, sum(length(x)) AS chars FROM b GROUP BY page_id),
+g AS (SELECT page_id, letters >= 100 AND n >= 3 AS ok, greatest(595.0 * 0.05, x0 - 24) AS x0, greatest(842.0 * 0.08, y0 - 24) AS y0, least(595.0 * 0.95, x1 + 24) AS x1, least(842.0 * 0.92, y1 + 24) AS y1 FROM i),
+e AS (SELECT page_id, CASE WHEN ok THEN x0 ELSE 595.0 * 0.05 END AS x0, CASE WHEN ok THEN y0 ELSE 842.0 * 0.08 END AS y0, CASE WHEN ok THEN x1 ELSE 595.0 * 0.95 END AS x1, CASE WHEN ok THEN y1 ELSE 842.0 * 0.92 END AS y1 FROM pages LEFT JOIN g USING (page_id)),
+t AS (SELECT page_id, unnest(string_split(html, '<')) AS tag, generate_subscripts(string_split(html, '<'), 1) - 1 AS k FROM pages),
+m AS (SELECT page_id, 60 + (k * 13 % 31) * 4.0 AS x0, 90 + (k * 29 % 23) * 5.0 AS y0, 63.0 + (k * 13 % 31) * 4.0 + length(tag) % 9 AS x1, 93.0 + (k * 29 % 23) * 5.0 + CASE WHEN length(tag) % 8 = 0 THEN 2 ELSE 0 END AS y1 FROM t),
+o AS (SELECT DISTINCT page_id, cx, unnest(range(CAST(floor(y0 / 4) AS BIGINT), CAST(floor((y1 - 1e-9) / 4) AS BIGINT) + 1)) AS cy FROM (SELECT *, unnest(range(CAST(floor(x0 / 4) AS BIGINT), CAST(floor((x1 - 1e-9) / 4) AS BIGINT) + 1)) AS cx FROM m)),
+v AS (SELECT page_id, count(*) AS covered FROM o GROUP BY page_id), n AS (SELECT page_id, count(*) AS n_images, count(*) FILTER (x1 - x0 < 4 OR y1 - y0 < 4) AS n_tiny FROM m GROUP BY page_id)
+SELECT page_id, CAST(coalesce(chars, 0) AS INTEGER) AS native_text_chars, CAST(n_images AS INTEGER) AS n_images, CAST(n_tiny AS INTEGER) AS n_tiny, round(CAST(n_tiny AS DOUBLE) / n_images, 6) AS tiny_ratio, round(least(1.0, covered * 16.0 / greatest((x1 - x0) * (y1 - y0), 1.0)), 6) AS coverage,
+  CAST(round(x0, 6) AS DOUBLE) AS body_x0, CAST(round(y0, 6) AS DOUBLE) AS body_y0, CAST(round(x1, 6) AS DOUBLE) AS body_x1, CAST(round(y1, 6) AS DOUBLE) AS body_y1
+FROM e JOIN n USING (page_id) JOIN v USING (page_id) LEFT JOIN c USING (page_id)""")
+def page_visual_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, images, body region and coverage of each page."""
+    found = layout.page_visuals(_drawn_pages(spark, sf_dir))
+    region = [F.round(F.col("body_region")[k], 6).alias(f"body_{name}") for k, name in enumerate(("x0", "y0", "x1", "y1"))]
+    return found.select("page_id", "native_text_chars", "n_images", "n_tiny", F.round("tiny_ratio", 6).alias("tiny_ratio"), F.round("coverage", 6).alias("coverage"), *region)
 
 
 @query(r"""

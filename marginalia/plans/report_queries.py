@@ -74,8 +74,8 @@ WITH {SQL_BY_LENGTH}, c AS (SELECT case_id, coalesce(share5, 0) AS recall_at_5,
 k AS (SELECT *, CASE WHEN faithful THEN 'ok' ELSE 'insufficient' END AS status,
   list_filter([CASE WHEN recall_at_10 < 1 THEN 'retrieval' END, CASE WHEN recall_at_5 < recall_at_10 THEN 'ranking' END, CASE WHEN NOT faithful THEN 'synthesis' END], lambda x: x IS NOT NULL) AS ms FROM c),
 p AS (SELECT *, CASE WHEN len(ms) = 0 THEN ['pass'] ELSE ms END AS misses, round(recall_at_10 * 100, 3) AS latency_ms FROM k),
-s AS (SELECT unnest(misses) AS miss FROM p), sc AS (SELECT miss, count(*) AS n FROM s GROUP BY miss), st AS (SELECT status, count(*) AS n FROM p GROUP BY status),
-l AS (SELECT miss, n FROM sc WHERE miss <> 'pass' ORDER BY n DESC, list_position(['corpus-quality', 'retrieval', 'terminology', 'ranking', 'cross-doc', 'synthesis'], miss) LIMIT 1)
+s AS (SELECT case_id, unnest(misses) AS miss, unnest(range(1, len(misses) + 1)) AS place FROM p), sc AS (SELECT miss, count(*) AS n, min((case_id, place)) AS seen FROM s GROUP BY miss), st AS (SELECT status, count(*) AS n FROM p GROUP BY status),
+l AS (SELECT miss, n FROM sc WHERE miss <> 'pass' ORDER BY n DESC, seen LIMIT 1)
 SELECT CAST(count(*) AS BIGINT) AS cases, round(avg(recall_at_5), 3) AS recall_at_5, round(avg(recall_at_10), 3) AS recall_at_10, round(avg(CAST(faithful AS INTEGER)), 3) AS faithful_rate,
   round(sum(latency_ms), 3) AS latency_total, round(avg(latency_ms), 3) AS latency_mean, round(max(latency_ms), 3) AS latency_max,
   (SELECT list_sort(list(status || '=' || n)) FROM st) AS statuses, (SELECT list_sort(list(miss || '=' || n)) FROM sc) AS miss_counts,

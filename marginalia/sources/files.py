@@ -103,18 +103,24 @@ def export_documents(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.withColumn("warning", F.when(F.col("n_chunks") == 0, "chunks file is missing"))
 
 
+def candidate_id(candidate: Column, index: Column) -> Column:
+    """`lit_` and the first of the identifying fields that leaves something once it is sanitised; without any the index (from 1)."""
+    clean = lambda k: F.regexp_replace(F.regexp_replace(candidate[k], "[^A-Za-z0-9_.:-]+", "_"), "^_+|_+$", "")
+    named = F.coalesce(*[F.nullif(clean(k), F.lit("")) for k in ("paper_id", "paperId", "arxiv_id", "doi", "url")], index.cast("string"))
+    return F.concat(F.lit("lit_"), named)
+
+
 def literature(spark: SparkSession, path: str, limit: int | None = None, head: int | None = None) -> DataFrame:
-    """Candidates of a captured literature search: first present id, sanitised; snippet or abstract.
+    """Candidates of a captured literature search: an id from the first that is present, else from the place; snippet or abstract.
 
     `limit` keeps so many candidates of a search, `head` so many characters of an abstract; all without them.
     """
-    fields = "title STRING, authors ARRAY<STRING>, year INT, venue STRING, doi STRING, url STRING, abstract STRING, snippet STRING, arxiv_id STRING, paper_id STRING, id STRING"
+    fields = "title STRING, authors ARRAY<STRING>, year INT, venue STRING, doi STRING, url STRING, abstract STRING, snippet STRING, arxiv_id STRING, paper_id STRING, paperId STRING, id STRING"
     read = spark.read.schema(f"query STRING, retrieval_source STRING, candidates ARRAY<STRUCT<{fields}>>").option("multiLine", "true").json(path)
     rows = read.select("query", "retrieval_source", F.posexplode("candidates").alias("n", "c"))
     rows = rows if limit is None else rows.filter(F.col("n") < limit)
     abstract = F.col("c.abstract") if head is None else F.substring("c.abstract", 1, head)
-    raw = text.first_text(*[F.col(f"c.{k}") for k in ("id", "arxiv_id", "paper_id", "doi", "url")])
-    return rows.select("query", "retrieval_source", "n", F.regexp_replace(raw, r"[^A-Za-z0-9._:-]+", "_").alias("candidate_id"), "c.title", "c.year", text.first_text(F.col("c.snippet"), abstract).alias("snippet"))
+    return rows.select("query", "retrieval_source", "n", candidate_id(F.col("c"), F.col("n") + 1).alias("candidate_id"), "c.title", "c.year", text.first_text(F.col("c.snippet"), abstract).alias("snippet"))
 
 
 def settings(values: dict[str, str], env: dict[str, str], prefix: str = "MARGINALIA_") -> dict[str, str]:

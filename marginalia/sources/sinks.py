@@ -29,6 +29,10 @@ def context_packs(chunks: DataFrame) -> DataFrame:
     return packs.join(named, "doc_id", "left").withColumn("assets", F.coalesce("assets", F.array().cast("array<string>")))
 
 
+#: Blocks of keys that are numbered at most, and keys sampled for each.
+BLOCKS, KEYS_A_BLOCK = 256, 16
+
+
 def upsert(target: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """The target without the keys of the new rows, and the new rows."""
     return target.join(rows.select(*keys).distinct(), list(keys), "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))
@@ -37,13 +41,16 @@ def upsert(target: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
 def with_surrogate(rows: DataFrame, existing: DataFrame, key: str, out: str = "id") -> DataFrame:
     """Identifiers of known keys, and for the rest the next numbers after the largest, in key order and without gaps.
 
-    Keys are distinct and ordered as strings. Blocks share their first two letters: a key's number
-    is its rank in its block after the sizes of the blocks before.
+    Keys are distinct and ordered as strings. A sample of the keys, the smallest by a hash, parts them
+    into blocks of about one size, whatever they begin with: a key's number is its rank in its block
+    after the sizes of the blocks before. Any sample gives the same numbers.
     """
     known = rows.join(existing.select(key, out), key, "left")
     fresh = known.filter(F.col(out).isNull()).drop(out)
-    block = F.substring(F.col(key).cast("string"), 1, 2)
     text_order = F.col(key).cast("string")
+    sample = fresh.select(text_order.alias("k")).orderBy(F.xxhash64("k"), "k").limit(BLOCKS * KEYS_A_BLOCK).collect()
+    cuts = sorted((r["k"] for r in sample if r["k"] is not None), key=lambda k: k.encode())[KEYS_A_BLOCK::KEYS_A_BLOCK]
+    block = F.size(F.filter(F.lit(cuts).cast("array<string>"), lambda c: c <= text_order))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = fresh.groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(text_order))
@@ -91,9 +98,11 @@ def unapplied(migrations: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def dry_run(rows: DataFrame, group: str, order: str, preview: int = 3) -> DataFrame:
-    """Rows a group and the first few keys."""
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    return ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_list(F.when(F.col("_n") <= preview, F.col(order)))).alias("preview"))
+    """Rows a group and the first few keys. Tasks rank their own rows first, so a group sends few rows on."""
+    ranked = rows.select(group, order, F.row_number().over(Window.partitionBy(group).orderBy(order)).alias("_n")).filter(F.col("_n") <= preview)
+    firsts = ranked.groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(order)).alias("preview"))
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.join(firsts, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def guarded(rows: DataFrame, key: str) -> DataFrame:

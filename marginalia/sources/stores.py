@@ -21,9 +21,11 @@ def with_added_columns(rows: DataFrame, ddl: str) -> DataFrame:
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
-    """Rows in the form of a table of the store, in its order of columns; other columns go."""
+    """Rows in the form of a table of the store, in its order of columns. Columns that it does not have are an error."""
     ddl = ", ".join(x for x in (schemas.TABLES[name], schemas.ADDED.get(name)) if x)
     fields = T._parse_datatype_string(ddl).fields
+    if unknown := sorted(set(rows.columns) - {f.name for f in fields}):
+        raise ValueError(f"the table {name} has no columns {', '.join(unknown)}")
     return with_added_columns(rows, ddl).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 

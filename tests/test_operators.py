@@ -229,9 +229,6 @@ def test_stream_gives_what_the_batch_gives(spark, sf):
 def test_layout_rules(spark):
     kinds = [one(spark, v, lambda c: layout.block_kind(c, F.lit(1))) for v in ("表 1 数据", "Figure 2: x", "F = m a", "3.1 Rotor balance", "plain text here", " ", "第3章 转子")]
     assert kinds == ["table", "figure", "formula", "title", "body", "unknown", "title"]
-    boxes = spark.createDataFrame([(1, [[float(x), float(y), x + 3.0, y + 3.0] for x in range(100, 180, 8) for y in range(100, 180, 8)])], "page_id long, boxes array<array<double>>")
-    got = layout.clusters(boxes, 595.0, 842.0).collect()
-    assert len(got) == 1 and got[0].n_boxes == 100 and got[0].bbox == [100.0, 100.0, 175.0, 175.0]
     signature = spark.createDataFrame([([10.0, 5.0, 60.0, 20.0],)], "b array<double>").select(layout.edge_signature(F.col("b"), F.lit(100.0), F.lit(1000.0), F.lit("img"))).first()[0]
     assert signature == "top:img:10,0,60,2:33"
 

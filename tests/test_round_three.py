@@ -1,0 +1,160 @@
+"""Value lists, page layout, numbering, formula markup, ingestion."""
+
+import itertools
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.functions import answers, question
+from marginalia.operators import chunking, claims, evaluation, layout, reports
+from marginalia.sources import files, sinks, stores
+
+
+def one(spark, value, expression):
+    return spark.createDataFrame([(value,)], "v string").select(expression(F.col("v"))).first()[0]
+
+
+# Value lists
+
+
+@pytest.mark.parametrize(
+    "asked, inside",
+    [
+        ("临界速度怎么算", False), ("阶比分析", False), ("扭振", False), ("转子动力学", True), ("哪些标准适用于轴承", True), ("标准作业程序", False),
+        ("What does ISO 10816 cover?", True), ("what does GB / T 6075.1 say", True), ("ISO 9001 audit", False), ("DL/T5565", True), ("ISO 9001 beside ISO 10816", True),
+        ("ISO 9001 and GB/T 6075", False), ("balance sheet of ISO 10816", False), ("bearing noise", False), ("bearing fault", True), (None, None),
+    ],
+)
+def test_scope_of_questions(spark, asked, inside):
+    assert one(spark, asked, question.in_scope) is inside
+
+
+def test_claims_of_scope_and_outcome(spark):
+    assert one(spark, "This standard specifies limits.", claims.is_scope_claim)
+    assert one(spark, "At the critical speed the amplitude peaks.", claims.is_outcome_claim)
+
+
+def test_eight_aspects(spark):
+    assert list(answers.ASPECTS) == ["variable_speed", "amplitude", "phase", "spectrum", "direction", "workflow", "scope", "formula"]
+    asked, answer = F.lit("which procedure and formula"), F.lit("the equation is given")
+    assert spark.range(1).select(answers.aspect_coverage(asked, answer)).first()[0] == 0.5
+
+
+def test_misses_in_their_order(spark):
+    assert evaluation.MISS_PRIORITY == ("corpus-quality", "terminology", "retrieval", "ranking", "cross-doc", "synthesis", "pass")
+    both = F.array(F.lit("retrieval"), F.lit("terminology"))
+    assert spark.range(1).select(evaluation.primary_miss(both)).first()[0] == "terminology"
+
+
+def test_leading_miss_is_the_first_seen_of_equal_ones(spark):
+    cases = spark.createDataFrame([(1, ["synthesis"], "ok", 1.0, True, 1.0), (2, ["retrieval"], "ok", 1.0, True, 1.0)], "case_id long, misses array<string>, status string, recall double, faithful boolean, latency_ms double")
+    row = reports.scorecard(cases, ["recall"], ["faithful"], "status", "misses").first()
+    assert (row.leading_miss, row.leading_count) == ("synthesis", 1)
+
+
+def test_candidate_ids(spark):
+    fields = ["paper_id", "paperId", "arxiv_id", "doi", "url"]
+    rows = [({"arxiv_id": "2401.1", "doi": "10.1/x"}, "lit_2401.1"), ({"paperId": " a b ", "url": "u"}, "lit_a_b"), ({"paper_id": "__", "doi": "10.1/x y"}, "lit_10.1_x_y"), ({}, "lit_4")]
+    frame = spark.createDataFrame([(k + 1, *[r.get(f) for f in fields]) for k, (r, _) in enumerate(rows)], "n long, " + ", ".join(f"{f} string" for f in fields))
+    got = frame.orderBy("n").select(files.candidate_id(F.struct(*fields), F.col("n"))).collect()
+    assert [r[0] for r in got] == [want for _, want in rows]
+
+
+def test_anchor_of_several_authors(spark):
+    frame = spark.createDataFrame([("T", ["Ada B"], 2001), ("T", ["Ada B", "C D"], 2001), ("T", [], 2001), ("T", ["Ada B"], None)], "t string, a array<string>, y int")
+    got = [r[0] for r in frame.select(chunking.citation_anchor(F.col("t"), F.lit(3), F.lit(4), F.col("a"), F.col("y"))).collect()]
+    assert got == ["Ada B (2001), pp. 3-4", "Ada B et al. (2001), pp. 3-4", "T, pp. 3-4", "T, pp. 3-4"]
+
+
+def test_unknown_columns_of_a_table_are_an_error(spark):
+    with pytest.raises(ValueError, match="surprise"):
+        stores.stored(spark.createDataFrame([(1, 2)], "id long, surprise long"), "documents")
+
+
+# Numbering
+
+
+def test_numbers_of_keys_with_one_prefix(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "KEYS_A_BLOCK", 2)
+    keys = [f"sr{k * 7919 % 1000:04d}" for k in range(1000)] + ["é", "", "sr"]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").repartition(5)
+    old = spark.createDataFrame([("sr0000", 41), ("é", 3)], "k string, id long")
+    got = {r.k: r.id for r in sinks.with_surrogate(rows, old, "k").collect()}
+    fresh = sorted((k for k in keys if k not in ("sr0000", "é")), key=str.encode)
+    assert got == {"sr0000": 41, "é": 3} | {k: 42 + n for n, k in enumerate(fresh)}
+    assert sinks.with_surrogate(rows.limit(0), old, "k").collect() == []
+
+
+def test_dry_run_of_a_hot_and_a_null_group(spark):
+    rows = spark.createDataFrame([("a", k) for k in range(500)] + [(None, 3), (None, 1)], "g string, k int")
+    got = {r.g: (r.n_rows, r.preview) for r in sinks.dry_run(rows, "g", "k").collect()}
+    assert got == {"a": (500, [0, 1, 2]), None: (2, [1, 3])}
+
+
+# Page layout
+
+
+def flooded(boxes):
+    """Groups of boxes by growing cells one at a time."""
+    cells = [{(x, y) for x in range(math.floor(b[0] / 4), math.floor((b[2] - 1e-9) / 4) + 1) for y in range(math.floor(b[1] / 4), math.floor((b[3] - 1e-9) / 4) + 1)} for b in boxes]
+    around = list(itertools.product((-1, 0, 1), repeat=2))
+    rest, groups = {(x + a, y + b) for some in cells for x, y in some for a, b in around}, []
+    while rest:
+        edge, part = [rest.pop()], set()
+        while edge:
+            x, y = edge.pop()
+            part.add((x, y))
+            near = {(x + a, y + b) for a, b in around} & rest
+            rest -= near
+            edge += near
+        groups.append(sorted(k for k, c in enumerate(cells) if c & part))
+    return sorted(groups), [len(set().union(*[cells[k] for k in g])) for g in sorted(groups)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_groups_of_boxes_are_those_of_a_flood(seed):
+    rng = random.Random(seed)
+    spread = 60 + 60 * seed
+    boxes = [(x := rng.uniform(-9, spread), y := rng.uniform(0, spread), x + rng.uniform(0.5, 3 + seed * 4), y + rng.uniform(0.5, 9)) for _ in range(60)]
+    cells = layout._cell_ranges(layout.np.array(boxes))
+    group = layout._groups(cells).tolist()
+    mine = sorted([k for k, g in enumerate(group) if g == name] for name in set(group))
+    want, covered = flooded(boxes)
+    assert mine == want
+    assert [layout._covered(cells[g]) for g in mine] == covered
+
+
+PAGE = "page_id long, width double, height double, blocks array<struct<box:array<double>,text:string>>, images array<array<double>>"
+GRID = [[float(x), float(y), x + 3.0, y + 3.0] for x in range(100, 180, 8) for y in range(100, 180, 8)]
+
+
+def seen(spark, blocks, images):
+    return layout.page_visuals(spark.createDataFrame([(1, 595.0, 842.0, blocks, images)], PAGE)).first()
+
+
+def test_a_drawing_in_the_body(spark):
+    got = seen(spark, [], GRID + [[100.0, 400.0, 300.0, 500.0], [5.0, 5.0, 5.0, 9.0], [1.0, None, 2.0, 3.0], [1.0, 2.0]])
+    assert [(c.n_boxes, c.bbox) for c in got.clusters] == [(100, [100.0, 100.0, 175.0, 175.0])]
+    assert (got.n_images, got.n_tiny, got.n_valid, got.overflow) == (101, 100, 1, 0)
+    assert got.body_region == pytest.approx([29.75, 67.36, 565.25, 774.64])
+    c, area = got.clusters[0], 75.0 * 75.0
+    assert c.body_overlap == 1 and c.area_ratio == pytest.approx(area / (595 * 842))
+    assert c.score == pytest.approx(c.area_ratio * c.density * math.log2(101))
+
+
+def test_a_drawing_outside_the_body_is_none(spark):
+    lines = [([300.0, 400.0 + 20 * k, 500.0, 412.0 + 20 * k], "words of a line that is long enough to count") for k in range(4)]
+    got = seen(spark, lines, GRID)
+    assert got.body_region == [276.0, 376.0, 524.0, 496.0] and got.clusters == []
+    part = seen(spark, [([150.0, 150.0 + 20 * k, 500.0, 162.0 + 20 * k], lines[0][1]) for k in range(4)], GRID).clusters[0]
+    assert part.body_overlap == pytest.approx(49 * 49 / 75 / 75)
+
+
+def test_a_scanned_page(spark):
+    assert seen(spark, [], [[10.0, 10.0, 580.0, 800.0]]).suspected_scanned
+    assert not seen(spark, [([10.0, 100.0, 90.0, 120.0], "many letters here")], [[10.0, 10.0, 580.0, 800.0]]).suspected_scanned
+    blank = seen(spark, None, None)
+    assert (blank.n_images, blank.tiny_ratio, blank.coverage, blank.suspected_scanned) == (0, 0.0, 0.0, False)
