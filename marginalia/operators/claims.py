@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
 from marginalia.functions.question import has_any
+from marginalia.session import written
 
 # Patterns, stop words, directions, quantity terms and synonym groups of the checks.
 NUMBER = r"(?<![A-Za-z])[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?%?"
@@ -287,3 +290,32 @@ def framed(claims: DataFrame, visible: DataFrame, headings: tuple[str, ...]) ->
     under = seen.withColumn("heading", F.element_at(F.array(*[F.lit(h) for h in headings]), at))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("claim_ix", line.alias("line")))), lambda x: x["line"])
     return under.groupBy("answer_id", "heading").agg(F.array_join(listed, "\n").alias("lines"), F.count(F.lit(1)).alias("n"))
+
+
+def step_levels(steps: DataFrame, task: str = "task") -> DataFrame:
+    """The steps (task, step_id, depends_on: array) with their `level`: 0 without dependencies, else one more than the highest of them.
+
+    Levels are peeled one a round: what nothing is left to wait for leaves the table. Steps on a
+    cycle, and those behind one, have no level (null). Dependencies that no step has do not count;
+    they are among the problems of a step. A step_id comes once a task; rows with a null one have no level.
+    """
+    known = steps.filter("step_id IS NOT NULL")
+    edges = known.select(task, "step_id", F.explode("depends_on").alias("dep")).distinct()
+    edges = written(edges.join(known.select(task, F.col("step_id").alias("dep")).distinct(), [task, "dep"], "left_semi"), "step-edges")
+    n = edges.groupBy(task, "step_id").agg(F.count(F.lit(1)).alias("n"))
+    waiting = written(known.select(task, "step_id").distinct().join(n, [task, "step_id"], "left").na.fill(0, ["n"]), "step-waiting")
+    levels = [waiting.select(task, "step_id", F.lit(None).cast("int").alias("level")).limit(0)]
+    while not (free := waiting.filter("n = 0")).isEmpty():
+        levels.append(free.select(task, "step_id", F.lit(len(levels) - 1).alias("level")))
+        met = edges.join(free.select(task, F.col("step_id").alias("dep")), [task, "dep"]).groupBy(task, "step_id").agg(F.count(F.lit(1)).alias("met"))
+        left = waiting.filter("n > 0").join(met, [task, "step_id"], "left")
+        waiting = written(left.select(task, "step_id", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")), "step-waiting")
+    placed = reduce(DataFrame.unionByName, levels)
+    return steps.join(placed, [task, "step_id"], "left")
+
+
+def step_text(step_id: Column, body: Column, source_type: Column, chunk_id: Column) -> Column:
+    """A step as a line: number, text, and the evidence or the word axiomatic."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    marker = F.when(source_type == AXIOMATIC, AXIOMATIC).otherwise(F.concat(F.lit("evidence: "), shown(chunk_id)))
+    return F.concat(shown(step_id), F.lit(": "), shown(body), F.lit(" ("), marker, F.lit(")"))
