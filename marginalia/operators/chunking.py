@@ -98,7 +98,8 @@ def chunk_bounds(sizes: Column, titles: Column, target: int = TARGET_TOKENS, ove
 def chunks(docs: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, keep_always: bool = False) -> DataFrame:
     """(doc_id, units, titles, pages) arrays a document to chunk rows.
 
-    units: paragraphs; titles: whether each is one; pages: page of each. A document never leaves
+    units: paragraphs; titles: whether each is one; pages: page of each; kinds, where it is there:
+    kind of block of each, which gives `segments` of the chunk's text. A document never leaves
     its row, so nothing is shuffled, and only the numbers pass through Python.
     """
     prepared = docs.filter(F.size("units") > 0).withColumn("sizes", F.transform("units", text.estimated_tokens))
@@ -114,6 +115,7 @@ def chunks(docs: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_
             b["first"].alias("first_ix"),
             b["last"].alias("last_ix"),
             F.array_join(part("units"), "\n\n").alias("text"),
+            *([text_segments(part("units"), part("pages"), part("kinds")).alias("segments")] if "kinds" in docs.columns else []),
         )
 
     rows = bounded.select("doc_id", F.inline(F.transform("bounds", chunk)))
@@ -121,6 +123,40 @@ def chunks(docs: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_
     return named.withColumn("token_estimate", text.estimated_tokens(F.col("text")))
 
 
+def text_segments(units: Column, pages: Column, kinds: Column) -> Column:
+    """Where each paragraph stands in the text that joins them by two line feeds: page_no, start, end, block_type."""
+    node = "struct<page_no:int,start:int,end:int,block_type:string>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{node}>").alias("out"))
+
+    def step(state: Column, k: Column) -> Column:
+        end = state["at"] + F.length(F.get(units, k))
+        one = F.struct(F.get(pages, k).cast("int").alias("page_no"), state["at"].alias("start"), end.alias("end"), F.get(kinds, k).alias("block_type"))
+        return F.struct((end + 2).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    places = F.when(F.size(units) > 0, F.sequence(F.lit(0), F.size(units) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda s: s["out"])
+
+
+def located_spans(spans: DataFrame, segments: DataFrame) -> DataFrame:
+    """Spans (chunk_id, start, end) of chunk texts with the pages and kinds of blocks they touch.
+
+    `segments` has one row a chunk. A span belongs to the segment that holds its first letter; in
+    the gap between two it belongs to the one before, as the last that starts at or before it. A span
+    that touches no letter of the chunk has no pages.
+    """
+    joined = spans.join(segments.select("chunk_id", "segments"), "chunk_id", "left")
+    touched = F.filter("segments", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    opened = F.filter("segments", lambda s: s["start"] <= F.col("start"))
+    first = F.get(opened, F.size(opened) - 1)
+    return joined.select(
+        *spans.columns,
+        first["block_type"].alias("block_type"),
+        first["page_no"].alias("page_no"),
+        F.array_sort(F.array_distinct(F.transform(touched, lambda s: s["page_no"]))).alias("pages"),
+        F.size(touched).alias("n_segments"),
+    )
+
+
 def citation_anchor(title: Column, start: Column, end: Column, authors: Column | None = None, year: Column | None = None) -> Column:
     """First of the authors (an array), et al. where there are more, and the year, else the title; then the pages."""
     pages = F.when(start == end, F.concat(F.lit("p. "), start.cast("string"))).otherwise(F.concat(F.lit("pp. "), start.cast("string"), F.lit("-"), end.cast("string")))

@@ -209,6 +209,22 @@ def keep_last(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return usable.withColumn("position", first).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
+def embedded_requests(requests: DataFrame, records: DataFrame, provider: str = "model") -> DataFrame:
+    """Rows of requests (request_id, text) with the vectors of their texts (records: text_hash, vector; one row a hash, a null vector failed).
+
+    A request is embedded as a whole or not at all: one text without a vector turns all of its rows
+    into fallback rows, whose vectors are empty. A null text counts as an empty one.
+    """
+    hashed = requests.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = hashed.join(records.select("text_hash", "vector"), "text_hash", "left")
+    # One row a request goes back to its rows.
+    verdict = found.groupBy("request_id").agg(F.bool_or(F.col("vector").isNull()).alias("_failed")).withColumnRenamed("request_id", "_request")
+    judged = found.join(verdict, F.col("request_id").eqNullSafe(F.col("_request")))
+    vector = F.when(F.col("_failed"), F.array().cast("array<double>")).otherwise(F.col("vector").cast("array<double>"))
+    kind = F.when(F.col("_failed"), "fallback_token_features").otherwise(provider)
+    return judged.select(*requests.columns, "text_hash", vector.alias("vector"), F.size(vector).alias("dimension"), kind.alias("provider"))
+
+
 def embedding_misses(texts: DataFrame, cache: DataFrame, provider: str, model: str, version: str) -> DataFrame:
     """Distinct non-blank texts whose hash is not cached for the provider, model and version."""
     wanted = texts.filter(F.trim("text") != "").select(F.sha2("text", 256).alias("text_hash"), "text").dropDuplicates(["text_hash"])

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import formulas
-from marginalia.operators import claims
-from marginalia.plans import ingest
+from marginalia.operators import chunking, claims, mutation, retrieval
+from marginalia.plans import ingest, reindex
 from marginalia.session import shared_folder, table
 
 QUERIES: dict = {}
@@ -71,3 +71,61 @@ def derivation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.step_levels(steps, "conv_id").select("conv_id", F.col("step_id").alias("turn"), "level", line.alias("line"))
 
 
+@query(r"""
+WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, k, k // 3 + 1 AS page_no, length(unit) AS n, CASE WHEN unit = upper(unit) THEN 'title' ELSE 'body' END AS kind, coalesce(sum(length(unit) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM u),
+t AS (SELECT doc_id, sum(n + 2) - 2 AS total FROM g GROUP BY doc_id), s AS (SELECT doc_id, CAST(total * i // 5 AS BIGINT) AS a, CAST(total * i // 5 AS BIGINT) + 60 AS b, i FROM t, range(0, 5) r(i)),
+h AS (SELECT s.doc_id, s.i, count(*) AS n_segments, list_sort(list_distinct(list(page_no))) AS pages FROM s JOIN g ON g.doc_id = s.doc_id AND g.a < s.b AND g.a + g.n > s.a GROUP BY ALL),
+f AS (SELECT s.doc_id, s.i, s.a, s.b, arg_max(g.kind, g.k) AS kind, arg_max(g.page_no, g.k) AS page_no FROM s JOIN g ON g.doc_id = s.doc_id AND g.a <= s.a GROUP BY ALL)
+SELECT f.doc_id AS chunk_id, a AS start, b AS "end", kind AS block_type, CAST(page_no AS INTEGER) AS page_no, coalesce(array_to_string(pages, ','), '') AS pages, CAST(coalesce(n_segments, 0) AS INTEGER) AS n_segments FROM f LEFT JOIN h USING (doc_id, i)""")
+def segment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five spans of each document, as one chunk of its lines, and the pages and blocks they lie on."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    units = docs.select("doc_id", F.split("text", "\n").alias("units"))
+    kinds, pages = F.transform("units", lambda u: F.when(u == F.upper(u), "title").otherwise("body")), F.transform("units", lambda u, k: F.floor(k / 3).cast("int") + 1)
+    segments = units.select(F.col("doc_id").alias("chunk_id"), "units", kinds.alias("kinds"), pages.alias("pages"))
+    segments = segments.select("chunk_id", chunking.text_segments(F.col("units"), F.col("pages"), F.col("kinds")).alias("segments"))
+    total = F.element_at("segments", -1)["end"]
+    starts = segments.select("chunk_id", F.explode(F.transform(F.array(*map(F.lit, range(5))), lambda i: F.floor(total * i / 5))).alias("start"))
+    found = chunking.located_spans(starts.withColumn("end", F.col("start") + 60), segments)
+    return found.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, text, CASE WHEN text IS NULL OR contains(text, 'token') THEN NULL ELSE [CAST(length(text) AS DOUBLE), 1.0] END AS v FROM conversations),
+f AS (SELECT conv_id, bool_or(v IS NULL) AS failed FROM r GROUP BY conv_id)
+SELECT r.conv_id AS request_id, turn, CASE WHEN failed THEN 0 ELSE 2 END AS dimension, CASE WHEN failed THEN 'fallback_token_features' ELSE 'model' END AS provider, CASE WHEN failed THEN NULL ELSE v[1] END AS first_value
+FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id""")
+def embedding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as requests: a turn that cannot be embedded sends all turns of its conversation to the fallback."""
+    requests = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), "turn", "text")
+    texts = requests.filter("text IS NOT NULL").select("text").distinct()
+    vector = F.when(~F.contains("text", F.lit("token")), F.array(F.length("text").cast("double"), F.lit(1.0)))
+    found = retrieval.embedded_requests(requests, texts.select(F.sha2("text", 256).alias("text_hash"), vector.alias("vector")))
+    return found.select("request_id", "turn", "dimension", "provider", F.get("vector", F.lit(0)).alias("first_value"))
+
+
+@query("""
+SELECT lang AS source_type, count(*) AS n_chunks, count(*) AS n_vectors, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS wrong_dimension, CAST(0 AS BIGINT) AS other_origin, true AS ok
+FROM documents WHERE trim(text) <> '' GROUP BY lang""")
+def reindex_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded by their lengths: a run stopped after its first wave, then brought to its end, held against the table."""
+    store = f"{shared_folder(spark)}/reindex-{uuid.uuid4().hex}"
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("lang").alias("source_type"))
+    embed = lambda t: F.array(F.length(t).cast("double"), F.octet_length(t).cast("double"))
+    settings = {"dimension": 2, "batch_rows": 20_000, "wave": 4}
+    reindex.reindex(chunks, embed, store, "lengths", "1", waves=1, **settings)
+    run = reindex.reindex(chunks, embed, store, "lengths", "1", **settings)
+    return reindex.parity(chunks, reindex.vectors(spark, run), 2, "lengths", "1")
+
+
+@query(r"""
+WITH n AS (SELECT *, regexp_replace(text, '[ \t]+', ' ', 'g') AS t, upper(lang) AS l FROM documents),
+c AS (SELECT t IS DISTINCT FROM text AS a, l IS DISTINCT FROM lang AS b, length(t) IS DISTINCT FROM n_chars AS d FROM n)
+SELECT count(*) AS n_rows, count(*) FILTER (a OR b) AS n_changed, CAST(coalesce(sum(CAST(a AS INT) + CAST(b AS INT) + CAST((a OR b) AND d AS INT)), 0) AS BIGINT) AS n_changes, CAST(0 AS BIGINT) AS n_left, true AS idempotent, count(*) FILTER (a OR b) > 0 AS differs FROM c""")
+def repair_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of blanks in texts become one, languages upper case, and the lengths of what changed are restamped; the report of it."""
+    docs = table(spark, sf_dir, "documents")
+    rules = {"text": F.regexp_replace("text", r"[ \t]+", " "), "lang": F.upper("lang")}
+    report = mutation.audited(docs, "doc_id", rules, {"n_chars": F.length("text").cast("long")}).report
+    return report.select("n_rows", "n_changed", "n_changes", "n_left", "idempotent", (F.col("fingerprint_before") != F.col("fingerprint_after")).alias("differs"))

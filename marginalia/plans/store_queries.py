@@ -157,6 +157,28 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def _budget_rows(orders: DataFrame) -> DataFrame:
+    """Each order reserves its price and, once or never, later or before, tells what it used; keys are text, as in JSON."""
+    text_key, price = F.col("o_orderkey").cast("string"), F.round(F.col("o_totalprice") / 100).cast("long")
+    at, k = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")
+    reserve = F.struct((k * 2).alias("id"), at.alias("at"), F.lit("reserve").alias("kind"), text_key.alias("reservation"), price.alias("tokens"))
+    usage = F.struct((k * 2 + 1).alias("id"), (at + (k % 200 - 20) * 86400).alias("at"), F.lit("usage").alias("kind"), text_key.alias("reservation"), F.floor(price * (k % 30) / 15).alias("tokens"))
+    told = F.when(k % 7 == 0, F.array(reserve)).otherwise(F.array(reserve, usage))
+    rows = orders.select(F.col("o_custkey").alias("session"), F.col("o_orderpriority").alias("task"), F.explode(told).alias("e"))
+    return rows.select("session", "e.id", "e.at", "e.kind", "task", "e.reservation", "e.tokens")
+
+
+BUDGET_FIELDS = ["session", "id", "at", "kind", "task", "reservation", "tokens"]
+BUDGET_RESULT = "session long, id long, outcome string, remaining long, open int"
+
+
+@query()
+def budget_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reservations of each customer's orders, settled by usage that comes late, early or not at all."""
+    rows = _budget_rows(table(spark, sf_dir, "orders"))
+    return folds.ordered_fold(rows, "session", ["at", "id"], BUDGET_FIELDS, folds.settled_budget_step(3000, 8000), BUDGET_RESULT)
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = table(spark, sf_dir, "events").schema

@@ -87,6 +87,39 @@ def budget_step(per_task: int, per_session: int) -> Step:
     return step
 
 
+def settled_budget_step(per_task: int, per_session: int) -> Step:
+    """Rows (session, id, time, kind, task, reservation, tokens): reservations, and the usage that settles them, early or late.
+
+    A `reserve` row is allowed while task and session totals hold and stays open under its
+    reservation. A `usage` row with an open reservation puts the true number in its place, in the
+    task that reserved it, and closes it; any other usage is added to its own task. Totals never
+    fall below zero. A reservation that comes again replaces what is open under its name.
+    """
+
+    def step(state, row):
+        used, tasks, pending = state or [0, {}, {}]
+        _, _, _, kind, task, reservation, tokens = row
+        settles = kind == "usage" and reservation is not None and reservation in pending
+        if settles:
+            task, reserved = pending.pop(reservation)
+            outcome, change = "settled", tokens - reserved
+        elif kind == "usage":
+            outcome, change = "added", tokens
+        elif tokens > max(per_task - tasks.get(task, 0), 0):
+            outcome, change = "task budget", 0
+        elif tokens > max(per_session - used, 0):
+            outcome, change = "session budget", 0
+        else:
+            outcome, change = "reserved", tokens
+            if reservation is not None:
+                pending[reservation] = [task, tokens]
+        if outcome in ("settled", "added", "reserved"):
+            used, tasks[task] = max(used + change, 0), max(tasks.get(task, 0) + change, 0)
+        return [used, tasks, pending], (row[0], row[1], outcome, max(per_session - used, 0), len(pending))
+
+    return step
+
+
 def review_step(max_reviews: int = 3, max_corrections: int = 2) -> Step:
     """Rows (task, id, role, approved): a bounded loop of reviews and corrections.
 

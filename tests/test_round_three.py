@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import answers, formulas, question
-from marginalia.operators import chunking, claims, evaluation, layout, reports
-from marginalia.plans import ingest
+from marginalia.operators import chunking, claims, evaluation, layout, mutation, reports, retrieval
+from marginalia.plans import ingest, reindex
 from marginalia.sources import files, sinks, stores
+from marginalia.streaming import folds
 
 
 def one(spark, value, expression):
@@ -320,3 +321,162 @@ def test_equal_contents_under_two_paths_are_two_files(spark, tmp_path):
     assert ingest.ingest(found, store).count() == 3
     assert {r.path: r.status for r in ingest.manifest(spark, store).collect()} == {"x/a.txt": "ingested", "y/a.txt": "ingested", "z/n.txt": "empty"}
     assert ingest.ingest(found.limit(0), str(tmp_path / "none")).collect() == []
+
+
+# Budgets
+
+
+def plain_budget(rows, per_task, per_session):
+    used, tasks, held, out = 0, {}, {}, []
+    for session, number, _, kind, task, reservation, tokens in rows:
+        if kind == "reserve":
+            if tokens > max(per_task - tasks.get(task, 0), 0):
+                outcome = "task budget"
+            elif tokens > max(per_session - used, 0):
+                outcome = "session budget"
+            else:
+                outcome = "reserved"
+                used, tasks[task] = used + tokens, tasks.get(task, 0) + tokens
+                held |= {reservation: (task, tokens)} if reservation else {}
+        elif reservation in held:
+            mine, before = held.pop(reservation)
+            outcome = "settled"
+            used, tasks[mine] = max(used + tokens - before, 0), max(tasks.get(mine, 0) + tokens - before, 0)
+        else:
+            outcome = "added"
+            used, tasks[task] = used + tokens, tasks.get(task, 0) + tokens
+        out.append((session, number, outcome, max(per_session - used, 0), len(held)))
+    return out
+
+
+def budget_rows(seed):
+    rng = random.Random(seed)
+    return [(seed % 3, k, k, rng.choice(["reserve", "usage"]), rng.choice("tu"), rng.choice([None, *"abcd"]), rng.randint(0, 60)) for k in range(80)]
+
+
+def test_budget_is_the_plain_one():
+    outcomes = set()
+    for seed in range(40):
+        rows, step, state, out = budget_rows(seed), folds.settled_budget_step(150, 180), None, []
+        for row in rows:
+            state, result = step(state, row)
+            out.append(result)
+        assert out == plain_budget(rows, 150, 180)
+        outcomes |= {r[2] for r in out}
+    assert outcomes == {"reserved", "settled", "added", "task budget", "session budget"}
+
+
+def test_a_late_usage_frees_what_was_reserved(spark):
+    rows = [(1, 1, 1, "reserve", "t", "a", 100), (1, 2, 2, "reserve", "t", "b", 10), (1, 3, 3, "usage", "x", "a", 20), (1, 4, 4, "reserve", "t", "b", 10), (1, 5, 5, "usage", "t", "a", 5)]
+    frame = spark.createDataFrame(rows, "session long, id long, at long, kind string, task string, reservation string, tokens long").repartition(3)
+    fields = ["session", "id", "at", "kind", "task", "reservation", "tokens"]
+    result = "session long, id long, outcome string, remaining long, open int"
+    got = folds.ordered_fold(frame, "session", ["at", "id"], fields, folds.settled_budget_step(100, 100), result).orderBy("id").collect()
+    assert [tuple(r)[2:] for r in got] == [("reserved", 0, 1), ("task budget", 0, 1), ("settled", 80, 0), ("reserved", 70, 1), ("added", 65, 1)]
+
+
+def test_the_stream_settles_like_the_batch(spark, tmp_path):
+    from marginalia.streaming import windows
+
+    rows = [r for seed in range(3) for r in budget_rows(seed)]
+    schema = "session long, id long, at long, kind string, task string, reservation string, tokens long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/rows")
+    fields, result = [f.split()[0] for f in schema.split(", ")], "session long, id long, outcome string, remaining long, open int"
+    step = folds.settled_budget_step(120, 200)
+    batch = folds.ordered_fold(spark.read.parquet(f"{tmp_path}/rows"), "session", ["at", "id"], fields, step, result)
+    stream = folds.stream_fold(spark.readStream.schema(schema).parquet(f"{tmp_path}/rows"), "session", fields, step, result)
+    assert sorted(map(tuple, windows.run_to_end(stream, "append").collect())) == sorted(map(tuple, batch.collect()))
+
+
+# Segments and requests
+
+
+def test_spans_over_segments(spark):
+    docs = spark.createDataFrame([("d", ["Title", "body one", "", "body two"], [True, False, False, False], [1, 1, 2, 3], ["title", "body", "body", "body"])], "doc_id string, units array<string>, titles array<boolean>, pages array<int>, kinds array<string>")
+    chunk = chunking.chunks(docs)
+    row = chunk.first()
+    assert [tuple(s) for s in row.segments] == [(1, 0, 5, "title"), (1, 7, 15, "body"), (2, 17, 17, "body"), (3, 19, 27, "body")]
+    assert all(row.text[s.start : s.end] == u for s, u in zip(row.segments, docs.first().units))
+    spans = spark.createDataFrame([(row.chunk_id, 0, 3), (row.chunk_id, 4, 8), (row.chunk_id, 5, 6), (row.chunk_id, 10, 25), (row.chunk_id, 99, 120), ("none", 0, 1)], "chunk_id string, start int, end int")
+    got = {(r.chunk_id, r.start): (r.block_type, r.page_no, r.pages, r.n_segments) for r in chunking.located_spans(spans, chunk).collect()}
+    assert got[row.chunk_id, 0] == ("title", 1, [1], 1) and got[row.chunk_id, 4] == ("title", 1, [1], 2)
+    assert got[row.chunk_id, 5] == ("title", 1, [], 0) and got[row.chunk_id, 10] == ("body", 1, [1, 2, 3], 3)
+    assert got[row.chunk_id, 99][2:] == ([], 0) and got["none", 0][:2] == (None, None)
+
+
+def test_one_failed_text_turns_its_request(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, "bad"), (3, "a"), (None, "a"), (4, None)]
+    requests = spark.createDataFrame(rows, "request_id int, text string")
+    records = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("bad", None)], "t string, vector array<double>").select(F.sha2("t", 256).alias("text_hash"), "vector")
+    got = retrieval.embedded_requests(requests, records).collect()
+    assert len(got) == len(rows)
+    assert {(r.request_id, r.text): (r.dimension, r.provider) for r in got} == {
+        k: (2, "model") if k[0] in (1, 2, None) else (0, "fallback_token_features") for k in rows
+    }
+
+
+# Embedding runs and audited changes
+
+
+def embedded(body):
+    return F.array(F.length(body).cast("double"), F.ascii(body).cast("double"))
+
+
+def run_of(spark, store, embed, **more):
+    rows = [(f"c{k}", "x" * (k % 9) + "y", "book" if k % 3 else "paper") for k in range(60)] + [("blank", " ", "book")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, source_type string")
+    return chunks, reindex.reindex(chunks, embed, store, "m", "1", dimension=2, batch_rows=10, wave=2, **more)
+
+
+def test_a_broken_run_goes_on_where_it_stopped(spark, tmp_path):
+    broken, whole = str(tmp_path / "broken"), str(tmp_path / "whole")
+    calls = []
+
+    def fails_later(body):
+        calls.append(1)
+        return embedded(body) if len(calls) < 2 else F.array(F.raise_error(F.lit("lost")).cast("double"))
+
+    with pytest.raises(Exception, match="lost"):
+        run_of(spark, broken, fails_later)
+    done = {p: p.stat().st_mtime_ns for p in (tmp_path / "broken").rglob("vectors/batch=*/*.parquet")}
+    assert done
+    chunks, path = run_of(spark, broken, embedded)
+    assert {p: p.stat().st_mtime_ns for p in done} == done
+    _, unbroken = run_of(spark, whole, embedded)
+    read = lambda where: sorted(map(tuple, reindex.vectors(spark, where).select("chunk_id", "vector").collect()))
+    assert len(read(path)) == 60 and read(path) == read(unbroken)
+    assert all(r.ok for r in reindex.parity(chunks, reindex.vectors(spark, path), 2, "m", "1").collect())
+    before = sorted(p.stat().st_mtime_ns for p in (tmp_path / "broken").rglob("*"))
+    assert run_of(spark, broken, embedded)[1] == path and sorted(p.stat().st_mtime_ns for p in (tmp_path / "broken").rglob("*")) == before
+
+
+def test_a_changed_corpus_or_model_is_another_run(spark, tmp_path):
+    chunks, first = run_of(spark, str(tmp_path), embedded)
+    more = chunks.union(spark.createDataFrame([("new", "text", "book")], chunks.schema))
+    assert reindex.reindex(more, embedded, str(tmp_path), "m", "1", dimension=2, batch_rows=10) != first
+    assert reindex.reindex(chunks, embedded, str(tmp_path), "m", "2", dimension=2, batch_rows=10) != first
+    with pytest.raises(ValueError, match="dimension"):
+        reindex.reindex(chunks, embedded, str(tmp_path / "other"), "m", "1", dimension=3)
+    report = {r.source_type: r for r in reindex.parity(more, reindex.vectors(spark, first), 2, "m", "1").collect()}
+    assert (report["book"].missing, report["book"].ok, report["paper"].ok) == (1, False, True)
+
+
+def test_an_audited_change_logs_what_it_changed(spark):
+    rows = spark.createDataFrame([(1, " a  b ", "x", 99), (2, "c", "Y", 1), (3, None, None, 7), (4, "d", "z", 5)], "k int, body string, tag string, n int")
+    rules = {"body": F.trim(F.regexp_replace("body", " +", " ")), "tag": F.lower("tag")}
+    audit = mutation.audited(rows, "k", rules, {"n": F.length("body")})
+    assert [tuple(r) for r in audit.rows.orderBy("k").collect()] == [(1, "a b", "x", 3), (2, "c", "y", 1), (3, None, None, 7), (4, "d", "z", 5)]
+    assert sorted(map(tuple, audit.log.collect())) == [(1, "body", " a  b ", "a b"), (1, "n", "99", "3"), (2, "tag", "Y", "y")]
+    report = audit.report.first()
+    assert (report.n_rows, report.n_changed, report.n_changes, report.n_left, report.idempotent) == (4, 2, 3, 0, True)
+    assert report.fingerprint_before != report.fingerprint_after
+    again = mutation.audited(audit.rows, "k", rules, {"n": F.length("body")})
+    assert again.log.collect() == [] and again.report.first().fingerprint_before == again.report.first().fingerprint_after == report.fingerprint_after
+
+
+def test_a_change_that_never_ends_is_told(spark):
+    rows = spark.createDataFrame([(1, "a")], "k int, body string")
+    report = mutation.audited(rows, "k", {"body": F.concat("body", F.lit("!"))}).report.first()
+    assert (report.n_left, report.idempotent) == (1, False)
+    nothing = mutation.audited(rows.limit(0), "k", {"body": F.lower("body")}).report.first()
+    assert (nothing.n_rows, nothing.n_changed, nothing.idempotent) == (0, 0, True)
