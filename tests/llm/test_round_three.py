@@ -250,3 +250,51 @@ def test_extraction_query_is_the_article(spark, sf):
         article = re.sub(r"<br>", " ", re.sub(r"</?b>", "", re.search(r"<article>(.*?)</article>", page, re.S)[1]))
         want = "\n".join(t for x in re.split(r"</?(?:p|h1)>", article) if (t := " ".join(html.unescape(x).split())))
         assert (got[key]["text"], got[key]["n_chars"]) == (want, len(want))
+
+
+# Edge cases of earlier operators
+
+
+def test_strength_is_that_of_a_plain_matcher():
+    """Terms between blanks, those inside an exception phrase spared, by the root of the number of words."""
+    from marginalia.llm import toxicity
+
+    rng = random.Random(8)
+    words = ["ida", "idb", "idc", "good", "kind", "ida idb"]
+    lexicon = toxicity.Lexicon({toxicity.fold(w).strip(): 1.0 + k for k, w in enumerate(words[:3])}, exceptions=("good ida", "kind idb kind"))
+    folded = [toxicity.fold(e).split() for e in ("good ida", "kind idb kind")]
+    for _ in range(500):
+        tokens = [rng.choice(["ida", "idb", "idc", "good", "kind", "xx"]) for _ in range(rng.randint(0, 12))]
+        mine = toxicity.fold(" ".join(tokens)).split()
+        spared = {k for e in folded for at in range(len(mine)) if mine[at : at + len(e)] == e for k in range(at, at + len(e))}
+        total = sum(lexicon.weights.get(w, lexicon.weights.get(f" {w} ", 0.0)) for k, w in enumerate(mine) if k not in spared)
+        want = total / np.sqrt(len(mine) + toxicity.LENGTH_FLOOR) if total else 0.0
+        assert lexicon.strength(" ".join(tokens)) == pytest.approx(want)
+
+
+def test_exact_and_near_copies_of_no_rows(spark):
+    from marginalia.llm import exact_dedup, simhash
+
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert exact_dedup.dedup_groups(empty).collect() == [] and exact_dedup.drop_copies(empty).collect() == []
+    assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
+
+
+def test_near_duplicates_of_null_and_repeated_keys(spark):
+    from marginalia.llm import simhash
+
+    text = "one two three four five six seven"
+    rows = [(5, text, "f"), (5, text, "f"), (None, text, "f"), (2, None, "f"), (9, "", "f"), (None, "quite other words stand in this one", "f")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter({(5, 5): 2, (None, 5): 1, (2, 2): 1, (9, 2): 1, (None, None): 1})
+
+
+def test_mixing_keeps_rows_of_null_keys_whole(spark):
+    """Rows that share a key draw alike: all copies of one draw have the same number, and the empty table stays empty."""
+    from marginalia.llm import mixing
+
+    rows = [(None, f"t{k}", "src0") for k in range(40)] + [(k, f"t{k}", "src1") for k in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("row.*", "copy").collect()
+    counts = Counter(r.text for r in got if r.doc_id is None)
+    assert len(set(counts.values())) <= 1 and len(counts) in (0, 40)
+    assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
