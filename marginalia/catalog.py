@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.plans import claim_queries, document_queries, ingest_queries, relational_queries, report_queries, retrieval_queries, store_queries, text_queries
+from marginalia.plans import claim_queries, corpus_queries, document_queries, ingest_queries, relational_queries, report_queries, retrieval_queries, store_queries, text_queries
 
-MODULES = (text_queries, retrieval_queries, document_queries, claim_queries, store_queries, relational_queries, report_queries, ingest_queries)
+MODULES = (text_queries, retrieval_queries, document_queries, claim_queries, store_queries, relational_queries, report_queries, ingest_queries, corpus_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

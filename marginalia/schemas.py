@@ -1,5 +1,7 @@
 """Explicit schemas of the stored tables, as DDL."""
 
+from typing import NamedTuple
+
 ASSET = "asset_id:STRING,doc_id:STRING,page_no:INT,object_type:STRING,asset_path:STRING,bbox:ARRAY<ARRAY<DOUBLE>>,text:STRING,confidence:DOUBLE,metadata:STRING"
 CHUNK = (
     "schema_version STRING, type STRING, chunk_id STRING, doc_id STRING, title STRING, source_title STRING, source_filename STRING, source_type STRING, source_path STRING, "
@@ -31,3 +33,24 @@ ADDED = {
 UNIQUE = {"documents": ("hash", "external_id"), "chunks": ("external_id",), "terms": ("canonical_term",), "symbols": ("canonical_symbol",)}
 #: Columns that are never null.
 REQUIRED = {"documents": ("title", "file_path"), "chunks": ("text",), "terms": ("canonical_term",), "symbols": ("canonical_symbol",), "units": ("quantity", "canonical_units"), "citations": ("answer_id",), "qa_logs": ("query",)}
+CASCADE, SET_NULL = "cascade", "set null"
+
+
+class Reference(NamedTuple):
+    """A column that holds ids of another table, and what becomes of a row when the row that it names goes."""
+
+    table: str
+    column: str
+    target: str
+    action: str
+
+
+#: A table follows those that it refers to in the order of TABLES.
+REFERENCES = (
+    Reference("document_sections", "doc_id", "documents", CASCADE),
+    Reference("document_sections", "parent_id", "document_sections", CASCADE),
+    Reference("chunks", "doc_id", "documents", CASCADE),
+    Reference("chunks", "section_id", "document_sections", SET_NULL),
+    Reference("figures_tables", "doc_id", "documents", CASCADE),
+    Reference("citations", "chunk_id", "chunks", CASCADE),
+)
