@@ -3,7 +3,8 @@
 A source of n rows with the target share w of `total` output rows has the mean repetition rate
 w * total / n. Each row draws its number of copies by inverting that Poisson distribution at a
 uniform number made from a hash of the seed and the row's identifier, so a retried task draws the
-same. Copies are exploded and put into a global random order by a second hash.
+same. Copies are exploded and put into a global random order by a second hash. Rows that share an
+identifier, or have none, draw alike but are told apart in the order by their place in the input.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import packed, prefix_sums
+from marginalia.llm.common import materialize, packed, prefix_sums
 
 SEED = "mix-1"
 #: Target shares; sources that are not named share REST together.
@@ -22,6 +23,8 @@ REST = 0.60
 REST_LABEL = "*"
 #: Buckets of the global order.
 BUCKETS = 65536
+#: Repeated keys up to which their table is broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 65536
 
 
 def poisson_cdf(rate: float) -> list[float]:
@@ -54,15 +57,32 @@ def _label(weights: dict[str, float], source: str) -> Column:
     return F.when(F.col(source).isin(list(weights)), F.col(source)).otherwise(F.lit(REST_LABEL))
 
 
+def _named(docs: DataFrame, key: str, **columns: Column) -> DataFrame:
+    """Packed rows with `name`: the key as text; where rows share it (null too) with the row's place in the input.
+
+    Only the key column is read and counted for this, combined before its shuffle. The place repeats
+    where the input is read alike, as files are.
+    """
+    text = F.col(f"`{key}`").cast("string")
+    repeated = materialize(docs.groupBy(text.alias("shared")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shared", F.lit(True).alias("again")), "mix-repeated")
+    if repeated.count() <= BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
+    placed = packed(docs, **columns, own=text, place=F.monotonically_increasing_id())
+    joined = placed.join(repeated, F.col("own").eqNullSafe(F.col("shared")), "left")
+    own = F.coalesce("own", F.lit("null"))
+    return joined.select("row", *columns, F.when(F.col("again"), F.concat_ws("#", own, "place")).otherwise(own).alias("name"))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, key: str = "doc_id", source: str = "source", seed: str = SEED, total: int | None = None) -> DataFrame:
     """Copies of rows in the target mixture: row (all input columns), copy (from 1), position (global order, gapless from 0).
 
-    A null source counts among the rest; a source of weight 0 yields nothing. Rows that share a
-    key draw the same number of copies. An empty table stays empty.
+    A null source counts among the rest; a source of weight 0 yields nothing. Rows that share a key,
+    null or not, draw the same number of copies: where one key holds much of a source, the share of that
+    source is met on average over seeds only. In the order such rows, equal ones too, lie apart, so
+    that no bucket takes them all. An empty table stays empty.
     """
     rates = repetition_rates(docs, weights, rest, source, total)
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    drawn = packed(docs, label=_label(weights, source), name=name, draw=uniform(F.lit(seed), F.col(key)))
+    drawn = _named(docs, key, label=_label(weights, source), draw=uniform(F.lit(seed), F.col(key)))
     copies = F.lit(0)
     for label, rate in sorted(rates.items()):
         cdf = F.array(*[F.lit(x) for x in poisson_cdf(rate)])

@@ -325,10 +325,30 @@ def test_poisson_inversion_matches_the_distribution():
 
 def test_mixing_odd_and_empty_tables(spark, odd):
     mixed = mixing.mix(odd, {"src0": 1.0}, rest=3.0)
-    assert mixed.select("row.*").columns == odd.columns and mixed.count() >= 0
+    assert mixed.select("row.*").columns == odd.columns
+    given = {repr(r) for r in odd.collect()}
+    rows = mixed.collect()
+    assert {repr(r.row) for r in rows} <= given and sorted(r.position for r in rows) == list(range(len(rows)))
     assert mixing.mix(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shared", ["NULL", "7", "id % 3"])
+def test_mixing_rows_of_one_key_lie_apart(spark, shared, monkeypatch):
+    if "%" in shared:
+        monkeypatch.setattr(mixing, "BROADCAST_KEYS", 1)  # the join by a shuffle
+    docs = spark.range(6_000, numPartitions=3).selectExpr(f"CAST(CASE WHEN id < 4000 THEN {shared} ELSE id END AS LONG) AS doc_id", "CASE WHEN id < 4000 THEN 'a' ELSE 'b' END AS source", "id AS place")
+    mixed = mixing.mix(docs, {"a": 0.5}, rest=0.5, total=30_000).select("row.*", "copy", "position")
+    rows = mixed.collect()
+    from_a = [r.position for r in rows if r.source == "a"]
+    copies = {key: {r.copy for r in rows if r.source == "a" and r.doc_id == key} for key in {r.doc_id for r in rows if r.source == "a"}}
+    held = {key: len({r.place for r in rows if r.source == "a" and r.doc_id == key}) for key in copies}
+    assert from_a and len(from_a) == sum(held[key] * len(copies[key]) for key in copies)  # rows of one key draw alike
+    assert sorted(r.position for r in rows) == list(range(len(rows)))
+    assert abs(np.mean(from_a) / len(rows) - 0.5) < 0.03 and abs(np.std(from_a) / len(rows) - 12**-0.5) < 0.03
+    assert len(set(np.array(from_a) // 1_000)) == len(rows) // 1_000 + 1  # and stand everywhere in the order
+    assert rows == mixing.mix(docs, {"a": 0.5}, rest=0.5, total=30_000).select("row.*", "copy", "position").collect()
+
+
 # Byte-level BPE
 
 
