@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(_read(spark, sf_dir, "documents"), inside=False).drop("text_hash")
+    return substring_dedup.repeated_spans(_read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,21 +128,24 @@ def _repeats(every: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN, inside: bool = True) -> DataFrame:
-    """Spans that repeat earlier text: key, text_hash, start, size (bytes), chunks, first_doc_id, occurrences.
+    """Spans that repeat earlier text: key, text_hash, start, size (bytes), chunks, first_doc_id, occurrences, inside.
 
     Earlier is the order of key, hash of the text, and place in the text. A row is its key and its
     text: rows that share both count as one (none repeats the other, and their span is given once),
-    rows that share the key alone are apart. `inside` asks for repeats of the row's own text too.
+    rows that share the key alone are apart. `inside` asks for repeats of the row's own text too; the
+    column `inside` is true where all chunks of a span come first in the row itself, and false where
+    any comes first in another row.
     first_doc_id is the smallest key that holds the first occurrence of a chunk of the span;
     occurrences is the largest count of any of its chunks in the table.
     """
     repeats = _repeats(materialize(chunks(docs, key, text), "chunks"))
+    own = (F.col("doc") == F.col("first.doc")) & (F.col("row") == F.col("first.row"))
     if not inside:
-        repeats = repeats.filter((F.col("doc") != F.col("first.doc")) | (F.col("row") != F.col("first.row")))
+        repeats = repeats.filter(~own)
     in_order = Window.partitionBy("doc", "row").orderBy("start")
     ended = F.lag(F.col("start") + F.col("size")).over(in_order)
     spans = (
-        repeats.select("doc", "row", "start", "size", F.col("first.doc").alias("first"), "occurrences")
+        repeats.select("doc", "row", "start", "size", F.col("first.doc").alias("first"), "occurrences", own.alias("own"))
         .withColumn("_opens", F.coalesce((ended < F.col("start")).cast("int"), F.lit(1)))
         .withColumn("_again", F.coalesce(F.lag("start").over(in_order) == F.col("start"), F.lit(False)))
         .withColumn("_span", F.sum("_opens").over(in_order))
@@ -153,10 +156,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
             F.count_if(~F.col("_again")).alias("chunks"),
             F.min("first").alias("first_doc_id"),
             F.max("occurrences").alias("occurrences"),
+            F.bool_and("own").alias("inside"),
         )
     )
     sized = spans.withColumn("size", F.col("_end") - F.col("start")).filter(F.col("size") >= min_span)
-    return sized.select(F.col("doc").alias(key), F.col("row").alias("text_hash"), "start", "size", "chunks", "first_doc_id", "occurrences")
+    return sized.select(F.col("doc").alias(key), F.col("row").alias("text_hash"), "start", "size", "chunks", "first_doc_id", "occurrences", "inside")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:

@@ -580,7 +580,7 @@ def test_passages_shared_by_documents_are_found(spark):
 
 
 def slow_spans(rows, min_span, inside):
-    """Repeated spans by plain loops over the same cuts."""
+    """Repeated spans by plain loops over the same cuts, and whether the row itself holds all that they repeat."""
     rows = sorted({(k, signed(xxhash.xxh64_intdigest(t.encode(), seed=42)), t.encode()) for k, t in rows if k is not None and t})
     first, out = {}, []
     places = [(k, h, a, raw[a:b]) for k, h, raw in rows for a, b in zip([0, *substring_dedup.cuts(raw)], substring_dedup.cuts(raw))]
@@ -589,13 +589,14 @@ def slow_spans(rows, min_span, inside):
     for k, h, raw in rows:
         spans = []
         for kk, hh, a, piece in places:
-            if (kk, hh) != (k, h) or first[piece] == (k, h, a) or not inside and first[piece][:2] == (k, h):
+            own = first[piece][:2] == (k, h)
+            if (kk, hh) != (k, h) or first[piece] == (k, h, a) or not inside and own:
                 continue
             if spans and spans[-1][1] == a:
-                spans[-1] = (spans[-1][0], a + len(piece), min(spans[-1][2], first[piece][0]))
+                spans[-1] = (spans[-1][0], a + len(piece), min(spans[-1][2], first[piece][0]), spans[-1][3] and own)
             else:
-                spans.append((a, a + len(piece), first[piece][0]))
-        out += [(k, h, a, b - a, f) for a, b, f in spans if b - a >= min_span]
+                spans.append((a, a + len(piece), first[piece][0], own))
+        out += [(k, h, a, b - a, f, own) for a, b, f, own in spans if b - a >= min_span]
     return sorted(out)
 
 
@@ -608,7 +609,15 @@ def test_spans_match_brute_force(spark, sf, inside):
     rows = [(r.doc_id, r.text) for r in sample(spark, sf).collect()] + [(k, t) for k, t in enumerate(TEXTS)]
     rows += [(500, f"{LONG[:900]} {LONG[:900]}"), (2, "another text of row two " * 30), (2, "another text of row two " * 30), (None, LONG)]
     got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_span=64, inside=inside).collect()
-    assert sorted((r.doc_id, r.text_hash, r.start, r.size, r.first_doc_id) for r in got) == slow_spans(rows, 64, inside)
+    assert sorted((r.doc_id, r.text_hash, r.start, r.size, r.first_doc_id, r.inside) for r in got) == slow_spans(rows, 64, inside)
+
+
+def test_substring_query_gives_repeats_of_other_rows_and_of_the_row_itself(spark, tmp_path):
+    passage, other = " ".join(f"p{k * 7919 % 1009}" for k in range(80)), " ".join(f"q{k * 6007 % 997}" for k in range(80))
+    rows = [(1, f"one {passage} two {passage} three"), (2, f"four {other} five"), (3, f"six {other} seven"), (4, "nothing repeats " + " ".join(f"z{k}" for k in range(90)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_substring_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.inside, r.first_doc_id) for r in got} == {(1, True, 1), (3, False, 2)}
 
 
 def test_substring_dedup_of_odd_and_empty_tables(spark, odd):
