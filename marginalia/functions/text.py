@@ -1,10 +1,11 @@
 """Text expressions: tokens, token estimates, normalisation, language, garble tests, identifiers.
 
-Every function takes and returns columns and stays inside generated code.
+Every function takes and returns columns and stays inside generated code, but for `gb_repaired`.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,6 +127,25 @@ def repaired(text: Column, charset: str = "ISO-8859-1") -> Column:
     return F.when(lossless & (count_of(marks, again) < count_of(marks, text)), again).otherwise(text)
 
 
+# Letters that stand in texts of UTF-8 that was read as GB 18030.
+GB_MARKERS = "鍥闄鏃鏈绾鐨涓浣妯杞姊璇锟"
+
+
+def gb_repaired(text: Column) -> Column:
+    """UTF-8 that was read as GB 18030, read again, where that leaves fewer markers and replacement letters; else the text.
+
+    Spark's own codecs do not know this charset. Only texts that hold a marker are handed to Python.
+    """
+
+    @F.arrow_udf("string")
+    def again(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else t.encode("gb18030", "ignore").decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+    marks = f"[{GB_MARKERS}\ufffd]"
+    read = again(F.when(text.rlike(f"[{GB_MARKERS}]"), text))
+    return F.when(count_of(marks, read) < count_of(marks, text), read).otherwise(text)
+
+
 def slug(name: Column, longest: int = 80) -> Column:
     """Letters, digits and hyphens of a name."""
     dashed = F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-")

@@ -1,4 +1,4 @@
-"""Page layout: block kinds, font titles, repeated decoration, visual clusters, density, bibliography."""
+"""Page layout: block kinds, font titles, repeated decoration, visual clusters, density."""
 
 from __future__ import annotations
 
@@ -209,13 +209,6 @@ def density_profile(chars: Column, width: Column, height: Column, least_density:
     return [chars.alias("meaningful_chars"), F.round(density, 6).alias("density"), ((chars < least_chars) | (density < least_density)).alias("needs_ocr")]
 
 
-def bibliography(text: Column) -> list[Column]:
-    """Year and author from text; null where there is none."""
-    year = F.nullif(F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
-    author = F.nullif(F.regexp_extract(text, r"(?i)\b(?:by|author[s]?:?)\s+([A-Z][a-z]+(?: [A-Z][a-z]+)*)", 1), F.lit(""))
-    return [year.cast("int").alias("year"), author.alias("author")]
-
-
 def ocr_choice(primary: DataFrame, fallback: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Primary pages, replaced by a longer fallback where they are key pages, blank, or of low confidence.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.operators.evaluation import nearest_rank
+
 
 # Where the gate of a retrieval report stands.
 LEAST_RECALL, MOST_MISSING = 0.8, 1
@@ -48,6 +50,30 @@ def retrieval_report(by_case: DataFrame, *ks: int) -> DataFrame:
     return counted.select(*rounded, justified.alias("replacement_justified"))
 
 
+def language_report(cases: DataFrame, languages: tuple[str, str] = ("en", "zh")) -> DataFrame:
+    """One row: mean recall, recall of each language, share of intents that all their languages meet, incomplete cases, latency.
+
+    cases: case_id, place (order of the run), intent, language, recall, latency_ms. An intent passes
+    where its cases have exactly the given languages and none misses anything. The first case of the
+    run is the cold start, and the percentiles are over the others.
+    """
+    each = cases.withColumn("recall", F.bround("recall", 3))
+    mean = lambda c: F.bround(F.sum(c) / F.count(c), 3)
+    first = each.agg(F.min_by("latency_ms", "place").alias("cold_start"), F.min("place").alias("place"))
+    whole = each.agg(F.count(F.lit(1)).alias("cases"), mean("recall").alias("recall"), F.count_if(F.col("recall") < 1).alias("missing_cases"))
+    one = each.groupBy("language").agg(mean("recall").alias("recall"))
+    by_language = one.agg(F.array_sort(F.collect_list(F.struct("language", "recall"))).alias("by_language"))
+    met = (F.array_sort(F.collect_set("language")) == F.lit(sorted(languages))) & (F.min("recall") == 1)
+    pairs = each.groupBy("intent").agg(met.cast("double").alias("met")).agg(mean("met").alias("pair_recall"))
+    steady = each.join(first.select("place"), "place", "left_anti").withColumn("run", F.lit(0))
+    ranks = nearest_rank(steady, "run", "latency_ms", {"steady_p50": 0.5, "steady_p95": 0.95})
+    # Five tables of one row (the last may have none) become one.
+    report = whole.withColumn("run", F.lit(0))
+    for part in (by_language, pairs, first.select(F.bround("cold_start", 3).alias("cold_start"))):
+        report = report.join(part.withColumn("run", F.lit(0)), "run", "left")
+    return report.join(ranks.select("run", F.bround("steady_p50", 3).alias("steady_p50"), F.bround("steady_p95", 3).alias("steady_p95")), "run", "left").drop("run")
+
+
 def scorecard(cases: DataFrame, means: list[str], flags: list[str], status: str, misses: str) -> DataFrame:
     """One row of an evaluation run: means and rates to three places, latency, counts a status and a miss, the leading miss, a fingerprint.
 

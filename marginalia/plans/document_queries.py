@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions import bibliography as biblio
 from marginalia.functions import text
 from marginalia.operators import chunking, evidence, layout
 from marginalia.plans.text_queries import SQL_ESTIMATE
@@ -282,9 +283,36 @@ def page_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", *layout.density_profile(chars, F.lit(595.0), F.lit(842.0)))
 
 
-@query(r"""
-WITH d AS (SELECT doc_id, regexp_extract(text, '\b((?:19|20)\d{2})\b', 1) AS y, regexp_extract(text, '(?i)\b(?:by|author[s]?:?)\s+([A-Z][a-z]+(?: [A-Z][a-z]+)*)', 1) AS a FROM documents)
-SELECT doc_id, CASE WHEN y = '' THEN NULL ELSE CAST(y AS INTEGER) END AS year, CASE WHEN a = '' THEN NULL ELSE a END AS author FROM d""")
+def _sql_kept(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda p: regexp_replace(p, '{biblio.EDGES}', '', 'g')), lambda p: p <> '')"
+
+
+def _sql_authors(raw: str) -> str:
+    segments = _sql_kept(f"regexp_split_to_array({raw}, '(?i){biblio.SEPARATOR}')")
+    inverted = biblio.INVERTED.replace("'", "''")
+    return f"flatten(list_transform({segments}, lambda s: CASE WHEN regexp_matches(s, '{inverted}') THEN [s] ELSE {_sql_kept("regexp_split_to_array(s, '" + chr(92) + "s*," + chr(92) + "s*')")} END))"
+
+
+SQL_HOUSES = " OR ".join(f"contains(lower(x), '{name}')" for name in biblio.PUBLISHERS)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), l AS (SELECT doc_id, t, regexp_split_to_array(t, '{biblio.LINE_ENDS}') AS ls FROM d),
+n AS (SELECT *, list_filter(list_transform(ls, lambda x: coalesce(nullif(regexp_extract(x, '{biblio.AUTHOR_LABEL}', 1), ''), nullif(regexp_extract(x, '{biblio.BYLINE}', 1), ''))), lambda x: x IS NOT NULL) AS named,
+  list_filter(list_transform(ls, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND length(x) <= {biblio.LONGEST_PRESS_LINE}
+    AND (regexp_matches(x, '{biblio.PUBLISHER_LABEL}') OR regexp_matches(x, '{biblio.PRESS_LINE}') OR {SQL_HOUSES}))[1] AS line FROM l)
+SELECT doc_id, CAST(list_filter(regexp_extract_all(t, '[0-9]+'), lambda x: regexp_full_match(x, '(19|20)[0-9][0-9]'))[1] AS INTEGER) AS year,
+  coalesce(list_filter(list_transform(named, lambda r: {_sql_authors('r')}), lambda a: len(a) > 0)[1], []) AS authors,
+  coalesce(nullif(regexp_extract(t, '{biblio.PRESS_HAN}'), ''), nullif(trim(regexp_extract(line, '{biblio.PUBLISHER_LABEL}', 1)), ''), line) AS publisher FROM n""")
 def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Year and author that a document names."""
-    return table(spark, sf_dir, "documents").select("doc_id", *layout.bibliography(F.col("text")))
+    """Year, authors and publisher that a document names in its text."""
+    named = table(spark, sf_dir, "documents").select("doc_id", biblio.from_text(F.col("text")).alias("b"))
+    return named.select("doc_id", "b.*")
+
+
+@query()
+def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents after the repair of UTF-8 that was read as GB 18030, and whether it changed them."""
+    t = F.col("text")
+    mended = table(spark, sf_dir, "documents").select("doc_id", t, text.gb_repaired(t).alias("mended"))
+    return mended.select("doc_id", F.sha2("mended", 256).alias("text_sha256"), (~t.eqNullSafe(F.col("mended"))).alias("changed"))

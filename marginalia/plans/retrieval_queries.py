@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators import retrieval
+from marginalia.operators import reports, retrieval
 from marginalia.plans.text_queries import SQL_TOKENS
 from marginalia.session import table
 
@@ -103,6 +103,33 @@ def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(retrieval.vector_top(vectors, vectors.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), 10))
 
 
+@query("""
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS chunk_id, label, list_cosine_similarity(w, embedding::DOUBLE[]) AS score FROM embeddings, q WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM s WHERE score > 0),
+h AS (SELECT query_id, list(DISTINCT label) AS labels FROM r WHERE rank <= 10 GROUP BY query_id),
+c AS (SELECT vec_id, vec_id // 100 AS intent, CASE WHEN label % 2 = 0 THEN 'zh' ELSE 'en' END AS language, CASE WHEN list_contains(labels, label) THEN 1.0::DOUBLE ELSE 0 END AS recall, value AS latency
+  FROM embeddings LEFT JOIN h ON query_id = vec_id LEFT JOIN events ON event_id = vec_id WHERE vec_id % 50 = 0),
+l AS (SELECT language, round_even(avg(recall), 3) AS recall FROM c GROUP BY language),
+p AS (SELECT intent, CASE WHEN list_sort(list(DISTINCT language)) = ['en', 'zh'] AND min(recall) = 1 THEN 1.0::DOUBLE ELSE 0 END AS met FROM c GROUP BY intent),
+t AS (SELECT list_sort(list(latency)) AS v, len(list(latency)) AS n FROM c WHERE latency IS NOT NULL AND vec_id <> (SELECT min(vec_id) FROM c))
+SELECT CAST(count(*) AS BIGINT) AS cases, round_even(avg(recall), 3) AS recall, CAST(count(*) FILTER (recall < 1) AS BIGINT) AS missing_cases,
+  (SELECT list(language || '=' || printf('%.3f', recall) ORDER BY language) FROM l) AS by_language, (SELECT round_even(avg(met), 3) FROM p) AS pair_recall,
+  round_even(arg_min(latency, vec_id), 3) AS cold_start, (SELECT round_even(v[CAST(floor((n - 1) * 0.5 + 0.5) AS BIGINT) + 1], 3) FROM t) AS steady_p50,
+  (SELECT round_even(v[CAST(floor((n - 1) * 0.95 + 0.5) AS BIGINT) + 1], 3) FROM t) AS steady_p95 FROM c""")
+def language_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector lane for every fiftieth vector: found is a case with its own label among its hits; recorded values stand for latencies."""
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    hits = retrieval.vector_top(vectors, vectors.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), 10)
+    labels = hits.join(rows.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("hit_label")), "chunk_id").select(F.col("query_id").alias("vec_id"), F.col("hit_label").alias("label")).distinct()
+    latencies = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), F.col("value").alias("latency_ms"))
+    asked = rows.filter("vec_id % 50 = 0").select("vec_id", "label").join(labels.withColumn("recall", F.lit(1.0)), ["vec_id", "label"], "left").join(latencies, "vec_id", "left")
+    language = F.when(F.col("label") % 2 == 0, "zh").otherwise("en")
+    report = reports.language_report(asked.select(F.col("vec_id").alias("case_id"), F.col("vec_id").alias("place"), F.floor(F.col("vec_id") / 100).alias("intent"), language.alias("language"), F.coalesce("recall", F.lit(0.0)).alias("recall"), "latency_ms"))
+    return report.withColumn("by_language", F.transform("by_language", lambda x: F.format_string("%s=%.3f", x["language"], x["recall"])))
+
+
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks, asked = chunks_of(spark, sf_dir), question(spark)
     cut = retrieval.tokenized(chunks)
