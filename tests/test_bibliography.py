@@ -1,11 +1,11 @@
-"""Bibliography, repair of GB 18030 and recall by language on small fixtures."""
+"""Bibliography, repair of GB 18030, recall by language and citations on small fixtures."""
 
 import re
 
 from pyspark.sql import functions as F
 
 from marginalia.functions import bibliography, text
-from marginalia.operators import reports
+from marginalia.operators import evidence, reports
 
 TEXTS = [
     ("A Title\nAuthor: Roe, Jane\nPublisher: North House Press\n2019年 12345", 2019, ["Roe, Jane"], "North House Press"),
@@ -60,3 +60,24 @@ def test_recall_by_language(spark):
     assert [tuple(x) for x in r.by_language] == [("en", 1.0), ("zh", 0.75)]
     none = reports.language_report(cases.limit(0)).collect()[0]
     assert none.cases == 0 and none.recall is None and none.by_language == [] and none.steady_p50 is None
+
+
+def test_citations_of_hits(spark):
+    ddl = "chunk_id string, doc_id int, pages array<int>, page_start int, page_end int, confidence double, ocr_confidence_min double, score double, filename string, source_path string, title string, text string, api_context string"
+    rows = [
+        ("a", 1, [4, 7], 1, 2, 1.5, 0.2, 0.3, "f.pdf", "/x/y.pdf", "T", "two\n  words ", None),
+        ("b", 1, None, 2, 4, None, 0.2, 0.3, "", "C:\\x\\y.pdf", "", "", "context"),
+        ("c", 1, None, None, None, None, None, -3.0, None, "/x/z/", None, "w" * 179 + " " + "v" * 30, None),
+        ("d", 1, None, 5, 4, None, None, None, None, None, None, None, None),
+        (None, 1, None, 1, 1, None, None, None, None, None, None, None, None),
+        ("e", None, None, 1, 1, None, None, None, None, None, None, None, None),
+    ]
+    got = [tuple(r) for r in evidence.cited(spark.createDataFrame(rows, ddl)).orderBy("chunk_id").collect()]
+    assert got == [
+        ("a", "1", [4, 7], "documented", 1.0, "f.pdf", "T", "two words"),
+        ("b", "1", [2, 3, 4], "documented", 0.2, "y.pdf", None, "context"),
+        ("c", "1", None, "documented", 0.0, "z", None, "w" * 179 + "…"),
+        ("d", "1", [], "documented", 1.0, None, None, None),
+    ]
+    bare = evidence.cited(spark.createDataFrame([("a", "d")], "chunk_id string, doc_id string")).collect()
+    assert [tuple(r) for r in bare] == [("a", "d", None, "documented", 1.0, None, None, None)]
