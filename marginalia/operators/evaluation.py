@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.session import written
+
 # Order in which miss categories decide, sweep steps.
 MISS_PRIORITY = ("corpus-quality", "terminology", "retrieval", "ranking", "cross-doc", "synthesis", "pass")
 THRESHOLDS = [round(k * 0.05, 2) for k in range(21)]
@@ -35,10 +37,12 @@ def nearest_rank(values: DataFrame, group: str, value: str, shares: dict[str, fl
 
     Equal values are counted first. Approximate quantiles cut a group into bins, sums over the bins
     name the one that holds a place, and only its distinct values are sorted; the result is exact.
+    The cuts depend on the order in which a shuffle delivers, so they are written once: the sums and
+    the bin that is sorted must have the same ones.
     """
     counted = values.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     cuts = counted.groupBy(group).agg(F.percentile_approx("_v", [k / bins for k in range(1, bins)], 4096).alias("_cuts"), F.sum("_n").alias("_all"))
-    binned = counted.join(cuts, group).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    binned = counted.join(written(cuts, "cuts"), group).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     before = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bases = binned.groupBy(group, "_bin", "_all").agg(F.sum("_n").alias("_in")).withColumn("_base", F.coalesce(F.sum("_in").over(before), F.lit(0)))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor((F.col("_all") - 1) * p + 0.5).alias("at")) for name, p in shares.items()]))
