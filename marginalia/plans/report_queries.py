@@ -11,7 +11,7 @@ from marginalia.plans.claim_queries import SQL_IN_SCOPE, SQL_SENTENCES, _any, _s
 from marginalia.plans.document_queries import SQL_BLOCKS, blocks_of
 from marginalia.plans.retrieval_queries import SQL_BM25, SQL_CHUNKS, chunks_of
 from marginalia.plans.text_queries import SQL_TOKENS
-from marginalia.session import table
+from marginalia.session import table, written
 from marginalia.sources import files, sinks, stores
 
 QUERIES: dict = {}
@@ -126,7 +126,9 @@ def cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items as the question set: how many get a hit, and whether the best hit holds a long word of theirs."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     chunks = chunks_of(spark, sf_dir)
-    best = retrieval.bm25(chunks, items, 1).join(chunks, "chunk_id").select("query_id", "body")
+    # One row a question goes to the texts, which stay where they are.
+    hits = retrieval.bounded(written(retrieval.bm25(chunks, items, 1).select("query_id", "chunk_id"), "best"))
+    best = chunks.select("chunk_id", "body").join(hits, "chunk_id").select("query_id", "body")
     return reports.cold_start(items.select("query_id", F.filter(text.tokens(F.col("query")), lambda x: F.length(x) >= 8).alias("terms")), best)
 
 

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from marginalia.operators import evaluation, retrieval
+from marginalia.plans import report_queries
 
 
 def plan_of(df):
@@ -74,3 +75,8 @@ def test_bm25_makes_no_row_a_query_and_posting(spark):
                 scored.append((-round(score, 6), k, terms[:8]))
         want |= {(q, n + 1): (k, -s, terms) for n, (s, k, terms) in enumerate(sorted(scored)[:7])}
     assert {(r.query_id, r.rank): (r.chunk_id, round(r.score, 6), r.matched_terms) for r in found.collect()} == want
+
+
+def test_cold_start_does_not_shuffle_texts(spark, sf):
+    plan = report_queries.cold_start(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not any("Exchange hashpartitioning(chunk_id" in line for line in plan.splitlines())
