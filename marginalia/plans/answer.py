@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import question, text
-from marginalia.session import attach
+from marginalia.session import attach, written
 from marginalia.operators import claims, evidence, retrieval
 
 
@@ -23,11 +23,14 @@ def fused_hits(questions: DataFrame, chunks: DataFrame, k: int = 10, lane: int =
     wide = questions.select("query_id", question.expanded(F.col("query")).alias("query"))
     cut = retrieval.tokenized(readable)
     # Two small tables (`lane` hits a question) that both fusions read.
-    lexical = retrieval.bm25(cut, wide, lane).checkpoint()
-    dense = retrieval.token_cosine(cut, questions.select("query_id", text.squeeze(F.col("query")).alias("query")), lane).checkpoint()
+    lexical = written(retrieval.bm25(cut, wide, lane), "lexical")
+    dense = written(retrieval.token_cosine(cut, questions.select("query_id", text.squeeze(F.col("query")).alias("query")), lane), "dense")
+    # Priorities of the hits only, so that no body is read for them.
+    shown = retrieval.bounded(lexical.select("chunk_id").union(dense.select("chunk_id")).distinct())
+    kinds = chunks.select("chunk_id", "source_type").join(shown, "chunk_id", "left_semi")
     intents = questions.select("query_id", question.intent(F.col("query")).alias("intent"))
-    plain = retrieval.reciprocal_rank_fusion(lexical, dense, readable, k).join(intents, "query_id").filter("intent <> 'standard_lookup'")
-    lookup = retrieval.weighted_fusion(lexical, dense, readable, k).join(intents, "query_id").filter("intent = 'standard_lookup'")
+    plain = retrieval.reciprocal_rank_fusion(lexical, dense, kinds, k).join(intents, "query_id").filter("intent <> 'standard_lookup'")
+    lookup = retrieval.weighted_fusion(lexical, dense, kinds, k).join(intents, "query_id").filter("intent = 'standard_lookup'")
     return retrieval.confidence(plain.unionByName(lookup))
 
 
@@ -51,8 +54,9 @@ def answers(questions: DataFrame, chunks: DataFrame, k: int = 10, limit: int = 4
     is not supported, else ok.
     """
     asked = questions.filter(question.in_scope(F.col("query"))) if gate else questions
-    found = fused_hits(asked, chunks, k)
-    rows = found.join(chunks.select("chunk_id", "body"), "chunk_id").checkpoint()
+    found = written(fused_hits(asked, chunks, k), "hits")
+    # A few rows a question go to the texts, which stay where they are.
+    rows = written(chunks.select("chunk_id", "body").join(retrieval.bounded(found), "chunk_id"), "bodies")
     tokens = text.evidence_tokens(F.col("body"))
     if {"doc_id", "chunk_index"} <= set(chunks.columns):
         # Chunks of whole documents: neighbours that run on from a hit stand as evidence too.
@@ -60,8 +64,8 @@ def answers(questions: DataFrame, chunks: DataFrame, k: int = 10, limit: int = 4
         candidates = evidence.with_neighbors(rows.select("query_id", "chunk_id", "rank"), corpus)
     else:
         candidates = rows.select("query_id", "chunk_id", F.col("body").alias("text"), tokens.alias("tokens"), "rank")
-    picked = evidence.select_evidence(candidates)
-    bodies = picked.select("query_id", "chunk_id", "pick").join(chunks.select("chunk_id", "body"), "chunk_id")
+    picked = written(evidence.select_evidence(candidates).select("query_id", "chunk_id", "pick"), "picked")
+    bodies = written(chunks.select("chunk_id", "body").join(retrieval.bounded(picked), "chunk_id"), "evidence")
     seen = bodies.join(found.select("query_id", "chunk_id", "confidence"), ["query_id", "chunk_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     lines = F.filter(F.transform(F.split("body", "\n"), text.squeeze), lambda x: x != "")
     sentences = seen.select("query_id", "chunk_id", "confidence", "pick", F.posexplode(lines).alias("i", "sentence")).withColumn("order", F.struct("pick", "i"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text
 from marginalia.operators import evaluation, retrieval
-from marginalia.plans import report_queries
+from marginalia.plans import answer, report_queries, retrieval_queries
 
 
 def plan_of(df):
@@ -120,3 +120,12 @@ def test_features_are_counted_where_a_row_is_read(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "SLICE_TOKENS", slice_tokens)
         got = {(r.query_id, r.chunk_id): round(r.score, 9) for r in retrieval.token_cosine(chunks, queries, 70).collect()}
         assert got == want
+
+
+def test_answers_do_not_shuffle_texts(spark, sf, monkeypatch):
+    plans = []
+    keep = answer.written
+    monkeypatch.setattr(answer, "written", lambda df, tag: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or keep(df, tag))
+    assert retrieval_queries.answer_batch(spark, sf).count() == 4
+    assert [tag for tag, _ in plans] == ["lexical", "dense", "hits", "bodies", "picked", "evidence"]
+    assert not any("SortMergeJoin" in plan or "checkpoint" in plan for tag, plan in plans if tag in ("bodies", "evidence"))
