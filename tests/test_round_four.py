@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
-from marginalia.operators import evaluation, retrieval
+from marginalia.operators import claims, evaluation, retrieval
 from marginalia.plans import answer, report_queries, retrieval_queries
 
 
@@ -129,3 +129,13 @@ def test_answers_do_not_shuffle_texts(spark, sf, monkeypatch):
     assert retrieval_queries.answer_batch(spark, sf).count() == 4
     assert [tag for tag, _ in plans] == ["lexical", "dense", "hits", "bodies", "picked", "evidence"]
     assert not any("SortMergeJoin" in plan or "checkpoint" in plan for tag, plan in plans if tag in ("bodies", "evidence"))
+
+
+def test_claim_checks_run_once(spark):
+    made = spark.createDataFrame([("a", 1, "Speed 5 kHz rises", "c"), ("a", 2, "7 N", "d"), (None, 1, "speed", "c")], "answer_id string, claim_ix int, claim string, chunk_id string")
+    visible = spark.createDataFrame([("a", "c", "a speed of 5kHz, speed rises")], "answer_id string, chunk_id string, text string")
+    gated = claims.support_gate(made, visible)
+    assert "regexp" not in plan_of(gated)
+    assert {(r.answer_id, r.claim_ix): (r.reasons, r.blocked) for r in gated.collect()} == {("a", 1): ([], True), ("a", 2): (["chunk not visible"], True), (None, 1): (["chunk not visible"], True)}
+    items = spark.createDataFrame([("1 N 2 N 3 N 4 N", "2N and 5 N"), ("", "x")], "c string, b string").select(claims.missing_items(F.col("c"), F.col("b")).alias("m"))
+    assert [r.m for r in items.collect()] == [["1", "1n", "3", "3n", "4", "4n"], []]
