@@ -173,14 +173,13 @@ def step_problems(steps: DataFrame, rounds: int | None = None) -> DataFrame:
     known = steps.select("graph_id", F.col("step_id").alias("needs"))
     missing = edges.join(known, ["graph_id", "needs"], "left_anti").groupBy("graph_id", "step_id").agg(F.array_sort(F.collect_set("needs")).alias("missing"))
     selfish = edges.filter("step_id = needs").select("graph_id", "step_id").withColumn("self_link", F.lit(True))
-    inner = edges.join(known, ["graph_id", "needs"], "left_semi").cache()
-    open_ = steps.select("graph_id", "step_id")
+    # Open steps are those of the open edges, and an edge that is settled stays so: a round is one join over the edges left.
+    inner = written(edges.join(known, ["graph_id", "needs"], "left_semi"), "edges")
     before = -1
-    while (n := open_.count()) != before and n:
+    while (n := inner.count()) != before and n:
         before = n
-        waits = inner.join(open_.withColumnRenamed("step_id", "needs"), ["graph_id", "needs"], "left_semi")
-        open_ = open_.join(waits.select("graph_id", "step_id").distinct(), ["graph_id", "step_id"], "left_semi").checkpoint()
-    inner.unpersist()
+        inner = written(inner.join(inner.select("graph_id", F.col("step_id").alias("needs")), ["graph_id", "needs"], "left_semi"), "edges")
+    open_ = inner.select("graph_id", "step_id").distinct()
     cyclic = open_.withColumn("reaches_cycle", F.lit(True))
     out = reduce(lambda a, b: a.join(b, ["graph_id", "step_id"], "left"), [missing, selfish, cyclic], steps.select("graph_id", "step_id"))
     return out.select(

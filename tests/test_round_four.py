@@ -139,3 +139,15 @@ def test_claim_checks_run_once(spark):
     assert {(r.answer_id, r.claim_ix): (r.reasons, r.blocked) for r in gated.collect()} == {("a", 1): ([], True), ("a", 2): (["chunk not visible"], True), (None, 1): (["chunk not visible"], True)}
     items = spark.createDataFrame([("1 N 2 N 3 N 4 N", "2N and 5 N"), ("", "x")], "c string, b string").select(claims.missing_items(F.col("c"), F.col("b")).alias("m"))
     assert [r.m for r in items.collect()] == [["1", "1n", "3", "3n", "4", "4n"], []]
+
+
+def test_step_rounds_join_the_edges_left_once(spark, monkeypatch):
+    plans = []
+    keep = claims.written
+    monkeypatch.setattr(claims, "written", lambda df, tag: plans.append(plan_of(df).split("== Physical Plan ==")[1]) or keep(df, tag))
+    rows = [("g", "a", []), ("g", "b", ["a"]), ("g", "c", ["b", "d"]), ("g", "d", ["c"]), ("g", "e", ["d", "x"]), ("g", "f", ["f"]), ("h", "a", ["b"]), ("h", "b", []), (None, "a", ["a"])]
+    steps = spark.createDataFrame(rows, "graph_id string, step_id string, depends_on array<string>")
+    got = {(r.graph_id, r.step_id): (r.missing, r.self_link, r.reaches_cycle) for r in claims.step_problems(steps).collect() if r.graph_id}
+    assert {k for k, v in got.items() if v[2]} == {("g", "c"), ("g", "d"), ("g", "e"), ("g", "f")}
+    assert got["g", "e"][0] == ["x"] and got["g", "f"][1] and not got["h", "a"][2]
+    assert len(plans) > 2 and all(plan.count("LeftSemi") == 1 for plan in plans[1:])
