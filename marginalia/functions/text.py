@@ -154,7 +154,12 @@ def slug(name: Column, longest: int = 80) -> Column:
 
 def stable_id(name: Column, content: Column) -> Column:
     """Slug and eight hex digits of the content's SHA-256."""
-    return F.concat_ws("_", slug(name), F.substring(F.sha2(content, 256), 1, 8))
+    return digest_id(name, F.sha2(content, 256))
+
+
+def digest_id(name: Column, digest: Column) -> Column:
+    """The same of a digest that is there already."""
+    return F.concat_ws("_", slug(name), F.substring(digest, 1, 8))
 
 
 def basename(path: Column) -> Column:

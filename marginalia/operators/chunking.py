@@ -102,7 +102,8 @@ def chunks(docs: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_
     kind of block of each, which gives `segments` of the chunk's text. A document never leaves
     its row, so nothing is shuffled, and only the numbers pass through Python.
     """
-    prepared = docs.filter(F.size("units") > 0).withColumn("sizes", F.transform("units", text.estimated_tokens))
+    # Documents without paragraphs have no bounds; a filter would build the paragraphs a second time below them.
+    prepared = docs.withColumn("sizes", F.transform("units", text.estimated_tokens))
     bounded = prepared.withColumn("bounds", chunk_bounds(F.col("sizes"), F.col("titles"), target, overlap, keep_always))
 
     def chunk(b: Column, k: Column) -> Column:

@@ -20,6 +20,10 @@ RELATION = "(=|≈|≠|≤|≥)"
 OPERATOR = r"[A-Za-z0-9α-ωΑ-Ω)]\s*(?:\+|\*|/|\^|−)\s*[A-Za-z0-9α-ωΑ-Ω(]"
 MATH_WORD = r"\b(?:sin|cos|tan|sqrt|log|exp)\b|[ωΩζπ]"
 REFERENCE = r"(?i)^\s*\d+\.\s+.+(?:\bet\s+al\b|\b19\d{2}\b|\b20\d{2}\b|,)"
+#: The last block of a page that can be a title.
+TITLE_BLOCKS = 3
+#: How every title starts (CHAPTER or SECTION), once white space is stripped.
+TITLE_START = r"^(?:第|(?i:chapter)|\d|[一二三四五六七八九十])"
 TERMINAL = "[.!?。！？；;][\"'”’）】》]*$"
 CELL, DILATION, MIN_BOXES, MIN_SIDE, MIN_AREA = 4.0, 1, 20, 40.0, 0.01
 TINY, BODY_MARGIN, MOST_CLUSTERS = 4.0, 24.0, 16
@@ -28,7 +32,11 @@ SCANNED_LETTERS, SCANNED_BLOCK, SCANNED_REGION, SCANNED_COVERAGE = 15, 8, 0.5, 0
 
 def block_kind(body: Column, block_index: Column, top_ratio: Column | None = None) -> Column:
     """table, figure, formula, title, body, or unknown for blank blocks."""
-    line = squeeze(body)
+    return line_kind(squeeze(body), block_index, top_ratio)
+
+
+def line_kind(line: Column, block_index: Column, top_ratio: Column | None = None) -> Column:
+    """The same of a squeezed block."""
     words, letters = count_of(r"[A-Za-z0-9_]+|[一-鿿]", line), count_of("[A-Za-z0-9α-ωΑ-Ω]", line)
     formula = (
         (F.length(F.regexp_replace(line, r"\s", "")) >= 3)
@@ -37,7 +45,7 @@ def block_kind(body: Column, block_index: Column, top_ratio: Column | None = Non
         & (line.rlike(RELATION) | (line.rlike(MATH_WORD) & line.rlike(OPERATOR)))
     )
     ratio = F.lit(None).cast("double") if top_ratio is None else top_ratio
-    placed = lambda least: (block_index <= 3) & (ratio.isNull() | ratio.between(least, 0.45))
+    placed = lambda least: (block_index <= TITLE_BLOCKS) & (ratio.isNull() | ratio.between(least, 0.45))
     numbered = (line.rlike(CHAPTER) & placed(0.06)) | (~line.rlike(CHAPTER) & line.rlike(SECTION) & placed(0.0))
     title = numbered & (words <= 24) & ~line.rlike(r"^\s*\d+\s*$") & ~line.rlike(REFERENCE)
     return (
