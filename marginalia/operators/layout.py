@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ TITLE_START = r"^(?:第|(?i:chapter)|\d|[一二三四五六七八九十])"
 TERMINAL = "[.!?。！？；;][\"'”’）】》]*$"
 CELL, DILATION, MIN_BOXES, MIN_SIDE, MIN_AREA = 4.0, 1, 20, 40.0, 0.01
 TINY, BODY_MARGIN, MOST_CLUSTERS = 4.0, 24.0, 16
+#: Pairs of boxes that are compared at a time.
+PAIRS = 1 << 18
 SCANNED_LETTERS, SCANNED_BLOCK, SCANNED_REGION, SCANNED_COVERAGE = 15, 8, 0.5, 0.65
 
 
@@ -85,10 +88,14 @@ def edge_signature(box: Column, width: Column, height: Column, origin: Column) -
     return F.when(band.isNotNull(), F.concat_ws(":", band, origin, place, aspect))
 
 
-def body_region(width: Column, height: Column, blocks: Column) -> Column:
-    """The rectangle that a page's text blocks (array of box, text) fill, with a margin, inside the page's safe area; that area where there is too little text."""
+def inner_blocks(height: Column, blocks: Column) -> Column:
+    """Text blocks (array of box, text) that are not blank and reach into the page between its upper and lower edge."""
+    return F.filter(blocks, lambda b: (strip(b["text"]) != "") & (b["box"][3] > height * 0.08) & (b["box"][1] < height * 0.92))
+
+
+def body_region(width: Column, height: Column, inner: Column) -> Column:
+    """The rectangle that a page's inner blocks fill, with a margin, inside the page's safe area; that area where there is too little text."""
     safe = [width * 0.05, height * 0.08, width * 0.95, height * 0.92]
-    inner = F.filter(blocks, lambda b: (strip(b["text"]) != "") & (b["box"][3] > height * 0.08) & (b["box"][1] < height * 0.92))
     letters = F.aggregate(inner, F.lit(0), lambda n, b: n + F.length(strip(b["text"])))
     enough = F.coalesce((F.size(inner) >= 3) & (letters >= 100), F.lit(False))
     edge = lambda k, of: of(F.transform(inner, lambda b: b["box"][k]))
@@ -115,30 +122,35 @@ def _covered(cells: np.ndarray) -> int:
 
 
 def _groups(cells: np.ndarray) -> np.ndarray:
-    """The group of each box: boxes whose cells, each grown by DILATION, touch belong together. Swept from left to right."""
-    reach, root = 2 * DILATION + 1, np.arange(len(cells))
-
-    def head(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = int(root[k])
-        return k
-
-    active = np.zeros(0, dtype=np.int64)
-    for k in np.argsort(cells[:, 0], kind="stable").tolist():
-        active = active[cells[active, 2] + reach >= cells[k, 0]]
-        near = active[(cells[active, 1] - reach <= cells[k, 3]) & (cells[k, 1] - reach <= cells[active, 3])]
-        for j in near.tolist():
-            root[head(j)] = head(k)
-        active = np.append(active, k)
-    return np.array([head(k) for k in range(len(cells))], dtype=np.int64)
-
-
-def page_clusters(boxes: list[list[float]], width: float, height: float, body: list[float]) -> list[dict]:
+    """The group of each box: boxes whose cells, each grown by DILATION, touch belong together.
+
+    A group grows by all boxes at once that touch its newest ones. Boxes are held from left to right, so only those within reach are looked at.
+    """
+    reach, names = 2 * DILATION + 1, np.full(len(cells), -1, dtype=np.int64)
+    rest = np.argsort(cells[:, 0], kind="stable")
+    widest = int((cells[:, 2] - cells[:, 0]).max(initial=0))
+    while len(rest):
+        name, edge, rest = rest[0], rest[:1], rest[1:]
+        while len(edge):
+            names[edge] = name
+            grown, left = cells[edge], cells[rest, 0]
+            first = int(np.searchsorted(left, grown[:, 0].min() - reach - widest, side="left"))
+            last = int(np.searchsorted(left, grown[:, 2].max() + reach, side="right"))
+            others, near = cells[rest[first:last], :, None], np.zeros(len(rest), dtype=bool)
+            step = max(1, PAIRS // max(1, last - first))
+            for at in range(0, len(grown), step):
+                some = grown[at : at + step].T[None]
+                touch = (others[:, 0] - reach <= some[:, 2]) & (some[:, 0] - reach <= others[:, 2]) & (others[:, 1] - reach <= some[:, 3]) & (some[:, 1] - reach <= others[:, 3])
+                near[first:last] |= touch.any(axis=1)
+            edge, rest = rest[near], rest[~near]
+    return names
+
+
+def page_clusters(boxes: np.ndarray, width: float, height: float, body: np.ndarray) -> list[dict]:
     """Groups of tiny boxes that may be one drawing, best first: many boxes, of some size, that overlap the body of the page."""
-    if not boxes:
+    if not len(boxes):
         return []
-    every, page_area, out = np.array(boxes, dtype=np.float64), max(width * height, 1.0), []
+    every, page_area, out = boxes, max(width * height, 1.0), []
     cells = _cell_ranges(every)
     group = _groups(cells)
     for name, n in zip(*np.unique(group, return_counts=True)):
@@ -174,16 +186,27 @@ def page_visuals(pages: DataFrame) -> DataFrame:
     sound = F.filter("images", lambda b: F.coalesce((F.size(b) == 4) & F.forall(b, lambda x: F.abs(x) < float("inf")) & (b[2] > b[0]) & (b[3] > b[1]), F.lit(False)))
     small = lambda b: (b[2] - b[0] < TINY) | (b[3] - b[1] < TINY)
     known = pages.withColumn("images", F.coalesce(sound, F.array().cast("array<array<double>>"))).withColumn("blocks", F.coalesce("blocks", F.array().cast("array<struct<box:array<double>,text:string>>")))
-    split = known.withColumn("tiny", F.filter("images", small)).withColumn("valid", F.filter("images", lambda b: ~small(b)))
-
-    @F.arrow_udf(f"struct<found:array<{_CLUSTER}>,covered:long>")
-    def drawn(tiny: pa.Array, images: pa.Array, width: pa.Array, height: pa.Array, body: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in (tiny, images, width, height, body)))
-        found = [{"found": page_clusters(t, w, h, b), "covered": _covered(_cell_ranges(np.array(i, dtype=np.float64))) if i else 0} for t, i, w, h, b in rows]
-        return pa.array(found, pa.struct([("found", pa.list_(_CLUSTER_ARROW)), ("covered", pa.int64())]))
-
-    body = split.withColumn("body", body_region(F.col("width"), F.col("height"), F.col("blocks")))
-    seen = body.withColumn("_d", drawn(*[F.col(c).cast(k) for c, k in (("tiny", "array<array<double>>"), ("images", "array<array<double>>"), ("width", "double"), ("height", "double"), ("body", "array<double>"))]))
+    split = known.withColumn("valid", F.filter("images", lambda b: ~small(b)))
+
+    @F.arrow_udf(f"struct<found:array<{_CLUSTER}>,covered:long,tiny:int>")
+    def drawn(images: pa.Array, width: pa.Array, height: pa.Array, body: pa.Array) -> pa.Array:
+        # Boxes stay numbers of one array: as Python objects those of a batch took some ten times its bytes.
+        boxes, regions = (c.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, 4) for c in (images.flatten(), body))
+        found, at = [], 0
+        for n, w, h, region in zip(pc.list_value_length(images).to_pylist(), width.to_pylist(), height.to_pylist(), regions):
+            mine = boxes[at : at + n]
+            tiny = (mine[:, 2] - mine[:, 0] < TINY) | (mine[:, 3] - mine[:, 1] < TINY)
+            found.append({"found": page_clusters(mine[tiny], w, h, region), "covered": _covered(_cell_ranges(mine)), "tiny": int(tiny.sum())})
+            at += n
+        made = pa.array(found, pa.struct([("found", pa.list_(_CLUSTER_ARROW)), ("covered", pa.int64()), ("tiny", pa.int32())]))
+        del boxes, regions, images
+        pa.default_memory_pool().release_unused()
+        return made
+
+    inner = split.withColumn("_inner", inner_blocks(F.col("height"), F.col("blocks")))
+    body = inner.withColumn("body", body_region(F.col("width"), F.col("height"), F.col("_inner")))
+    seen = body.withColumn("_d", drawn(*[F.col(c).cast(k) for c, k in (("images", "array<array<double>>"), ("width", "double"), ("height", "double"), ("body", "array<double>"))]))
+    tiny = F.col("_d.tiny")
     area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
     page_area = F.greatest(F.col("width") * F.col("height"), F.lit(1.0))
     lengths = F.transform("blocks", lambda b: F.length(F.regexp_replace(F.coalesce(b["text"], F.lit("")), r"[\p{C}\p{Z}\s]", "")))
@@ -194,9 +217,9 @@ def page_visuals(pages: DataFrame) -> DataFrame:
         "page_id",
         F.aggregate("blocks", F.lit(0), lambda n, b: n + F.length(strip(F.coalesce(b["text"], F.lit(""))))).alias("native_text_chars"),
         F.size("images").alias("n_images"),
-        F.size("tiny").alias("n_tiny"),
-        F.size("valid").alias("n_valid"),
-        F.coalesce(F.try_divide(F.size("tiny"), F.size("images")), F.lit(0.0)).alias("tiny_ratio"),
+        tiny.alias("n_tiny"),
+        (F.size("images") - tiny).alias("n_valid"),
+        F.coalesce(F.try_divide(tiny, F.size("images")), F.lit(0.0)).alias("tiny_ratio"),
         coverage.alias("coverage"),
         F.col("body").alias("body_region"),
         F.slice("_d.found", 1, MOST_CLUSTERS).alias("clusters"),

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from marginalia.operators import layout
-from marginalia.plans import ingest
+from marginalia.plans import document_queries, ingest
+
 
 def test_contents_of_known_files_are_not_read(spark, tmp_path):
     rows = [(f"x/{k}.txt", 4, b"same") for k in range(9)] + [("x/none.txt", 0, b"")]
@@ -23,3 +24,13 @@ def test_titles_of_books_are_those_of_block_kind(spark):
     lines = spark.createDataFrame([(u.strip(), at) for p in pages for at, u in enumerate(p.split("\n\n")) if u.strip()], "u string, at int")
     titles = lines.filter(layout.block_kind(F.col("u"), F.col("at")) == "title").count()
     assert max(sections) == titles > 4
+
+
+def test_drawings_are_made_once(spark, sf):
+    plan = document_queries.visual_clusters(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_boxes_reach_python_as_one_array(spark, sf):
+    plan = document_queries.page_visual_profile(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS tiny#" not in plan and plan.count("drawn(images#") == 1
