@@ -250,7 +250,9 @@ def _drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visual_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of tiny boxes on the bodies of pages."""
     found = layout.page_visuals(_drawn_pages(spark, sf_dir))
-    return found.select("page_id", F.posexplode("clusters").alias("cluster_ix", "c")).select("page_id", "cluster_ix", "c.*")
+    # A plain explode gets a filter on the size of its array, for which the clusters would be made a second time.
+    rows = found.select("page_id", F.posexplode_outer("clusters").alias("cluster_ix", "c")).filter("cluster_ix IS NOT NULL")
+    return rows.select("page_id", "cluster_ix", "c.*")
 
 
 @query(r"""
