@@ -5,7 +5,11 @@ Every function takes and returns columns and stays inside generated code, but fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +23,24 @@ STANDARD = r"(?i)(?:gb\s*[/∕]?\s*t|gbt|dl\s*[/∕]?\s*t|dlt|iso|api)[\s_-]*\d{
 ORGANISATIONS = {"gbt": "GB/T", "dlt": "DL/T", "iso": "ISO", "api": "API"}
 
 
+#: Bytes of text that a Python function holds as objects at a time, about.
+SLICE_BYTES = 2 << 20
+
+
+def slices(columns: list[pa.Array], size: int = SLICE_BYTES) -> Iterator[list[pa.Array]]:
+    """The columns of an Arrow batch in slices of about `size` bytes of text, a row at least, in order; what a slice took goes back to the system."""
+    taken = np.ones(len(columns[0]), dtype=np.int64)
+    for column in columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            taken += np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+    ends, at = np.cumsum(taken), 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield [c.slice(at, end - at) for c in columns]
+        at = end
+    pa.default_memory_pool().release_unused()
+
+
 def count_of(pattern: str, text: Column) -> Column:
     """How often a pattern matches."""
     return F.regexp_count(text, F.lit(pattern))
