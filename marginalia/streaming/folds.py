@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from marginalia.functions.text import slices
+
 Step = Callable[[list | None, tuple], tuple[list, tuple]]
 
 
@@ -28,10 +30,9 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], fields: list[str],
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, started = None, None, False
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
+        for some in (s for batch in batches for s in slices(batch.columns)):
             out = []
-            for row in zip(*columns):
+            for row in zip(*(c.to_pylist() for c in some)):
                 if not started or row[0] != current:
                     current, state, started = row[0], None, True
                 state, result = step(state, row)
