@@ -174,10 +174,15 @@ def with_neighbors(seeds: DataFrame, corpus: DataFrame, window: int = 1) -> Data
     chunk_id, text, tokens, rank, kind, seed_id; a chunk that is seed and neighbour comes at its
     first place. `select_evidence` takes the result.
     """
-    placed = seeds.join(corpus, "chunk_id")
-    near = continuous_neighbors(corpus, window).join(corpus.select("doc_id", "chunk_index", F.col("chunk_id").alias("seed_id")), ["doc_id", "chunk_index"])
-    others = corpus.select("doc_id", F.col("chunk_index").alias("neighbor_index"), "chunk_id", "text")
-    found = seeds.select("query_id", F.col("chunk_id").alias("seed_id"), "rank").join(near, "seed_id").join(others, ["doc_id", "neighbor_index"])
+    goes_on, is_open = text.continues(F.col("text")), ~text.ends_sentence(F.col("text"))
+    placed = seeds.join(corpus, "chunk_id").select("query_id", "chunk_id", "rank", "doc_id", "chunk_index", "text")
+    # A seed asks only on the sides where its text runs on.
+    offsets = F.explode(F.array(*[F.lit(k) for k in range(-window, window + 1) if k]))
+    flagged = placed.select("query_id", F.col("chunk_id").alias("seed_id"), "rank", "doc_id", "chunk_index", goes_on.alias("goes_on"), is_open.alias("open"))
+    sides = flagged.withColumn("distance", offsets).filter(F.when(F.col("distance") < 0, F.col("goes_on")).otherwise(F.col("open")))
+    asked = sides.select("query_id", "seed_id", "rank", "doc_id", (F.col("chunk_index") + F.col("distance")).alias("neighbor_index"), "distance")
+    others = corpus.select("doc_id", F.col("chunk_index").alias("neighbor_index"), "chunk_id", "text", goes_on.alias("goes_on"), is_open.alias("open"))
+    found = asked.join(others, ["doc_id", "neighbor_index"]).filter(F.when(F.col("distance") < 0, F.col("open")).otherwise(F.col("goes_on")))
     # Neighbours follow all seeds: by the seed's rank, nearer ones first, the one before ahead of the one after.
     late = F.struct(F.lit(1).alias("late"), F.col("rank").cast("double").alias("rank"), F.abs("distance").alias("step"), F.col("distance").alias("side"))
     soon = F.struct(F.lit(0).alias("late"), F.col("rank").cast("double").alias("rank"), F.lit(0).alias("step"), F.lit(0).alias("side"))
@@ -185,5 +190,6 @@ def with_neighbors(seeds: DataFrame, corpus: DataFrame, window: int = 1) -> Data
     every = placed.select("query_id", "chunk_id", "text", soon.alias("rank"), kind_of("seed"), F.lit(None).cast(corpus.schema["chunk_id"].dataType).alias("seed_id")).unionByName(
         found.select("query_id", "chunk_id", "text", late.alias("rank"), kind_of("adjacent"), "seed_id")
     )
-    first = every.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("text", "rank", "kind", "seed_id"), F.col("rank")).alias("c")).select("query_id", "chunk_id", "c.*")
+    # One aggregate a column, all by the same order: what a caller does not use is not carried.
+    first = every.groupBy("query_id", "chunk_id").agg(*[F.min_by(c, F.col("rank")).alias(c) for c in ("text", "kind", "seed_id")], F.min("rank").alias("rank")).select("query_id", "chunk_id", "text", "rank", "kind", "seed_id")
     return first.withColumn("tokens", text.evidence_tokens(F.col("text")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import formulas, text
 from marginalia.operators import layout
-from marginalia.plans import document_queries, ingest
+from marginalia.plans import document_queries, ingest, report_queries
 from marginalia.streaming import folds
 
 
@@ -60,3 +60,8 @@ def test_slices_keep_warnings_and_folds_whole(spark, monkeypatch):
 
     folded = folds.ordered_fold(frame.withColumn("key", F.lit(1)), "key", ["k"], ["key", "k", "body"], step, "k int, n long").orderBy("k").collect()
     assert [r.n for r in folded] == [sum(len(t) for _, t in rows[: k + 1]) for k in range(12)]
+
+
+def test_neighbours_need_three_joins(spark, sf):
+    plan = report_queries.evidence_neighbors(spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join Inner") == 3
