@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import redact, text
+from marginalia.operators import retrieval
 from marginalia.session import table
 
 QUERIES: dict = {}
@@ -35,8 +36,7 @@ WITH t AS (SELECT doc_id, unnest({SQL_TOKENS}) AS term FROM documents)
 SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM t GROUP BY doc_id, term""")
 def tokenize_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term frequencies of every document."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return retrieval.term_frequencies(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"""
